@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import distinctive, packing, records, splitting
+from vectrail.llm import distinctive, near_duplicates, packing, records, splitting
 from vectrail.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, nodes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "nodes")
+    texts = near_duplicates.similar_texts(docs, k=3, similarity=0.6, least=40, counted=False, n_bands=40, rows=4)
+    vectors = near_duplicates.similar_vectors(records.usable_nodes(nodes), cosine=0.98)
+    kinds = [near_duplicates.expanded(*found).select(F.lit(k).alias("rec_kind"), "id_a", "id_b") for k, found in (("document", texts), ("node", vectors))]
+    return kinds[0].unionByName(kinds[1])
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts whose multisets of five-word shingles overlap by 0.8 or more."""
+    return near_duplicates.groups(table(spark, sf_dir, "documents"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = splitting.split_oversized(table(spark, sf_dir, "documents"), limit=2000, overlap=200, with_text=False)
     return cut.where("piece_no = 0").select("doc_id", "boundary")
@@ -43,6 +56,8 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
