@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import distinctive, near_duplicates, packing, records, splitting
+from vectrail.llm import distinctive, multi_index, near_duplicates, packing, records, splitting
 from vectrail.session import table
 
 
@@ -24,6 +24,19 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(table(spark, sf_dir, "documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = []
+    for kind, name, key, usable, how in (
+        ("node", "nodes", "node_id", records.usable_nodes, {"cosine": True, "centroids": 8192, "sample": 64_000}),
+        ("entry", "ivf_entries", "entry_id", records.usable_entries, {"cosine": False, "centroids": 64, "sample": 16_000}),
+    ):
+        rows = table(spark, sf_dir, name)
+        count, fit = multi_index.sampled(rows, key, how.pop("sample"))
+        near = multi_index.nearest_neighbours(usable(rows), count, usable(fit), k=5, **how)
+        found.append(near.select(F.lit(kind).alias("rec_kind"), "rec_id", "neighbor_id"))
+    return found[0].unionByName(found[1])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = splitting.split_oversized(table(spark, sf_dir, "documents"), limit=2000, overlap=200, with_text=False)
     return cut.where("piece_no = 0").select("doc_id", "boundary")
@@ -58,6 +71,7 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
