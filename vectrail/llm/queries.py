@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import distinctive, multi_index, near_duplicates, packing, records, splitting
+from vectrail.llm import distinctive, grid_clusters, multi_index, near_duplicates, packing, records, splitting
 from vectrail.session import table
 
 
@@ -63,6 +63,16 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.distinctive_in_counts(posted).select("rec_id", "term", "tf", "df", F.round("log_odds", 6).alias("log_odds"), F.round("z", 6).alias("z"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = records.usable_entries(table(spark, sf_dir, "ivf_entries"))
+    return grid_clusters.clusters(points, reach=2.0, least=10).select(F.col("rec_id").alias("entry_id"), "cluster_id")
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = records.usable_entries(table(spark, sf_dir, "ivf_entries"))
+    return grid_clusters.described(points, reach=2.0, least=10).select("cluster_id", "size", "rank", F.col("rec_id").alias("entry_id"), F.round("distance", 6).alias("distance"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.packed_texts(table(spark, sf_dir, "documents"), capacity=2048)
     return packed.select(F.col("item_id").alias("doc_id"), "part", "size", "bin_id", "kind")
@@ -76,5 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p6_containers": p6_containers,
 }
