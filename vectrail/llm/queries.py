@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import distinctive, grid_clusters, multi_index, near_duplicates, packing, records, splitting
+from vectrail.llm import distinctive, grid_clusters, leakage, multi_index, near_duplicates, packing, records, residue, splitting
 from vectrail.session import table
 
 
@@ -78,6 +78,28 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("item_id").alias("doc_id"), "part", "size", "bin_id", "kind")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), least=12)
+    return found.select("doc_id", "item_id")
+
+
+def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold most of an item in order, with words changed in between: at least 15 words in common, in order,
+    and half of the item's telling words."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), least=15, gap=2)
+    kept = found.where("lcs >= 15 and answer >= 0.5")
+    return kept.select("doc_id", "item_id", F.round("similarity", 4).alias("similarity"), "run", "lcs", F.round("answer", 4).alias("answer"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = residue.residue(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "kind", F.round("share", 4).alias("share"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -89,4 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p6_containers": p6_containers,
+    "p7_found": p7_found,
+    "p7_paraphrases": p7_paraphrases,
+    "p8_found": p8_found,
+    "p8_kinds": p8_kinds,
 }
