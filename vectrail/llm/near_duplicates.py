@@ -6,8 +6,8 @@ size cost one record. BagMinHash signatures of the representatives are cut into
 are candidates and are verified exactly. Bands shared by very many different representatives are cut into blocks that are
 compared pairwise on their own, so that no task sees the whole; nothing is dropped.
 
-Null, empty and short texts have no shingles and are in no pair; unusable vectors likewise. Repeated rows of one id are
-taken once. Groups of copies of up to EXPAND members come out as all their pairs; of larger ones, each member is paired with
+Null, empty and short texts have no shingles and are in no pair; unusable vectors likewise. An id with several
+different texts is alike to whatever one of them is alike to. Groups of copies of up to EXPAND members come out as all their pairs; of larger ones, each member is paired with
 the representative, and the representative stands for all in pairs with other classes.
 """
 
@@ -43,7 +43,7 @@ class _Hashes(dict):
 
 
 def shingles(words: list[str], k: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of k consecutive words, and how often each occurs."""
+    """Sorted distinct 40-bit hashes of k consecutive words, and how often each occurs."""
     n = len(words) - k + 1
     if n < 1:
         return np.empty(0, U), np.empty(0, np.int64)
@@ -52,7 +52,7 @@ def shingles(words: list[str], k: int, hashes: _Hashes) -> tuple[np.ndarray, np.
         key = h[:n].copy()
         for i in range(1, k):
             key = (key * _A ^ (key >> U(29))) + h[i : i + n] * _B
-    return np.unique(bagminhash.mix(key), return_counts=True)
+    return np.unique(bagminhash.mix(key) & U(0xFFFFFFFFFF), return_counts=True)
 
 
 def _digest(feature: np.ndarray, count: np.ndarray) -> tuple[int, int]:
@@ -61,8 +61,20 @@ def _digest(feature: np.ndarray, count: np.ndarray) -> tuple[int, int]:
     return (x >> 64) - 2**63, (x & (2**64 - 1)) - 2**63
 
 
+def pack(feature: np.ndarray, count: np.ndarray | None) -> tuple[bytes, bytes | None]:
+    """Features as 5 bytes each and counts as 4."""
+    return feature.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), None if count is None else count.astype("<u4").tobytes()
+
+
+def unpack(feature: bytes) -> np.ndarray:
+    wide = np.zeros((len(feature) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(feature, np.uint8).reshape(-1, 5)
+    return wide.view("<u8")[:, 0]
+
+
 def text_features(docs: DataFrame, id_col: str, text_col: str, k: int, least: int, counted: bool) -> DataFrame:
-    """(rec_id, features, counts) of texts with at least `least` distinct shingles. Narrow."""
+    """(rec_id, features, counts) of texts with at least `least` distinct shingles, packed; counts are null for plain sets.
+    Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -71,24 +83,26 @@ def text_features(docs: DataFrame, id_col: str, text_col: str, k: int, least: in
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 f, c = shingles(tokens(value.as_py()), k, hashes)
                 if len(f) >= max(1, least):
+                    packed = pack(f, c if counted else None)
                     ids.append(key)
-                    fs.append(f.view(np.int64))
-                    cs.append((c if counted else np.ones_like(c)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fs, pa.list_(pa.int64())), pa.array(cs, pa.list_(pa.int32()))], ["rec_id", "features", "counts"])
+                    fs.append(packed[0])
+                    cs.append(packed[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fs, pa.binary()), pa.array(cs, pa.binary())], ["rec_id", "features", "counts"])
             if len(hashes) > 500_000:
                 hashes.clear()
 
     picked = docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return picked.mapInArrow(run, "rec_id bigint, features array<bigint>, counts array<int>")
+    return picked.mapInArrow(run, "rec_id bigint, features binary, counts binary")
 
 
 def text_sketches(docs: DataFrame, id_col: str, text_col: str, k: int, least: int, counted: bool, n_bands: int, rows: int) -> DataFrame:
-    """(rec_id, h1, h2, bands): the digest of the features and the bands of the signature. Narrow."""
+    """(rec_id, h1, h2, bands, coarse): the digest of the features, the bands of the signature, and a byte of each of its
+    components. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            ids, digests, keys = [], [], []
+            ids, digests, keys, low = [], [], [], []
             values = batch.column(1)
             names = batch.column(0).to_pylist()
             for start in range(0, len(names), CHUNK):
@@ -105,12 +119,13 @@ def text_sketches(docs: DataFrame, id_col: str, text_col: str, k: int, least: in
                     record = np.repeat(np.arange(len(fs)), [len(f) for f in fs])
                     s = bagminhash.signatures(record, np.concatenate(fs), np.concatenate(cs).astype(np.float64), len(fs), n_bands * rows)
                     keys.extend(bagminhash.bands(s, rows))
+                    low.extend(x.tobytes() for x in s.astype(np.uint8))
             if len(hashes) > 500_000:
                 hashes.clear()
-            yield _sketch_batch(ids, digests, keys)
+            yield _sketch_batch(ids, digests, keys, (pa.array(low, pa.binary()),))
 
     picked = spread(docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()))
-    return picked.mapInArrow(run, "rec_id bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return picked.mapInArrow(run, "rec_id bigint, h1 bigint, h2 bigint, bands array<bigint>, coarse binary")
 
 
 def _sketch_batch(ids, digests, keys, extra=()):
@@ -127,7 +142,7 @@ def rotation(size: int, kept: int) -> np.ndarray:
 STEP = 0.75 / 127  # of the coarse coordinates
 
 
-def vector_sketches(vectors: DataFrame, n_bands: int, rows: int, kept: int = 32) -> DataFrame:
+def vector_sketches(vectors: DataFrame, n_bands: int, rows: int, kept: int = 40) -> DataFrame:
     """(rec_id, h1, h2, bands, coarse) of (rec_id, embedding) rows; coarse: `kept` rotated coordinates of the normalised
     vector in 8 bits each, from which a lower bound of the distance follows. Narrow."""
 
@@ -156,20 +171,21 @@ def vector_sketches(vectors: DataFrame, n_bands: int, rows: int, kept: int = 32)
 
 def classes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Representatives (rep, bands[, coarse]), one for each distinct weighted set, and (rec_id, rep, n) of all records in
-    classes of two or more. Classes of 1000 records or more are at most a thousandth of the records and are broadcast when
-    the members look up theirs; each other class has fewer than 1000 rows."""
+    classes of two or more. Digests alone are grouped; the sketches stay where they are but for a join with the ids of the
+    members that don't represent their class. Classes of 1000 records or more are at most a thousandth of the records and are
+    broadcast when members look up theirs; each other class has fewer than 1000 rows."""
     kept = [c for c in ("bands", "coarse") if c in sketches.columns]
-    grouped = sketches.groupBy("h1", "h2").agg(F.min("rec_id").alias("rep"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in kept))
-    grouped = materialize(grouped, "nd-classes")
-    several = grouped.where("n > 1").select("h1", "h2", "rep", "n")
     who = sketches.select("rec_id", "h1", "h2")
-    small = who.join(several.where("n < 1000"), ["h1", "h2"])
-    big_rows = several.where("n >= 1000")
-    members = small
-    big_count = big_rows.count()
+    several = who.groupBy("h1", "h2").agg(F.min("rec_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    several = materialize(several, "nd-classes")
+    big = several.where("n >= 1000")
+    big_count = big.count()
+    members = who.join(several.where("n < 1000"), ["h1", "h2"])
     if big_count:
-        members = small.unionByName(who.join(F.broadcast(big_rows) if big_count <= 100_000 else big_rows, ["h1", "h2"]))
-    return grouped.select("rep", *kept), materialize(members.select("rec_id", "rep", "n"), "nd-members")
+        members = members.unionByName(who.join(F.broadcast(big) if big_count <= 100_000 else big, ["h1", "h2"]))
+    members = materialize(members.select("rec_id", "h1", "h2", "rep", "n").distinct(), "nd-members")
+    others = materialize(members.where("rec_id <> rep").select("rec_id", "h1", "h2"), "nd-others")
+    return sketches.join(others, ["rec_id", "h1", "h2"], "left_anti").select(F.col("rec_id").alias("rep"), *kept), members.select("rec_id", "rep", "n")
 
 
 def _pairs_in_runs(most: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -239,32 +255,48 @@ def candidates(reps: DataFrame, most: float | None = None) -> DataFrame:
     return sorted_rows.mapInArrow(_pairs_in_runs(most), "id_a bigint, id_b bigint").distinct()
 
 
+def screened(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree in a share of the components that a similarity of `least` falls short of by four
+    standard deviations at most (3 in 100,000 fall short of that)."""
+    side = lambda end: reps.select(F.col("rep").alias(f"id_{end}"), F.col("coarse").alias(end))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a", "b"))
+                enough = (x == y).mean(1) >= least - 4 * (least * (1 - least) / x.shape[1]) ** 0.5
+                at = pa.array(np.flatnonzero(enough))
+                yield pa.RecordBatch.from_arrays([batch.column("id_a").take(at), batch.column("id_b").take(at)], ["id_a", "id_b"])
+
+    joined = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", "a", "b")
+    return joined.mapInArrow(run, "id_a bigint, id_b bigint").distinct()
+
+
 def verified_texts(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, counted: bool, least: float) -> DataFrame:
     """(id_a, id_b, similarity) of the pairs whose weighted Jaccard similarity of shingles is at least `least`, exactly."""
-    wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias(id_col)).distinct()
-    sets = materialize(text_features(docs.join(wanted, id_col, "left_semi"), id_col, text_col, k, 1, counted).dropDuplicates(["rec_id"]), "nd-sets")
+    wanted = materialize(pairs.select(F.explode(F.array("id_a", "id_b")).alias(id_col)).distinct(), "nd-wanted")
+    sets = materialize(text_features(docs.join(wanted, id_col, "left_semi"), id_col, text_col, k, 1, counted), "nd-sets")
     left = sets.select(F.col("rec_id").alias("id_a"), F.col("features").alias("fa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("rec_id").alias("id_b"), F.col("features").alias("fb"), F.col("counts").alias("cb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, score = [], []
-            sides = []
-            for f, c in (("fa", "ca"), ("fb", "cb")):
-                fl, cl = batch.column(f), batch.column(c)
-                base = fl.offsets.to_numpy()
-                sides.append((fl.values.to_numpy().view(U), base, cl.values.to_numpy(), cl.offsets.to_numpy()))
-            (va, oa, wa, pa_), (vb, ob, wb, pb) = sides
-            for i in range(batch.num_rows):
-                x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                cx, cy = wa[pa_[i] : pa_[i + 1]], wb[pb[i] : pb[i + 1]]
+            sides = [batch.column(c).to_pylist() for c in ("fa", "ca", "fb", "cb")]
+            for i, (fa, ca, fb, cb) in enumerate(zip(*sides, strict=True)):
+                x, y = unpack(fa), unpack(fb)
                 _, ix, iy = np.intersect1d(x, y, True, True)
-                both = int(np.minimum(cx[ix], cy[iy]).sum())
-                s = both / max(1, int(cx.sum() + cy.sum()) - both)
+                if counted:
+                    cx, cy = np.frombuffer(ca, "<u4").astype(np.int64), np.frombuffer(cb, "<u4").astype(np.int64)
+                    both, total = int(np.minimum(cx[ix], cy[iy]).sum()), int(cx.sum() + cy.sum())
+                else:
+                    both, total = len(ix), len(x) + len(y)
+                s = both / max(1, total - both)
                 if s >= least:
                     keep.append(i)
                     score.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column("id_a").take(pa.array(keep, pa.int64())), batch.column("id_b").take(pa.array(keep, pa.int64())), pa.array(score, pa.float64())], ["id_a", "id_b", "similarity"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id_a").take(at), batch.column("id_b").take(at), pa.array(score, pa.float64())], ["id_a", "id_b", "similarity"])
 
     joined = pairs.join(left, "id_a").join(right, "id_b")
     return joined.select("id_a", "id_b", "fa", "ca", "fb", "cb").mapInArrow(run, "id_a bigint, id_b bigint, similarity double")
@@ -281,6 +313,8 @@ def verified_vectors(pairs: DataFrame, vectors: DataFrame, least: float) -> Data
             at = pa.array(np.flatnonzero(s >= least))
             yield pa.RecordBatch.from_arrays([batch.column("id_a").take(at), batch.column("id_b").take(at), pa.array(s).take(at)], ["id_a", "id_b", "similarity"])
 
+    wanted = materialize(pairs.select(F.explode(F.array("id_a", "id_b")).alias("rec_id")).distinct(), "nd-wanted")
+    vectors = vectors.join(wanted, "rec_id", "left_semi")
     left = vectors.select(F.col("rec_id").alias("id_a"), F.col("embedding").alias("x"))
     right = vectors.select(F.col("rec_id").alias("id_b"), F.col("embedding").alias("y"))
     return pairs.join(left, "id_a").join(right, "id_b").select("id_a", "id_b", "x", "y").mapInArrow(run, "id_a bigint, id_b bigint, similarity double")
@@ -297,19 +331,19 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     inside = x.join(y, "rep").where("id_a < id_b").select("id_a", "id_b")
     star = members.where((F.col("n") > EXPAND) & (F.col("rec_id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("rec_id").alias("id_b"))
     out = out.select("id_a", "id_b").unionByName(inside).unionByName(star)
-    return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b")
+    return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b").distinct()
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, least: int = 1, counted: bool = True, n_bands: int = 20, rows: int = 5) -> tuple[DataFrame, DataFrame]:
     """Verified pairs of representatives (id_a, id_b, similarity), and the members (rec_id, rep, n) of classes of equal texts.
     A pair at the similarity s shares a band with the probability 1 - (1 - s^rows)^n_bands: 0.9996 for the defaults."""
-    sketches = materialize(text_sketches(docs, id_col, text_col, k, least, counted, n_bands, rows).dropDuplicates(["rec_id"]), "nd-sketches")
+    sketches = materialize(text_sketches(docs, id_col, text_col, k, least, counted, n_bands, rows), "nd-sketches")
     reps, members = classes(sketches)
-    pairs = materialize(candidates(reps), "nd-candidates")
+    pairs = materialize(screened(candidates(reps), reps, similarity), "nd-candidates")
     return verified_texts(pairs, docs, id_col, text_col, k, counted, similarity), members
 
 
-def similar_vectors(vectors: DataFrame, cosine: float = 0.98, n_bands: int = 16, rows: int = 6) -> tuple[DataFrame, DataFrame]:
+def similar_vectors(vectors: DataFrame, cosine: float = 0.98, n_bands: int = 14, rows: int = 6) -> tuple[DataFrame, DataFrame]:
     """The same for (rec_id, embedding) rows with finite embeddings of one length that aren't all zero, one per rec_id.
     Unit vectors at the cosine c are at most sqrt(2 - 2c) apart, which bounds the candidates' coarse distance."""
     vectors = materialize(vectors, "nd-vectors")
@@ -329,4 +363,5 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     of_rep = labels.join(links, "rep")
     everyone = docs.select(F.col(id_col).cast("bigint").alias("rec_id")).where("rec_id is not null").distinct()
     placed = everyone.join(members.select("rec_id", "rep"), "rec_id", "left").withColumn("rep", F.coalesce("rep", "rec_id")).join(of_rep, "rep", "left")
-    return placed.select(F.col("rec_id").alias(id_col), F.coalesce("label", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    of_row = placed.select("rec_id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return of_row.groupBy(F.col("rec_id").alias(id_col)).agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"))
