@@ -117,4 +117,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_kinds": p8_kinds,
 }
 
-ORACLES: dict[str, str] = {}
+# ---- the same in SQL (DuckDB), where whole tables are not too slow for it
+
+_WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) >= 2)"
+_USABLE_NODES = """SELECT node_id, list_transform(e, lambda x: x / n) AS u FROM (SELECT node_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
+  SELECT node_id, arg_max(embedding, updated_at)::DOUBLE[] AS e FROM nodes GROUP BY 1) WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE n > 0"""
+_POSTED = "(SELECT node_id AS rec_id, lower(term) AS term, arg_max(tf, indexed_at)::BIGINT AS tf FROM (SELECT * FROM postings WHERE node_id IS NOT NULL AND term IS NOT NULL) GROUP BY 1, 2)"
+_TEXTS = f"(SELECT doc_id AS rec_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY 1, 2)"
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 40),
+      p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+      u AS ({_USABLE_NODES})
+      SELECT 'document' AS rec_kind, x AS id_a, y AS id_b FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE k >= 0.6 * (a.n + b.n - k)
+      UNION ALL SELECT 'node', a.node_id, b.node_id FROM u a JOIN u b ON a.node_id < b.node_id WHERE list_dot_product(a.u, b.u) >= 0.98""",
+    "p3_found": r"""SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(text, '\n(?:[ \t\r]*\n)+'), lambda u: length(trim(u, chr(32) || chr(9) || chr(13) || chr(10))) > 2000)) = 0 THEN 'paragraph'
+      WHEN len(list_filter(string_split(text, chr(10)), lambda u: length(trim(u, chr(32) || chr(9) || chr(13))) > 2000)) = 0 THEN 'line'
+      WHEN len(list_filter(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda u: length(trim(u, chr(32) || chr(9) || chr(13))) > 2000)) = 0 THEN 'sentence' ELSE 'none' END AS boundary
+      FROM documents WHERE length(text) > 2000""",
+    "p4_found": f"""WITH r AS (SELECT 'document' AS rec_kind, * FROM {_TEXTS} UNION ALL SELECT 'node', * FROM {_POSTED} WHERE tf >= 1)
+      SELECT rec_kind, rec_id, term FROM (SELECT *, count(*) OVER (PARTITION BY rec_kind, term) AS df FROM r) WHERE tf >= 3 AND df BETWEEN 2 AND 12 AND regexp_full_match(term, '[a-z]{{6,}}')""",
+    "p4_scores": f"""WITH r AS (SELECT rec_id, term, tf::DOUBLE AS y, tf FROM {_POSTED} WHERE tf >= 1), l AS (SELECT rec_id, sum(y) AS len FROM r GROUP BY 1),
+      t AS (SELECT term, sum(y) AS n, count(*) AS df FROM r GROUP BY 1), c AS (SELECT sum(y) AS total FROM r),
+      x AS (SELECT rec_id, term, tf, df, y, n - y AS o, 500 * n / total AS a, len, total - len AS rest FROM r JOIN l USING (rec_id) JOIN t USING (term), c),
+      z AS (SELECT *, ln((y + a) / (len + 500 - y - a)) - ln((o + a) / (rest + 500 - o - a)) AS lo, sqrt(1 / (y + a) + 1 / (o + a)) AS se FROM x)
+      SELECT rec_id, term, tf, df, round(lo, 6) AS log_odds, round(lo / se, 6) AS z FROM z""",
+}
