@@ -24,6 +24,8 @@ def hash_embedding(text: Column, dim: int) -> Column:
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     hashes = F.transform(words, word_hash)
     at = F.sequence(F.lit(0), F.lit(dim - 1))
-    total = F.transform(at, lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + ((h + i) % F.lit(1 << 32) % 1000) / 1000.0))
-    length = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length == 0, total).otherwise(F.transform(total, lambda x: x / length))
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (a lambda variable is computed once)
+    total = once(hashes, lambda hs: F.transform(at, lambda i: F.aggregate(hs, F.lit(0.0), lambda s, h: s + ((h + i) % F.lit(1 << 32) % 1000) / 1000.0)))
+    scaled = lambda v, n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    unit = once(total, lambda v: once(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: scaled(v, n)))
+    return F.when(text.isNotNull(), unit)

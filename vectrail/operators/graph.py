@@ -20,6 +20,11 @@ from vectrail.operators import knn
 from vectrail.session import materialize
 
 
+def graph_of(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(src, dst, distance) of the exact neighbour graph, written once: builds read it several times."""
+    return materialize(knn.graph(vectors, k, metric, id_col, embedding).select("src", "dst", "distance"), "graph")
+
+
 def mean_vector(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     """One row (centre array<double>)."""
     parts = vectors.select(F.posexplode(embedding).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))

@@ -37,7 +37,7 @@ def weighted(vector: DataFrame, text: DataFrame, k: int, alpha: float = 0.5, bet
 
 
 def vector_only(vector: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    return _top(vector.withColumn("score", F.lit(0.0)).withColumn("fused", -F.col("distance")), k, id_col)
+    return _top(vector.withColumn("score", F.lit(0.0)).withColumn("fused", F.lit(0.0) - F.col("distance")), k, id_col)
 
 
 def text_only(text: DataFrame, k: int, id_col: str = "id") -> DataFrame:

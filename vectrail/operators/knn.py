@@ -50,7 +50,7 @@ def _block_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         return -s
     if metric == "cosine":
         length = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
-        return np.where(length == 0, 1.0, 1 - s / np.where(length == 0, 1, length))
+        return np.where(length == 0, 1.0, np.maximum(0.0, 1 - s / np.where(length == 0, 1, length)))
     d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * s, 0)
     return d if metric == "squared_euclidean" else np.sqrt(d)
 

@@ -359,7 +359,7 @@ def hybrid_filtered(spark, d):
     return _shown(hybrid.rrf(*_sides(spark, d, 10, 3, allowed.select(F.col("doc_id").alias("id")), allowed), 10))
 
 
-@query(f"SELECT query_id, rank::INT AS rank, vec_id AS id, round(d, 6) AS vector_score, 0::DOUBLE AS text_score, round(-d, 6) AS fused FROM ({S.knn('cosine', 10)})")
+@query(f"SELECT query_id, rank::INT AS rank, vec_id AS id, round(d, 6) AS vector_score, 0::DOUBLE AS text_score, round(0 - d, 6) + 0 AS fused FROM ({S.knn('cosine', 10)})")
 def hybrid_vector_only(spark, d):
     vector = knn.search_many(embeddings(spark, d), asked(spark, d), 20).withColumnRenamed("vec_id", "id")
     return _shown(hybrid.fuse(vector, None, 10))
@@ -377,3 +377,402 @@ def hybrid_dim_mismatch_fallback(spark, d):
     short = _paired(spark, d).withColumn("embedding", F.slice("embedding", 1, 3))
     vector = knn.search_many(embeddings(spark, d), short, 20).withColumnRenamed("vec_id", "id")
     return _shown(hybrid.rrf(vector, _sides(spark, d, 10)[1], 10))
+
+
+# ---- quantisation
+
+_SQ = "(SELECT low, high, 254.0::DOUBLE / (high - low) AS scale, -127 - low * (254.0::DOUBLE / (high - low)) AS offs FROM (SELECT min(list_min(embedding))::DOUBLE AS low, max(list_max(embedding))::DOUBLE AS high FROM embeddings))"
+_CODE = "greatest(-127, least(127, round(x::DOUBLE * scale + offs)::INT))"
+
+
+@query(f"SELECT round(low, 6) AS low, round(high, 6) AS high, round(scale, 6) AS scale, round(offs, 6) AS offs FROM {_SQ}")
+def sq_params(spark, d):
+    p = quantize.scalar_params(embeddings(spark, d))
+    return p.select(*(r6(c, c) for c in ("low", "high", "scale")), r6("offset", "offs"))
+
+
+@query(f"SELECT vec_id, (i - 1)::INT AS dim, {_CODE} AS code FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), {_SQ}")
+def sq_quantize(spark, d):
+    e = embeddings(spark, d)
+    return quantize.scalar_quantize(e, quantize.scalar_params(e)).select("vec_id", F.posexplode("codes").alias("dim", "code"))
+
+
+@query(f"SELECT round(avg(abs(x::DOUBLE - ({_CODE} - offs) / scale)), 6) AS mean_error, round(max(abs(x::DOUBLE - ({_CODE} - offs) / scale)), 6) AS max_error FROM (SELECT unnest(embedding) AS x FROM embeddings), {_SQ}")
+def sq_dequant_error(spark, d):
+    e = embeddings(spark, d)
+    coded = quantize.scalar_quantize(e, quantize.scalar_params(e))
+    gap = F.zip_with("embedding", quantize.scalar_dequantize(F.col("codes")), lambda x, y: F.abs(x.cast("double") - y))
+    return coded.select(F.explode(gap).alias("g")).agg(r6(F.avg("g"), "mean_error"), r6(F.max("g"), "max_error"))
+
+
+_SQ_CODED = f"(SELECT vec_id, list_transform(embedding, lambda x: {_CODE}) AS codes FROM embeddings, {_SQ})"
+
+
+@query(f"""WITH c AS {_SQ_CODED} SELECT query_id, rank::INT AS rank, vec_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, {S.l2sq('c.codes', 'q.codes')} AS d2 FROM c, c AS q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""")
+def sq_int8_knn(spark, d):
+    """Nearest neighbours by the codes alone."""
+    e = embeddings(spark, d)
+    coded = quantize.scalar_quantize(e, quantize.scalar_params(e)).select("vec_id", F.col("codes").cast("array<float>").alias("embedding"))
+    near = knn.search_many(coded, coded.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10, "squared_euclidean")
+    return near.select("query_id", "rank", "vec_id", F.round("distance", 0).alias("d2"))
+
+
+def _subs_sql(cuts: list[tuple[int, int]], source: str = "SELECT vec_id, embedding FROM embeddings") -> str:
+    parts = " UNION ALL ".join(f"SELECT vec_id, {i}::INT AS sv, embedding[{s + 1}:{s + w}]::DOUBLE[] AS sub FROM src" for i, (s, w) in enumerate(cuts))
+    return f"src AS ({source}), subs AS ({parts})"
+
+
+def _pq_sql(cuts: list[tuple[int, int]], codes: int, source: str = "SELECT vec_id, embedding FROM embeddings") -> str:
+    """CTEs subs, book (sv, code, c) from the first vectors, coded (vec_id, sv, code, sub, d)."""
+    return f"""{_subs_sql(cuts, source)}, book AS (SELECT sv, (r - 1)::INT AS code, sub AS c FROM (SELECT *, row_number() OVER (PARTITION BY sv ORDER BY vec_id) AS r FROM subs) WHERE r <= {codes}),
+    coded AS (SELECT vec_id, sv, arg_min(code, (d, code)) AS code, min(d) AS d FROM (SELECT vec_id, subs.sv, code, {S.l2sq('sub', 'c')} AS d FROM subs JOIN book ON subs.sv = book.sv) GROUP BY 1, 2)"""
+
+
+PQ8 = quantize.parts(64, 8)
+AQ5 = quantize.parts(64, 5, uneven=True)
+
+
+def _pq(spark, d, cuts=PQ8, codes=16):
+    subs = quantize.subvectors(embeddings(spark, d), cuts)
+    book = quantize.first_codebook(subs, codes)
+    return subs, book
+
+
+@query(f"WITH {_pq_sql(PQ8, 16)} SELECT vec_id, sv, code FROM coded")
+def pq_encode(spark, d):
+    return quantize.encode(*_pq(spark, d))
+
+
+@query(f"WITH {_pq_sql(PQ8, 16)} SELECT vec_id, round(sum(d), 6) AS error FROM coded GROUP BY 1")
+def pq_decode_error(spark, d):
+    """Squared distance between each vector and what its codes say."""
+    subs, book = _pq(spark, d)
+    decoded = quantize.decode(quantize.encode(subs, book), book)
+    return embeddings(spark, d).join(decoded, "vec_id").select("vec_id", r6(V.l2_squared(F.col("embedding"), F.col("decoded")), "error"))
+
+
+@query(f"WITH {_pq_sql(AQ5, 16)} SELECT vec_id, sv, code FROM coded")
+def aq_uneven_subvectors(spark, d):
+    return quantize.encode(*_pq(spark, d, AQ5))
+
+
+_ADC = f"""q AS (SELECT vec_id AS query_id, sv, sub AS qs FROM subs WHERE vec_id % 50 = 0), tab AS (SELECT query_id, q.sv, code, {S.l2sq('qs', 'c')} AS part FROM q JOIN book ON q.sv = book.sv),
+    adc AS (SELECT query_id, vec_id, round(sum(part), 9) AS d2 FROM coded JOIN tab ON coded.sv = tab.sv AND coded.code = tab.code GROUP BY 1, 2)"""
+
+
+def _ranked(cte: str, k: int) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM {cte}) WHERE rank <= {k})"
+
+
+@query(f"WITH {_pq_sql(PQ8, 16)}, {_ADC} SELECT query_id, rank::INT AS rank, vec_id, round(d2, 6) AS d2 FROM {_ranked('adc', 10)}")
+def pq_adc_knn(spark, d):
+    subs, book = _pq(spark, d)
+    scored = quantize.adc_distances(quantize.encode(subs, book), quantize.adc_table(asked(spark, d), book, PQ8))
+    return quantize.top_k(scored, 10, "d2").select("query_id", "rank", "vec_id", r6("d2", "d2"))
+
+
+@query(f"""WITH {_pq_sql(PQ8, 16)}, sym AS (SELECT a.vec_id AS query_id, b.vec_id, round(sum({S.l2sq('x.c', 'y.c')}), 9) AS d2 FROM coded a JOIN coded b ON a.sv = b.sv JOIN book x ON x.sv = a.sv AND x.code = a.code
+  JOIN book y ON y.sv = b.sv AND y.code = b.code WHERE a.vec_id % 50 = 0 GROUP BY 1, 2) SELECT query_id, rank::INT AS rank, vec_id, round(d2, 6) AS d2 FROM {_ranked('sym', 10)}""")
+def pq_sdc(spark, d):
+    subs, book = _pq(spark, d)
+    codes = quantize.encode(subs, book)
+    to = codes.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return quantize.top_k(quantize.code_distances(codes, book, to), 10, "d2").select("query_id", "rank", "vec_id", r6("d2", "d2"))
+
+
+_EXACT = f"exact AS (SELECT query_id, vec_id, {S.l2sq('embedding', 'q')} AS d2 FROM embeddings, {S.ASKED})"
+
+
+@query(f"""WITH {_pq_sql(PQ8, 16)}, {_ADC}, {_EXACT}, pool AS {_ranked('adc', 50)}, again AS (SELECT exact.query_id, exact.vec_id, exact.d2 FROM pool JOIN exact USING (query_id, vec_id))
+  SELECT query_id, rank::INT AS rank, vec_id, round(sqrt(d2), 6) AS distance FROM {_ranked('again', 10)}""")
+def adc_then_rerank(spark, d):
+    """Codes choose 50 candidates, exact distances the 10 nearest of them."""
+    subs, book = _pq(spark, d)
+    scored = quantize.adc_distances(quantize.encode(subs, book), quantize.adc_table(asked(spark, d), book, PQ8))
+    return ivf.rerank(quantize.top_k(scored, 50, "d2"), embeddings(spark, d), asked(spark, d), 10).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+
+@query(f"""WITH {_pq_sql(PQ8, 16)}, {_ADC}, {_EXACT}, t AS {_ranked('exact', 10)}, f AS {_ranked('adc', 10)}
+  SELECT round(avg(share), 6) AS recall FROM (SELECT t.query_id, count(f.vec_id) / count(*)::DOUBLE AS share FROM t LEFT JOIN f ON t.query_id = f.query_id AND t.vec_id = f.vec_id GROUP BY 1)""")
+def recall_at_k(spark, d):
+    subs, book = _pq(spark, d)
+    found = quantize.top_k(quantize.adc_distances(quantize.encode(subs, book), quantize.adc_table(asked(spark, d), book, PQ8)), 10, "d2")
+    truth = knn.search_many(embeddings(spark, d), asked(spark, d), 10, "euclidean")
+    return knn.recall_at_k(truth, found, 10).select(r6("recall", "recall"))
+
+
+@query()
+def pq_trained_recall(spark, d):
+    """Recall of the ten nearest by trained codes (64 codes in 16 parts, 3 rounds) before an exact rerank of 100."""
+    e, cuts = embeddings(spark, d), quantize.parts(64, 16)
+    subs = quantize.subvectors(e, cuts)
+    book = quantize.train(subs, 64, 3)
+    scored = quantize.adc_distances(quantize.encode(subs, book), quantize.adc_table(asked(spark, d), book, cuts))
+    found = ivf.rerank(quantize.top_k(scored, 100, "d2"), e, asked(spark, d), 10)
+    return knn.recall_at_k(knn.search_many(e, asked(spark, d), 10, "euclidean"), found, 10)
+
+
+# ---- k-means and inverted lists
+
+
+def _lloyd_sql(k: int, rounds: int, spherical: bool) -> str:
+    """CTEs v and c0..c<rounds> (cid, c)."""
+    unit = lambda v: f"list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+    v = "embedding::DOUBLE[]"
+    out = [f"v AS MATERIALIZED (SELECT vec_id, {unit(v) if spherical else v} AS x FROM embeddings)", f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS cid, x AS c FROM (SELECT * FROM v ORDER BY vec_id LIMIT {k}))"]
+    for i in range(rounds):
+        d = f"(-{S.dot('x', 'c')})" if spherical else S.l2sq("x", "c")
+        out.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, arg_min(cid, (d, cid)) AS cid FROM (SELECT vec_id, x, cid, {d} AS d FROM v, c{i}) GROUP BY 1)")
+        mean = f"(SELECT cid, list(m ORDER BY p) AS c FROM (SELECT cid, p, avg(y) AS m FROM (SELECT cid, unnest(x) AS y, generate_subscripts(x, 1) AS p FROM a{i}) GROUP BY 1, 2) GROUP BY 1)"
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.cid, coalesce({unit('n.c') if spherical else 'n.c'}, c{i}.c) AS c FROM c{i} LEFT JOIN {mean} n ON n.cid = c{i}.cid)")
+    return ", ".join(out)
+
+
+def _flat_centroids(c: DataFrame) -> DataFrame:
+    return c.select("centroid_id", F.posexplode("centroid").alias("dim", "x")).select("centroid_id", "dim", r6("x", "x"))
+
+
+_FLAT = "SELECT cid AS centroid_id, (p - 1)::INT AS dim, round(x, 6) AS x FROM (SELECT cid, unnest(c) AS x, generate_subscripts(c, 1) AS p FROM {0})"
+
+
+@query(f"WITH {_lloyd_sql(8, 3, False)} {_FLAT.format('c3')}")
+def kmeans_lloyd3(spark, d):
+    return _flat_centroids(kmeans.lloyd(embeddings(spark, d), 8, 3))
+
+
+@query(f"WITH {_lloyd_sql(8, 3, True)} {_FLAT.format('c3')}")
+def spherical_kmeans3(spark, d):
+    return _flat_centroids(kmeans.lloyd(embeddings(spark, d), 8, 3, spherical=True))
+
+
+_SEEDS = "c AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS cid, embedding::DOUBLE[] AS c FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 16))"
+_LISTS = f"e AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, any_value(embedding) AS embedding, arg_min(cid, (d, cid)) AS cid FROM (SELECT vec_id, label, embedding, cid, {S.l2sq('embedding', 'c')} AS d FROM embeddings, c) GROUP BY 1)"
+
+
+def _probe_sql(n: int) -> str:
+    return f"probe AS (SELECT * FROM (SELECT query_id, q, cid, c, row_number() OVER (PARTITION BY query_id ORDER BY {S.l2sq('q', 'c')}, cid) AS r FROM {S.ASKED}, c) WHERE r <= {n})"
+
+
+def _ivf(spark, d):
+    e = embeddings(spark, d)
+    c = kmeans.first_rows(e, 16)
+    return ivf.build(e, c), c
+
+
+@query(f"WITH {_SEEDS}, {_LISTS} SELECT vec_id, cid AS centroid_id FROM e")
+def ivf_assign(spark, d):
+    return _ivf(spark, d)[0].select("vec_id", "centroid_id")
+
+
+@query("""WITH c AS (SELECT centroid_id, embedding::DOUBLE[] AS c FROM ivf_centroids WHERE len(embedding) = 32),
+  e AS (SELECT entry_id, added_at, embedding::DOUBLE[] AS x FROM ivf_entries WHERE len(embedding) = 32 AND len(list_filter(embedding, lambda y: NOT isfinite(y))) = 0)
+  SELECT entry_id, added_at, arg_min(centroid_id, (d, centroid_id)) AS centroid_id, round(min(d), 6) AS d2 FROM (
+    SELECT entry_id, added_at, centroid_id, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM e, c) GROUP BY 1, 2""")
+def ivf_reassign_entries(spark, d):
+    """The best list of every usable entry row under the trained centroids."""
+    good = F.forall("embedding", lambda x: ~F.isnan(x))
+    rows = table(spark, d, "ivf_entries").where((F.size("embedding") == 32) & good).select("entry_id", "added_at", "embedding")
+    c = table(spark, d, "ivf_centroids").where(F.size("embedding") == 32).select("centroid_id", F.transform("embedding", lambda x: x.cast("double")).alias("centroid"))
+    found = kmeans.assign(rows, c, id_col="entry_id").dropDuplicates(["entry_id", "added_at"])
+    return found.select("entry_id", "added_at", "centroid_id", r6("centroid_distance", "d2"))
+
+
+@query("""SELECT count(*) AS lists, sum(n)::BIGINT AS entries, round(avg(n), 6) AS mean_size, min(n) AS least, max(n) AS most FROM (
+  SELECT c.centroid_id, count(e.entry_id) AS n FROM ivf_centroids c LEFT JOIN ivf_entries e ON e.centroid_id = c.centroid_id GROUP BY 1)""")
+def ivf_list_stats(spark, d):
+    s = ivf.list_stats(table(spark, d, "ivf_entries"), table(spark, d, "ivf_centroids"))
+    return s.select("lists", "entries", r6("mean_size", "mean_size"), "least", "most")
+
+
+def _ivf_sql(n: int, where: str = "true", k: int = 10) -> str:
+    return f"""WITH {_SEEDS}, {_LISTS}, {_probe_sql(n)}, h AS (SELECT query_id, vec_id, {S.l2sq('embedding', 'q')} AS d2 FROM probe JOIN e ON e.cid = probe.cid WHERE {where})
+    SELECT query_id, rank::INT AS rank, vec_id, round(sqrt(d2), 6) AS distance FROM {_ranked('h', k)}"""
+
+
+@query(_ivf_sql(4))
+def ivf_flat_search(spark, d):
+    entries, c = _ivf(spark, d)
+    return ivf.search(entries, c, asked(spark, d), 10, 4).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+
+@query(_ivf_sql(16))
+def ivf_flat_full_probe(spark, d):
+    entries, c = _ivf(spark, d)
+    return ivf.search(entries, c, asked(spark, d), 10, 16).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+
+@query(_ivf_sql(8, "label IN (2, 5)"))
+def ivf_flat_filtered(spark, d):
+    entries, c = _ivf(spark, d)
+    keep = flt.In("label", (2, 5)).column(flt.Fields(None))
+    return ivf.search(entries, c, asked(spark, d), 10, 8, keep=keep).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+
+def _ivfpq_sql(cuts: list[tuple[int, int]], n: int, k: int) -> str:
+    res = "list_transform(list_zip({0}::DOUBLE[], c), lambda z: z[1] - z[2])"
+    source = f"SELECT vec_id, {res.format('embedding')} AS embedding FROM e JOIN c USING (cid)"
+    subq = " UNION ALL ".join(f"SELECT query_id, cid, {i}::INT AS sv, r[{s + 1}:{s + w}] AS qs FROM qr" for i, (s, w) in enumerate(cuts))
+    return f"""WITH {_SEEDS}, {_LISTS}, {_probe_sql(n)}, {_pq_sql(cuts, 16, source)}, qr AS (SELECT query_id, cid, {res.format('q')} AS r FROM probe), q AS ({subq}),
+    tab AS (SELECT query_id, cid, q.sv, code, {S.l2sq('qs', 'c')} AS part FROM q JOIN book ON q.sv = book.sv),
+    adc AS (SELECT query_id, coded.vec_id, round(sum(part), 9) AS d2 FROM coded JOIN e ON e.vec_id = coded.vec_id JOIN tab ON tab.cid = e.cid AND tab.sv = coded.sv AND tab.code = coded.code GROUP BY 1, 2),
+    found AS {_ranked('adc', k)}"""
+
+
+def _ivfpq(spark, d, cuts, n, k):
+    entries, c = _ivf(spark, d)
+    book = quantize.first_codebook(quantize.subvectors(ivf.residuals(entries, c), cuts), 16)
+    codes = ivf.encode(entries, c, book, cuts)
+    return ivf.search_codes(codes, c, book, asked(spark, d), cuts, k, n)
+
+
+@query(f"{_ivfpq_sql(PQ8, 4, 10)} SELECT query_id, rank::INT AS rank, vec_id, round(d2, 6) AS d2 FROM found")
+def ivfpq_search(spark, d):
+    return _ivfpq(spark, d, PQ8, 4, 10).select("query_id", "rank", "vec_id", r6("d2", "d2"))
+
+
+@query(f"""{_ivfpq_sql(AQ5, 6, 50)}, {_EXACT}, again AS (SELECT exact.query_id, exact.vec_id, exact.d2 FROM found JOIN exact USING (query_id, vec_id))
+  SELECT query_id, rank::INT AS rank, vec_id, round(sqrt(d2), 6) AS distance FROM {_ranked('again', 10)}""")
+def partitioned_search_rerank(spark, d):
+    """Lists, codes of uneven parts, and an exact rerank of 50."""
+    found = _ivfpq(spark, d, AQ5, 6, 50)
+    return ivf.rerank(found, embeddings(spark, d), asked(spark, d), 10).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+
+# ---- graphs
+
+
+@query("SELECT vec_id, floor(-ln(((vec_id * 2654435761) % 4294967296 + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / ln(16.0::DOUBLE))::INT AS level FROM embeddings")
+def graph_levels(spark, d):
+    return graph.levels(embeddings(spark, d))
+
+
+@query("SELECT layer::INT AS layer, count(*) AS nodes FROM (SELECT unnest(range(0, max_level + 1)) AS layer FROM nodes) GROUP BY 1")
+def layer_sizes(spark, d):
+    return graph.layer_sizes(table(spark, d, "nodes"), "max_level")
+
+
+@query(f"WITH g AS ({S.knn('cosine', 16, ALL_QUERIES, 'query_id <> vec_id')}) SELECT query_id AS src, vec_id AS dst, round(d, 6) AS distance FROM g WHERE rank <= 8")
+def nearest_degree_graph(spark, d):
+    return graph.nearest_edges(graph.graph_of(embeddings(spark, d), 16), 8).select("src", "dst", r6("distance", "distance"))
+
+
+@query(f"""WITH g AS ({S.knn('cosine', 8, ALL_QUERIES, 'query_id <> vec_id')}), b AS (SELECT query_id AS src, vec_id AS dst, d FROM g UNION ALL SELECT vec_id, query_id, d FROM g)
+  SELECT src, dst, round(min(d), 6) AS distance FROM b GROUP BY 1, 2""")
+def bidirectional_graph(spark, d):
+    return graph.with_reverse(graph.graph_of(embeddings(spark, d), 8)).select("src", "dst", r6("distance", "distance"))
+
+
+@query()
+def alpha_pruned_graph(spark, d):
+    e = embeddings(spark, d)
+    return graph.alpha_edges(graph.with_reverse(graph.graph_of(e, 32)), e, 16).select("src", "dst", r6("distance", "distance"))
+
+
+@query()
+def graph_beam_search(spark, d):
+    e = embeddings(spark, d)
+    edges = graph.with_reverse(graph.nearest_edges(graph.graph_of(e, 32), 16))
+    start = graph.navigating_node(e).first()["vec_id"]
+    return graph.beam_search(edges, e, asked(spark, d), start, 10, 64).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+
+# ---- collections, requests
+
+_CURRENT = "(SELECT node_id AS id, r.ns AS ns, r.embedding AS embedding, r.metadata AS metadata FROM (SELECT node_id, arg_max({ns: ns, embedding: embedding, metadata: metadata}, {u: updated_at, i: ingested_at}) AS r FROM nodes GROUP BY 1))"
+
+
+def _shown_records(df: DataFrame) -> DataFrame:
+    return df.select("ns", "id", F.col("metadata")["category"].alias("category"))
+
+
+@query(f"SELECT ns, id, CASE WHEN id % 7 = 0 THEN 'revised' ELSE metadata['category'] END AS category FROM {_CURRENT}")
+def upsert_update(spark, d):
+    """Metadata of every seventh record is replaced."""
+    now = store.from_nodes(spark, d)
+    changes = now.where("id % 7 = 0").select("ns", "id", F.create_map(F.lit("category"), F.lit("revised")).alias("metadata"))
+    return _shown_records(store.update(now, changes))
+
+
+@query(f"SELECT ns, id, metadata['category'] AS category FROM {_CURRENT} WHERE id % 3 <> 0")
+def delete_by_id(spark, d):
+    now = store.from_nodes(spark, d)
+    return _shown_records(store.delete_ids(now, now.where("id % 3 = 0")))
+
+
+@query(f"SELECT ns, id, metadata['category'] AS category FROM {_CURRENT} WHERE NOT (coalesce(ns = 'default', false) AND coalesce(metadata['category'] = 'ml', false))")
+def delete_by_filter(spark, d):
+    return _shown_records(store.delete_where(store.from_nodes(spark, d), "default", flt.Compare("category", "eq", "ml")))
+
+
+@query(f"SELECT count_if(ok)::BIGINT AS inserted, count_if(NOT ok)::BIGINT AS failed FROM (SELECT coalesce(ns <> '' AND len(embedding) = 64, false) AS ok FROM {_CURRENT})")
+def batch_insert_summary(spark, d):
+    new = store.from_nodes(spark, d)
+    return store.batch_insert(new.limit(0), new, 64).summary
+
+
+@query("SELECT ns, count(*) AS rows, count_if(coalesce(len(embedding), 0) > 0)::BIGINT AS with_vector, max(CASE WHEN len(embedding) > 0 THEN len(embedding) END)::INT AS dimensions FROM nodes GROUP BY 1")
+def namespace_stats(spark, d):
+    return stats.by_namespace(table(spark, d, "nodes"))
+
+
+@query("""SELECT tenant_id, t.ns, coalesce(used, 0) AS used, max_embeddings AS allowed, round(CASE WHEN max_embeddings > 0 THEN 100.0::DOUBLE * coalesce(used, 0) / max_embeddings ELSE 0 END, 6) AS percent,
+  coalesce(max_embeddings > 0 AND coalesce(used, 0) >= max_embeddings, false) AS over FROM tenants t LEFT JOIN (SELECT ns, count(*) AS used FROM nodes WHERE len(embedding) > 0 GROUP BY 1) u ON u.ns = t.ns""")
+def tenant_usage(spark, d):
+    return stats.usage(table(spark, d, "nodes"), table(spark, d, "tenants")).withColumn("percent", F.round("percent", 6))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  w(user_id, event_id, i, start, n, ok) AS (SELECT user_id, event_id, i, t, 1, true FROM e WHERE i = 1 UNION ALL
+    SELECT e.user_id, e.event_id, e.i, CASE WHEN e.t - w.start >= 86400000000 THEN e.t ELSE w.start END, CASE WHEN e.t - w.start >= 86400000000 THEN 1 WHEN w.n < 3 THEN w.n + 1 ELSE w.n END, e.t - w.start >= 86400000000 OR w.n < 3
+    FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1) SELECT user_id, event_id, ok AS allowed FROM w""")
+def rate_limit_fixed_window(spark, d):
+    return stats.anchored_windows(table(spark, d, "events"), 3, 86400, "user_id", "ts", "event_id")
+
+
+@query()
+def rate_limit_token_bucket(spark, d):
+    return stats.token_bucket(table(spark, d, "events"), 3 / 86400, 5, "user_id", "ts", "event_id")
+
+
+_LE = "(SELECT unnest([0.001::DOUBLE, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 'inf'::DOUBLE]::DOUBLE[]) AS le)"
+
+
+@query(f"SELECT op_name, le, count_if(coalesce(latency_ms / 1000.0::DOUBLE <= le, false))::BIGINT AS count FROM query_log, {_LE} GROUP BY 1, 2")
+def latency_histogram(spark, d):
+    return stats.histogram(table(spark, d, "query_log"), F.col("latency_ms") / 1000.0, stats.LATENCY_BOUNDS, "op_name")
+
+
+@query("""SELECT ns, hits, misses, round(CASE WHEN hits + misses = 0 THEN 0 ELSE hits / (hits + misses)::DOUBLE END, 6) AS rate FROM (
+  SELECT ns, count_if(cache_hit)::BIGINT AS hits, count_if(NOT cache_hit)::BIGINT AS misses FROM (SELECT query_id, arg_min({ns: ns, cache_hit: cache_hit}, received_at) AS r, any_value(ns) AS x FROM query_log GROUP BY 1) t, LATERAL (SELECT r.ns AS ns, r.cache_hit AS cache_hit) GROUP BY 1)""")
+def cache_hit_rate(spark, d):
+    once = stats.once_delivered(table(spark, d, "query_log"))
+    return stats.hit_rate(once, "cache_hit", "ns").withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def tumbling_event_counts(spark, d):
+    """Extension: events in windows of an hour."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.tumbling_counts(events, "ts", "1 hour", "1 day", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT ns, category, grouping(ns)::INT AS g_ns, grouping(category)::INT AS g_category, count(*) AS n FROM (SELECT ns, metadata['category'] AS category FROM nodes) GROUP BY ROLLUP (ns, category)")
+def rollup_namespace_category(spark, d):
+    """Extension: totals by namespace and category."""
+    rows = table(spark, d, "nodes").select("ns", F.col("metadata")["category"].alias("category"))
+    return rows.rollup("ns", "category").agg(F.grouping("ns").cast("int").alias("g_ns"), F.grouping("category").cast("int").alias("g_category"), F.count("*").alias("n"))
+
+
+@query(f"SELECT ns, id, len(embedding)::INT AS dimensions FROM {_CURRENT} WHERE ns <> '' AND len(embedding) > 0")
+def streaming_ingest_equals_batch(spark, d):
+    """The node table as a stream of files, upserted in micro-batches; the same records as a batch gives."""
+    import uuid
+
+    from vectrail.session import shared_dir
+
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    store.from_nodes(spark, d).write.parquet(f"{base}/in")
+    source = spark.readStream.schema(store.SCHEMA).parquet(f"{base}/in")
+    ingest.ingest(source, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return ingest.ingested(spark, f"{base}/out").select("ns", "id", F.size("embedding").alias("dimensions"))

@@ -18,7 +18,7 @@ def l2sq(a: str, b: str) -> str:
 
 
 def cosine(a: str, b: str) -> str:
-    return f"(1 - {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
+    return f"greatest(0, 1 - {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
 
 
 def distance(metric: str, a: str, b: str) -> str:
