@@ -105,6 +105,9 @@ SLOT = re.compile(
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.DOTALL)
 INDENTED = re.compile(r"^(?: {4}|\t)[ \t]*\S.*$", re.MULTILINE)
 QUOTED = re.compile(r'`[^`\n]*`|"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)')
+MARKS = re.compile(r"[`\"“„«‘]")
+#: What any placeholder holds.
+OPENING = re.compile(r"[{\[<]|@@|__|%%|&lt;|goes here", re.IGNORECASE)
 LOG = re.compile(r"^\W*\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d\S*\s+[A-Z]{3,8}\b.*$", re.MULTILINE)
 CUT = re.compile(r"\n|(?<=[.!?…])\s+")
 TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
@@ -114,7 +117,9 @@ WORD = re.compile(r"[^\W\d_]+(?:\d\w*)?")
 
 def words(passage: str) -> list[str]:
     """Lower-cased words without digits in them."""
-    return [w for w in WORD.findall(PATH.sub(" ", passage).lower()) if w.isalpha() and len(w) > 1]
+    if "/" in passage:
+        passage = PATH.sub(" ", passage)
+    return [w for w in WORD.findall(passage.lower()) if len(w) > 1 and w.isalpha()]
 
 
 def labelled() -> list[tuple[str, frozenset[str]]]:
@@ -123,9 +128,20 @@ def labelled() -> list[tuple[str, frozenset[str]]]:
 
 def own_text(text: str) -> str:
     """The text without code, quotations and log lines."""
-    for mention in (FENCE, INDENTED, QUOTED, LOG):
-        text = mention.sub(" ", text)
-    return text
+    if "```" in text:
+        text = FENCE.sub(" ", text)
+    if "    " in text or "\t" in text:
+        text = INDENTED.sub(" ", text)
+    if MARKS.search(text):
+        text = QUOTED.sub(" ", text)
+    return LOG.sub(" ", text)
+
+
+def plain(body: str) -> str:
+    """The text without entities and tags."""
+    if "&" in body:
+        body = html.unescape(body)
+    return TAG.sub(" ", body) if "<" in body else body
 
 
 class Matcher:
@@ -140,6 +156,13 @@ class Matcher:
         self.idf = {w: math.log(1 + texts / (1 + df.get(w, 0))) for w in self.index}
         self.other = math.log(1 + texts / (1 + texts / 1000))
         self.passage_share, self.text_share = passage_share, text_share
+        self.weight = {w: 0.0 if w in FURNITURE else v for w, v in self.idf.items()} | dict.fromkeys(FURNITURE, 0.0)
+
+    def reach(self, found: list[str]) -> tuple[float, float]:
+        """(mass, mass of the exemplars' words) of words: no exemplar can cover more."""
+        known = [x for x in map(self.weight.get, found) if x is not None]
+        covered = sum(known)
+        return covered + (len(found) - len(known)) * self.other, covered
 
     def passage(self, bag: Counter) -> tuple[float, float, str]:
         """(mass, containment, kind) of the words of a passage."""
@@ -163,22 +186,24 @@ class Matcher:
         if not text or not text.strip():
             return None
         own = own_text(text)
-        if SLOT.search(own):
+        if OPENING.search(own) and SLOT.search(own):
             return "placeholder", 1.0
-        for body in (own, text):
-            content, residue = 0.0, Counter()
-            for line in CUT.split(TAG.sub(" ", html.unescape(body) if "&" in body else body)):
-                bag = Counter(words(line))
-                if bag:
-                    mass, share, kind = self.passage(bag)
+        for body in (plain(own), plain(text)):
+            total, most = self.reach(words(body))
+            # residue passages have at least passage_share of their mass in exemplars' words, so this bounds their share
+            if total and most < self.passage_share * self.text_share * total * (1 - 1e-9):
+                return None
+            residue: Counter = Counter()
+            for line in CUT.split(body) if total else ():
+                found = words(line)
+                mass, covered = self.reach(found)
+                if mass and covered >= self.passage_share * mass:
+                    mass, share, kind = self.passage(Counter(found))
                     if share >= self.passage_share:
                         residue[kind] += mass
-                    else:
-                        content += mass
-            total = content + sum(residue.values())
             if total:
-                share = 1 - content / total
-                return (residue.most_common(1)[0][0], share) if share >= self.text_share and residue else None
+                share = sum(residue.values()) / total
+                return (residue.most_common(1)[0][0], share) if residue and share >= self.text_share else None
         return None
 
 
