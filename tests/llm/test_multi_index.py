@@ -1,0 +1,98 @@
+import heapq
+
+import numpy as np
+
+from vectrail.llm import multi_index as M
+from vectrail.llm.records import usable_entries, usable_nodes
+
+
+def frame(spark, x, ids=None):
+    rows = [(int(i), [float(y) for y in e]) for i, e in zip(ids if ids is not None else range(len(x)), x, strict=True)]
+    return spark.createDataFrame(rows, "rec_id bigint, embedding array<float>")
+
+
+def truth(x, ids, k, cosine):
+    x = x.astype(np.float64)
+    out = {}
+    for i in range(len(x)):
+        if cosine:
+            d = 1 - x @ x[i] / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[i]))
+        else:
+            d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        out[int(ids[i])] = [int(ids[j]) for j in np.lexsort((ids, d))[:k] if j != i]
+    return out
+
+
+def clustered(n, dim, seed=0):
+    r = np.random.default_rng(seed)
+    return (r.normal(size=(40, dim))[r.integers(0, 40, n)] * 3 + r.normal(size=(n, dim)) * 0.3).astype(np.float32)
+
+
+def test_traversal_is_the_heaps_order():
+    r = np.random.default_rng(1)
+    a, b = (np.sort(r.random((20, 8)), 1) for _ in range(2))
+    got = M.traversal(a, b, 8)
+    for row in range(20):
+        heap, seen, order = [(a[row, 0] + b[row, 0], 0, 0)], {(0, 0)}, []
+        while len(order) < 8:
+            _, i, j = heapq.heappop(heap)
+            order.append((i, j))
+            for p in ((i + 1, j), (i, j + 1)):
+                if max(p) < 8 and p not in seen:
+                    seen.add(p)
+                    heapq.heappush(heap, (a[row, p[0]] + b[row, p[1]], *p))
+        assert [tuple(p) for p in got[row]] == order
+
+
+def test_recall(spark):
+    for cosine in (True, False):
+        x = clustered(1500, 32)
+        df = frame(spark, x)
+        got = {}
+        for r in M.nearest_neighbours(df, len(x), df, 5, cosine, centroids=40).collect():
+            got.setdefault(r.rec_id, []).append(r.neighbor_id)
+        want = truth(x, np.arange(len(x)), 5, cosine)
+        assert all(len(set(v)) == len(v) == 5 and i not in v for i, v in got.items())
+        assert np.mean([len(set(want[i]) & set(got.get(i, ()))) / 5 for i in want]) >= 0.9
+
+
+def test_exact_with_one_list_ties_and_copies(spark):
+    x = clustered(60, 8, 3)
+    x = np.concatenate([x, x[:30], np.repeat(x[:1], 100, 0)])
+    ids = np.random.default_rng(0).permutation(1000)[: len(x)]
+    df = frame(spark, x, ids)
+    got = {}
+    for r in M.nearest_neighbours(df, len(x), df, 5, False, centroids=1).orderBy("rec_id", "rank").collect():
+        got.setdefault(r.rec_id, []).append(r.neighbor_id)
+    assert got == truth(x, ids, 5, False)
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    x = clustered(300, 16, 5)
+    df = frame(spark, x)
+    rows = lambda: {(r.rec_id, r.neighbor_id) for r in M.nearest_neighbours(df, len(x), df, 5, True, centroids=2).collect()}
+    whole = rows()
+    monkeypatch.setattr(M, "BLOCK", 20)
+    assert rows() == whole
+
+
+def test_few_and_no_vectors(spark):
+    none = frame(spark, np.empty((0, 8)))
+    assert M.nearest_neighbours(none, 0, none).count() == 0
+    one = frame(spark, np.ones((1, 8)))
+    assert M.nearest_neighbours(one, 1, one).count() == 0
+    three = frame(spark, clustered(3, 8))
+    assert M.nearest_neighbours(three, 3, three).groupBy("rec_id").count().where("count = 2").count() == 3
+
+
+def test_usable_rows(spark):
+    import datetime as dt
+
+    t = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    good, other, nan = [1.0, 2.0], [3.0, 4.0], [1.0, float("nan")]
+    rows = [(1, good, t[0], "x"), (1, other, t[1], "x"), (1, other, t[1], "x"), (2, nan, t[0], "x"), (3, good, t[0], "x"), (3, nan, t[1], "x"), (4, None, t[0], "x"), (5, [], t[0], "x"), (6, [0.0, 0.0], t[0], "x"), (7, [1.0], t[0], "x"), (8, good, None, "x"), (None, good, t[0], "x"), (9, good, None, "x"), (9, other, t[0], "x"), (10, [1.0, None], t[0], "x")]
+    df = spark.createDataFrame(rows, "node_id bigint, embedding array<float>, updated_at timestamp, rec_id string")
+    assert {r.rec_id: list(r.embedding) for r in usable_nodes(df, 2).collect()} == {1: other, 8: good, 9: other}
+    entries = df.withColumnRenamed("rec_id", "ns").withColumnRenamed("node_id", "entry_id").where("entry_id in (1, 2, 4, 5, 6) or entry_id is null")
+    assert {r.rec_id for r in usable_entries(entries, 2).collect()} == {1, 6}

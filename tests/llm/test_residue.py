@@ -1,0 +1,59 @@
+import pytest
+
+from vectrail.llm import residue as R
+
+CONTENT = "The merge policy reads the distance table twice while traffic doubles, and the team kept its notes for the next release."
+
+
+@pytest.fixture(scope="module")
+def matcher():
+    return R.Matcher({"the": 900, "is": 700, "to": 800, "for": 700, "in": 800, "of": 800, "a": 800, "and": 900}, 1000)
+
+
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [
+        ("placeholder", "Dear {{ name }}, your index is ready."),
+        ("placeholder", CONTENT + "\n\nStatus of [[region]] in ${namespace}: fine. " + CONTENT),
+        ("placeholder", "To install (product goes here), open the console."),
+        ("placeholder", "Author: [insert name here]"),
+        ("placeholder", "This page describes &lt;title&gt;."),
+        ("placeholder", "Limits: %%price%% vectors"),
+        ("notice", "Home > Docs\nPlease enable JavaScript to use this console.\n© 2020 ab12"),
+        ("notice", "<noscript>You need to allow scripts to view /kb/x1</noscript>"),
+        ("error", "404 not found: the page /docs/a1 does not exist on this server."),
+        ("error", '{"error": "index unavailable", "code": 503, "trace": "a1b2"}'),
+        ("dummy", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."),
+        ("dummy", "Foo bar baz qwerty lipsum xxxx text."),
+    ],
+)
+def test_residue(matcher, kind, text):
+    assert matcher.judge(text)[0] == kind
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        None,
+        "",
+        " \n\t",
+        CONTENT,
+        'The handler logs "access denied" together with the tenant and then closes the stream.',
+        "Write `{{title}}` wherever the namespace should appear.",
+        '```sh\ncurl ${HOST}/v1 -H "X: ${NS}"\necho "{{title}}"\n```\n' + CONTENT,
+        '```json\n{"id": "a", "k": 35}\n```',
+        "nprobe: 12\nbeta: 4",
+        "2024-01-02 10:00:00 ERROR a1 connection reset while reading /x",
+        "    search(ns, query, k=73)",
+    ],
+)
+def test_content(matcher, text):
+    assert matcher.judge(text) is None
+
+
+def test_table(spark):
+    rows = [(1, "Please enable JavaScript to use this console.", "clash"), (1, "Please enable JavaScript to use this console.", "clash"), (2, CONTENT, ""), (3, None, ""), (4, "", ""), (None, CONTENT, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
+    assert [(r.doc_id, r.kind) for r in R.residue(docs).collect()] == [(1, "notice")] * 2
+    assert sorted((r.doc_id or 0) for r in R.without_residue(docs).collect()) == [0, 2, 3, 4]
+    assert R.residue(docs.limit(0)).count() == 0

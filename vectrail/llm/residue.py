@@ -3,8 +3,8 @@
 Labelled exemplars of residue are kept in an inverted index from word to exemplars. A text is cut into passages (lines and
 sentences); the index retrieves the exemplars that share words with a passage, and the passage's containment is the share of
 its TF-IDF mass that the best two exemplars cover. Passages of high containment are residue. A text is residue if residue
-makes up most of its mass, or if its own sentences hold unfilled placeholders. Text in code, back-quotes and quotation marks
-is a mention: it is left out, unless nothing else is there. Numbers, paths and site furniture (menus, footers) have no mass.
+makes up most of its mass, or if its own sentences hold unfilled placeholders. Text in code, log lines, back-quotes and quotation
+marks is a mention and left out, but quotations count where nothing else is there. Passages of one word do not suffice. Numbers, paths and site furniture (menus, footers) have no mass.
 
 Inverse document frequencies of the exemplars' words come from all texts; any other word weighs as much as one that a
 thousandth of the texts hold. Null, empty and blank texts are no residue; rows with repeated ids are judged one by one.
@@ -126,13 +126,13 @@ def labelled() -> list[tuple[str, frozenset[str]]]:
     return [(kind, frozenset(words(line))) for kind, block in (("notice", NOTICES), ("error", ERRORS), ("dummy", DUMMIES)) for line in block.strip().splitlines()]
 
 
-def own_text(text: str) -> str:
-    """The text without code, quotations and log lines."""
+def own_text(text: str, quoted: bool = False) -> str:
+    """The text without code, log lines and, unless `quoted`, quotations."""
     if "```" in text:
         text = FENCE.sub(" ", text)
     if "    " in text or "\t" in text:
         text = INDENTED.sub(" ", text)
-    if MARKS.search(text):
+    if not quoted and MARKS.search(text):
         text = QUOTED.sub(" ", text)
     return LOG.sub(" ", text)
 
@@ -188,12 +188,13 @@ class Matcher:
         own = own_text(text)
         if OPENING.search(own) and SLOT.search(own):
             return "placeholder", 1.0
-        for body in (plain(own), plain(text)):
+        for quoted in (False, True):
+            body = plain(own_text(text, True) if quoted else own)
             total, most = self.reach(words(body))
             # residue passages have at least passage_share of their mass in exemplars' words, so this bounds their share
             if total and most < self.passage_share * self.text_share * total * (1 - 1e-9):
                 return None
-            residue: Counter = Counter()
+            residue, telling = Counter(), False
             for line in CUT.split(body) if total else ():
                 found = words(line)
                 mass, covered = self.reach(found)
@@ -201,9 +202,10 @@ class Matcher:
                     mass, share, kind = self.passage(Counter(found))
                     if share >= self.passage_share:
                         residue[kind] += mass
+                        telling |= len(set(found)) > 1
             if total:
                 share = sum(residue.values()) / total
-                return (residue.most_common(1)[0][0], share) if residue and share >= self.text_share else None
+                return (residue.most_common(1)[0][0], share) if telling and share >= self.text_share else None
         return None
 
 
