@@ -40,7 +40,8 @@ def negative_dot(a: Column, b: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine, never below 0; 1 if either vector is zero."""
     length = norm(a) * norm(b)
-    return F.when(length == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - dot(a, b) / length))
+    d = F.when(length == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / length)
+    return F.when(d < 0, 0.0).otherwise(d)
 
 
 METRICS = {"cosine": cosine_distance, "euclidean": l2, "squared_euclidean": l2_squared, "dot": negative_dot}

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions.text import tokens
+from vectrail.session import materialize, spread
 
 K1, B = 1.5, 0.75
 
@@ -26,7 +27,7 @@ class TextIndex:
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
-    bag = docs.select(F.col(id_col).alias("doc_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    bag = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     sized = bag.withColumn("dl", F.size("words"))
     postings = sized.select("doc_id", "dl", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     corpus = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -41,10 +42,11 @@ def term_stats(ix: TextIndex) -> DataFrame:
 
 
 def scores(ix: TextIndex, queries: DataFrame, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score) for (query_id, text) rows. Postings meet the query terms first, so only the terms asked
-    for are read on; `allowed` (doc_id) filters after the corpus figures are in."""
+    """(query_id, doc_id, score) for (query_id, text) rows. Postings meet the query terms first, so only those of the terms
+    asked for are read on: they are written once and serve the document frequencies and the scores; `allowed` (doc_id)
+    filters after the corpus figures are in."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    wanted = ix.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = materialize(ix.postings.join(asked.select("term").distinct(), "term", "left_semi"), "bm25-postings")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     stats = df.join(F.broadcast(ix.corpus), how="cross")  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -62,7 +64,19 @@ def search(ix: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | None
     return scores(ix, queries, allowed, k1, b).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def single(text: str, spark) -> DataFrame:
+def saved(ix: TextIndex, path: str) -> TextIndex:
+    """The index written under `path`, postings sorted by term so that a query's terms prune row groups, and read again."""
+    spark = ix.postings.sparkSession
+    ix.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    ix.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    return loaded(spark, path)
+
+
+def loaded(spark: SparkSession, path: str) -> TextIndex:
+    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus"))
+
+
+def single(text: str, spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(0).alias("query_id"), F.lit(text).alias("text"))
 
 

@@ -77,11 +77,12 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
                 vs.append(v)
         shared = spark.sparkContext.broadcast({d: (np.array(i), np.array(v, np.float64)) for d, (i, v) in by_dim.items()})
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, q_kind=got.schema.field(0).type) -> Iterator[pa.RecordBatch]:
+            kind = None
             best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
                 lengths = np.diff(batch.column(1).offsets.to_numpy())
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                ids, kind = batch.column(0).to_numpy(zero_copy_only=False), batch.schema.field(0).type
                 for dim, (qid, q) in shared.value.items():
                     at = np.flatnonzero(lengths == dim)
                     if not len(at):
@@ -100,7 +101,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
             for dim, (who, d) in best.items():
                 qid = np.repeat(shared.value[dim][0], who.shape[1])
                 ok = np.isfinite(d.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(qid[ok]), pa.array(who.ravel()[ok]), pa.array(d.ravel()[ok])], ["query_id", id_col, "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(qid[ok].tolist(), q_kind), pa.array(who.ravel()[ok].tolist(), kind), pa.array(d.ravel()[ok])], ["query_id", id_col, "distance"])
 
         q_type = dict(asked.dtypes)["query_id"]
         part = rows.mapInArrow(run, f"query_id {q_type}, `{id_col}` {id_type}, distance double")
