@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     builder = SparkSession.builder.master(master).appName("vectrail")
     settings = DEFAULTS | {"spark.sql.shuffle.partitions": str(shuffle_partitions)}
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
-    return builder.config(map=settings).getOrCreate()
+    return findable(builder.config(map=settings).getOrCreate())
+
+
+def findable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver found it. On machines that have it elsewhere it comes with
+    --py-files or the workers' own PYTHONPATH, and this does no harm."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, known), root])
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
