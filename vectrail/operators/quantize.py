@@ -6,11 +6,10 @@ parameter. Codes come as rows (id, sv, code).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
-from vectrail.operators import kmeans
 
 
 def scalar_params(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -123,9 +122,16 @@ def vector_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return vectors.select(F.posexplode(embedding).alias("dim", "x")).groupBy("dim").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
 
 
+def save_codebook(codebook: DataFrame, path: str) -> None:
+    """The codebook (sv, code, centroid) as one Parquet file; parts x codes rows."""
+    codebook.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_codebook(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def compression(dim: int, m: int) -> float:
     """Bytes of a raw vector over bytes of its code."""
     return 4.0 * dim / m
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "kmeans")]
