@@ -62,9 +62,10 @@ def size_class(size: str, capacity: int):
     return (F.floor(j / step) * step).cast("int")
 
 
-def harmonic_pack(sizes: DataFrame, capacity: int, top_up: int = 3) -> DataFrame:
+def harmonic_pack(sizes: DataFrame, capacity: int, top_up: int = 3, passes: int = 2) -> DataFrame:
     """(item_id, part, size, bin_id, kind) of (item_id, size) rows. kind: `cut` for full bins of an item above the capacity,
-    `class` for bins of one class, `top` for an item placed in the room that a bin of class 1..top_up leaves.
+    `class` for bins of one class, `top` for an item placed in the room that a bin of class 1..top_up leaves; a bin is given
+    one such item in each of the passes at most.
     Every row with a positive size comes out once, or once per part if it exceeds the capacity."""
     if capacity < 1:
         raise ValueError("the capacity must be positive")
@@ -89,12 +90,18 @@ def harmonic_pack(sizes: DataFrame, capacity: int, top_up: int = 3) -> DataFrame
             break
         room = own.groupBy("bin_id").agg((F.lit(capacity) - F.sum("size")).alias("_room")).where("_room > 0")
         fitting = F.coalesce(*(F.when(F.lit(capacity) / c <= F.col("_room"), F.lit(c)) for c in smaller))
-        open_bins = room.select(F.xxhash64("bin_id").alias("item_id"), F.lit(0).alias("part"), F.col("_room").alias("size"), "bin_id", fitting.alias("class")).where("class is not null")
-        slots = ranked(open_bins, "class", "_rank", buckets).select("class", "_rank", "bin_id")
-        pool = ranked(rest.where(F.col("class") > j), "class", "_rank", buckets)
-        matched = materialize(pool.join(slots, ["class", "_rank"], "left").drop("_rank"), "pack-matched")
-        done.append(matched.where("bin_id is not null").select("item_id", "part", "size", "bin_id", F.lit("top").alias("kind")))
-        rest = matched.where("bin_id is null").drop("bin_id")
+        rest = rest.where(F.col("class") > j)
+        for _ in range(passes):
+            room = materialize(room, "pack-room")
+            open_bins = room.select(F.xxhash64("bin_id").alias("item_id"), F.lit(0).alias("part"), F.col("_room").alias("size"), "bin_id", fitting.alias("class")).where("class is not null")
+            slots = ranked(open_bins, "class", "_rank", buckets).select("class", "_rank", "bin_id")
+            matched = ranked(rest, "class", "_rank", buckets).join(slots, ["class", "_rank"], "left").drop("_rank")
+            matched = materialize(matched, "pack-matched")
+            placed = matched.where("bin_id is not null")
+            done.append(placed.select("item_id", "part", "size", "bin_id", F.lit("top").alias("kind")))
+            rest = matched.where("bin_id is null").drop("bin_id")
+            taken = placed.groupBy("bin_id").agg(F.sum("size").alias("_taken"))
+            room = room.join(taken, "bin_id", "left").select("bin_id", (F.col("_room") - F.coalesce("_taken", F.lit(0))).alias("_room")).where("_room > 0")
     own = ranked(rest.where(F.col("class") > top_up), "class", "_rank", buckets).withColumn("bin_id", F.concat_ws("-", F.lit("h"), "class", F.floor(F.col("_rank") / F.col("class")).cast("string")))
     out = own.select("item_id", "part", "size", "bin_id", F.lit("class").alias("kind"))
     for d in done:
