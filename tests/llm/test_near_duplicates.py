@@ -105,6 +105,27 @@ def test_vectors(spark):
     assert found == {(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if s[a, b] >= 0.98}
 
 
+def at_cosine(x, cosine, r):
+    """Unit vectors along x, and for each another at the given cosine, in the same coordinates."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    n = r.normal(size=x.shape) * (x != 0)
+    n -= (n * u).sum(1)[:, None] * u
+    return u, cosine * u + (1 - cosine**2) ** 0.5 * n / np.linalg.norm(n, axis=1)[:, None]
+
+
+def recall_at_threshold(spark, x, r):
+    a, b = at_cosine(x, 0.98001, r)
+    rows = [(i, e.tolist()) for i, e in enumerate(np.concatenate([a, b]))]
+    v = spark.createDataFrame(rows, "rec_id bigint, embedding array<float>")
+    found = {(p.id_a, p.id_b) for p in N.expanded(*N.similar_vectors(v)).collect()}
+    return np.mean([(i, i + len(x)) in found for i in range(len(x))])
+
+
+def test_bands_reach_pairs_at_the_threshold(spark):
+    r = np.random.default_rng(6)
+    assert recall_at_threshold(spark, r.normal(size=(2000, 64)), r) >= 0.9985
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert N.expanded(*N.similar_texts(docs)).count() == 0 and N.groups(docs).count() == 0

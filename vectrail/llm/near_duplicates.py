@@ -343,7 +343,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return verified_texts(pairs, docs, id_col, text_col, k, counted, similarity), members
 
 
-def similar_vectors(vectors: DataFrame, cosine: float = 0.98, n_bands: int = 14, rows: int = 6) -> tuple[DataFrame, DataFrame]:
+def similar_vectors(vectors: DataFrame, cosine: float = 0.98, n_bands: int = 24, rows: int = 6) -> tuple[DataFrame, DataFrame]:
     """The same for (rec_id, embedding) rows with finite embeddings of one length that aren't all zero, one per rec_id.
     Unit vectors at the cosine c are at most sqrt(2 - 2c) apart, which bounds the candidates' coarse distance."""
     vectors = materialize(vectors, "nd-vectors")
