@@ -106,9 +106,9 @@ def test_vectors(spark):
 
 
 def at_cosine(x, cosine, r):
-    """Unit vectors along x, and for each another at the given cosine, in the same coordinates."""
+    """Unit vectors along x, and for each another at the given cosine, in a random direction."""
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    n = r.normal(size=x.shape) * (x != 0)
+    n = r.normal(size=x.shape)
     n -= (n * u).sum(1)[:, None] * u
     return u, cosine * u + (1 - cosine**2) ** 0.5 * n / np.linalg.norm(n, axis=1)[:, None]
 
@@ -126,6 +126,19 @@ def test_bands_reach_pairs_at_the_threshold(spark):
     assert recall_at_threshold(spark, r.normal(size=(2000, 64)), r) >= 0.9985
 
 
+@pytest.mark.parametrize("shape", ["heavy tails", "one axis", "sparse"])
+def test_bands_do_not_depend_on_the_shape_of_vectors(spark, shape):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(500, 64))
+    if shape == "heavy tails":
+        x = r.standard_cauchy((500, 64))
+    elif shape == "one axis":
+        x[:, 0] = 20
+    else:
+        x *= np.argsort(r.random((500, 64)), 1) < 8
+    assert recall_at_threshold(spark, x, r) >= 0.995
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert N.expanded(*N.similar_texts(docs)).count() == 0 and N.groups(docs).count() == 0

@@ -143,8 +143,9 @@ STEP = 0.75 / 127  # of the coarse coordinates
 
 
 def vector_sketches(vectors: DataFrame, n_bands: int, rows: int, kept: int = 40) -> DataFrame:
-    """(rec_id, h1, h2, bands, coarse) of (rec_id, embedding) rows; coarse: `kept` rotated coordinates of the normalised
-    vector in 8 bits each, from which a lower bound of the distance follows. Narrow."""
+    """(rec_id, h1, h2, bands, coarse) of (rec_id, embedding) rows. Normalised vectors are rotated at random, so that sparse
+    and peaked ones have coordinates like any other's and the overlap of the weights follows from the cosine alone; coarse:
+    `kept` of the rotated coordinates in 8 bits each, from which a lower bound of the distance follows. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = None
@@ -152,10 +153,11 @@ def vector_sketches(vectors: DataFrame, n_bands: int, rows: int, kept: int = 40)
             if not batch.num_rows:
                 continue
             x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            turn = rotation(x.shape[1], min(kept, x.shape[1])) if turn is None else turn
+            turn = rotation(x.shape[1], x.shape[1]) if turn is None else turn
             digests = [_digest(row, np.empty(0)) for row in x + 0.0]
             x /= np.linalg.norm(x, axis=1)[:, None]
-            coarse = np.clip(np.rint(x @ turn / STEP), -127, 127).astype(np.int8)
+            x = x @ turn
+            coarse = np.clip(np.rint(x[:, :kept] / STEP), -127, 127).astype(np.int8)
             keys = []
             for start in range(0, len(x), CHUNK):
                 part = x[start : start + CHUNK]
