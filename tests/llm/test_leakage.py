@@ -55,6 +55,36 @@ def test_paraphrase(spark):
     assert (row.item_id, row.lcs) == (7, 17)
 
 
+def test_paraphrases_are_compared_over_the_whole_stretch(spark):
+    """Words in common that no window holds: spread by changed words over an edge, and those of an item of 140 words."""
+    r = np.random.default_rng(3)
+    items = [(i, [f"i{i}x{x}" for x in range(30)]) for i in range(20)] + [(20, [f"long{x}" for x in range(140)])]
+    docs = []
+    for d in range(60):
+        of = items[d % 20][1]
+        filler = [w for j in r.integers(0, 20, 20) for w in items[(d + 1 + j % 19) % 20][1][:6]]
+        at = int(r.integers(0, len(filler)))
+        changed = [x for k, w in enumerate(of[:24]) for x in (("other", w) if k % 3 == 0 else (w,))]
+        docs.append((d, d % 20, " ".join(filler[:at] + changed + filler[at:])))
+    docs.append((60, 20, " ".join("other" if x % 4 == 3 else w for x, w in enumerate(items[20][1]))))
+    df = spark.createDataFrame([(d, t) for d, _, t in docs], "doc_id bigint, text string")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x for x in L.leaks(df, table, least=15, gap=2).where("lcs >= 15 and answer >= 0.5").collect()}
+    assert {(d, i) for d, i, _ in docs} <= set(got)
+    assert all(got[d, i].lcs >= 24 for d, i, _ in docs) and got[60, 20].lcs == 105
+
+
+def test_thinly_spread_words_are_candidates(spark):
+    """Half of an item's telling words between words of others, so that no window has a high cosine with it."""
+    item = [f"t{x}" for x in range(30)]
+    others = [(i, [f"o{i}x{x}" for x in range(30)]) for i in range(1, 40)]
+    text = [w for k in range(20) for w in (item[k], *others[k][1][:14])]
+    df = spark.createDataFrame([(1, " ".join(text))], "doc_id bigint, text string")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in [(0, item), *others]], "item_id bigint, text string")
+    row = L.leaks(df, table, least=15, gap=2).where("item_id = 0").first()
+    assert row.lcs == 20 and row.answer > 0.6
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")

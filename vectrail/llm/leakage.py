@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -66,20 +67,34 @@ def reader_words(text: str | None, known: dict[str, int] | None = None) -> list[
     return out
 
 
-def longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Words of the longest common run."""
-    same = (a[:, None] == b[None]) & (a[:, None] >= 0)
-    best, run = 0, np.zeros(len(b) + 1, np.int64)
-    for row in same:
-        new = np.zeros_like(run)
-        new[1:] = np.where(row, run[:-1] + 1, 0)
-        run = new
-        best = max(best, int(run.max()))
-    return best
-
-
-def longest_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Words of the longest common subsequence; a row at a time, as the maximum may run along the row."""
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places (i, j) of equal words in a and b, in order; a word below 0 equals none."""
+    at = np.flatnonzero(np.isin(a, b) & (a >= 0))
+    found = [np.nonzero(a[at[s : s + 4096], None] == b[None]) for s in range(0, max(1, len(at)), 4096)]
+    return np.concatenate([at[s * 4096 + i] for s, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
+
+
+def longest_run(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+    """Words of the longest common run: consecutive places on a diagonal."""
+    i, j = places or common(a, b)
+    if not len(i):
+        return 0
+    key = np.sort((j - i) * (2 * len(a) + 2) + i)
+    starts = np.flatnonzero(np.r_[True, np.diff(key) != 1, True])
+    return int(np.diff(starts).max())
+
+
+def longest_subsequence(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+    """Words of the longest common subsequence: the longest chain of places that rises in both, or where places are many, a
+    row at a time, as the maximum may run along the row."""
+    i, j = places or common(a, b)
+    if len(i) <= 64 * min(len(a), len(b)):
+        ends: list[int] = []
+        for y in j[np.lexsort((-j, i))].tolist():
+            at = bisect_left(ends, y)
+            ends[at : at + 1] = [y]
+        return len(ends)
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
     row = np.zeros(len(b) + 1, np.int64)
     for x in a:
         step = row.copy()
@@ -88,9 +103,15 @@ def longest_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def cut(words: np.ndarray, overlap: int) -> list[np.ndarray]:
+    """Windows of up to WINDOW words, each of which has its last `overlap` words in common with the next."""
+    return [words[s : s + WINDOW] for s in range(0, max(1, len(words) - overlap), WINDOW - overlap)]
+
+
 def passages(docs: DataFrame, id_col: str, text_col: str, known: dict[str, int], least: int, gap: int) -> DataFrame:
-    """(doc_id, words): windows of up to WINDOW words of each stretch with at least `least` item words; other words are -1.
-    Windows overlap by `least` - 1 words, so each run of `least` words lies in one. Narrow."""
+    """(doc_id, words): each stretch with at least `least` item words; other words are -1. Without gaps, stretches come in
+    windows that overlap by `least` - 1 words, so each run of `least` words lies in one; with gaps, words in common may be
+    spread over a whole stretch, so it stays whole. Narrow."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,19 +126,35 @@ def passages(docs: DataFrame, id_col: str, text_col: str, known: dict[str, int],
                 at = np.flatnonzero(w >= 0)
                 if len(at) < least:
                     continue
-                cut = np.flatnonzero(np.diff(at) > gap + 1) + 1
-                for a, b in zip(np.r_[0, cut], np.r_[cut, len(at)], strict=True):
+                ends = np.flatnonzero(np.diff(at) > gap + 1) + 1
+                for a, b in zip(np.r_[0, ends], np.r_[ends, len(at)], strict=True):
                     if b - a >= least:
-                        first, last = at[a], at[b - 1] + 1
-                        for s in range(first, max(first + 1, last - least + 1), WINDOW - least + 1):
-                            ids.append(key)
-                            out.append(w[s : min(last, s + WINDOW)])
+                        stretch = w[at[a] : at[b - 1] + 1]
+                        parts = [stretch] if gap else cut(stretch, least - 1)
+                        ids += [key] * len(parts)
+                        out += parts
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "words"])
 
     picked = spread(docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)))
     return picked.mapInArrow(run, "doc_id bigint, words array<int>")
 
 
+def windows_of(table: DataFrame) -> DataFrame:
+    """(words) of whole stretches, in windows that overlap by half. Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        for batch in batches:
+            for row in _rows(batch):
+                out += cut(row, WINDOW // 2)
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["words"])
+                    out = []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["words"])
+
+    return table.select("words").mapInArrow(run, "words array<int>")
+
+
 class _Weights:
     """Rows of word numbers as TF-IDF weights of unit length."""
 
@@ -177,22 +214,23 @@ def right_singular(table: DataFrame, items: list[np.ndarray], idf: np.ndarray, r
     return q @ vectors[:, np.argsort(values)[::-1][:rank]]
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, gap: int = 0, rank: int = 96, cosine: float = 0.25) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, gap: int = 0, rank: int = 96, cosine: float = 0.25, told: float = 0.5) -> DataFrame:
     """(doc_id, item_id, similarity, run, lcs, answer): the best figures of each document and item that share a run of
-    `least` words, or candidates with any common subsequence if `gap` is above 0: similarity is the latent cosine, run and
-    lcs count words, answer is a share."""
+    `least` words, or all candidates if `gap` is above 0: similarity is the latent cosine of windows, run and lcs count words
+    and answer is a share, those of whole stretches if `gap` is above 0. Candidates have a similarity of `cosine` or, whatever
+    their cosine, an answer of at least `told`."""
     spark = docs.sparkSession
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = int(chars // ITEM_CHARS) + 1
     out = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select(F.col("item_id").cast("bigint"), "text")
-        part = _leaks_of_block(docs, [(r["item_id"], r["text"]) for r in block.collect()], id_col, text_col, least, gap, rank, cosine)
+        part = _leaks_of_block(docs, [(r["item_id"], r["text"]) for r in block.collect()], id_col, text_col, least, gap, rank, cosine, told)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, similarity double, run int, lcs int, answer double")
 
 
-def _leaks_of_block(docs, rows, id_col, text_col, least, gap, rank, cosine):
+def _leaks_of_block(docs, rows, id_col, text_col, least, gap, rank, cosine, told):
     spark = docs.sparkSession
     texts = {}
     for item, text in rows:
@@ -203,51 +241,66 @@ def _leaks_of_block(docs, rows, id_col, text_col, least, gap, rank, cosine):
     if not known:
         return spark.createDataFrame([], schema)
     coded = {item: np.array([known[w] for w in ws], np.int32) for item, ws in texts.items() if ws}
-    windows, owner = [], []
-    for item, w in coded.items():
+    windows, first = [], []
+    for w in coded.values():
+        first.append(len(windows))
         for s in range(0, max(1, len(w) - STRIDE), STRIDE):
             windows.append(w[s : s + 2 * STRIDE])
-            owner.append(item)
     found = materialize(passages(docs, id_col, text_col, known, least, gap), "leak-passages")
-    counts = found.select(F.explode(F.array_distinct("words")).alias("word")).where("word >= 0").groupBy("word").agg(F.count("*").alias("n")).toArrow()
+    pieces = materialize(windows_of(found), "leak-windows") if gap else found
+    counts = pieces.select(F.explode(F.array_distinct("words")).alias("word")).where("word >= 0").groupBy("word").agg(F.count("*").alias("n")).toArrow()
     df = np.ones(len(known))
     if counts.num_rows:
         df[counts.column("word").to_numpy()] += counts.column("n").to_numpy()
     for w in windows:
         df[np.unique(w)] += 1
-    idf = np.log(1 + (found.count() + len(windows)) / df)
+    idf = np.log(1 + (pieces.count() + len(windows)) / df)
     own = Counter(w for c in coded.values() for w in set(c.tolist()))
     telling = {item: np.array([w for w in np.unique(c) if own[int(w)] <= max(1, len(coded) // 100)], np.int32) for item, c in coded.items()}
-    basis = right_singular(found, windows, idf, min(rank, len(known)))
+    basis = right_singular(pieces, windows, idf, min(rank, len(known)))
     latent, _ = _Weights(idf).project(windows, basis)
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1))[:, None]
-    shared = spark.sparkContext.broadcast((idf, basis, latent, np.array(owner), coded, telling))  # bounded by the block of items
+    shared = spark.sparkContext.broadcast((idf, basis, latent, np.array(first), coded, telling))  # bounded by the block of items
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis, latent, owner, coded, telling = shared.value
+        idf, basis, latent, first, coded, telling = shared.value
+        names, place = np.array(list(coded)), {item: i for i, item in enumerate(coded)}
         weights = _Weights(idf)
+        tellers: dict[int, list[int]] = {}
+        for item, t in telling.items() if gap else ():
+            for word in t.tolist():
+                tellers.setdefault(word, []).append(item)
+
+        def closest(words: np.ndarray) -> np.ndarray:
+            """The cosine of each item window with the nearest window of the words."""
+            near, parts = np.full(len(latent), -1.0), cut(words, WINDOW // 2)
+            for start in range(0, len(parts), 256):
+                y, _ = weights.project(parts[start : start + 256], basis)
+                y /= np.maximum(1e-12, np.linalg.norm(y, axis=1))[:, None]
+                near = np.maximum(near, (latent @ y.T).max(1))
+            return near
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows, docs_here = _rows(batch), batch.column("doc_id").to_pylist()
-            y, _ = weights.project(rows, basis)
-            y /= np.maximum(1e-12, np.linalg.norm(y, axis=1))[:, None]
             out: list[tuple] = []
             for i, r in enumerate(rows):
-                near = latent @ y[i]
-                best: dict[int, float] = {}
-                for j in np.flatnonzero(near >= cosine):
-                    best[owner[j]] = max(best.get(owner[j], -1.0), float(near[j]))
+                near = closest(r)
+                top = np.maximum.reduceat(near, first)
                 has = np.unique(r)
-                for item, s in best.items():
+                told_of = Counter(item for word in has.tolist() for item in tellers.get(word, ()))
+                wanted = {*names[top >= cosine].tolist(), *(item for item, n in told_of.items() if n >= told * len(telling[item]))}
+                for item in wanted:
                     w = coded[item]
                     if not gap and np.isin(r, w).sum() < least:
                         continue
-                    run = longest_run(r, w)
+                    places = common(r, w)
+                    run = longest_run(r, w, places)
                     if gap or run >= least:
                         t = telling[item]
                         share = float(np.isin(t, has).mean()) if len(t) else 0.0
-                        out.append((docs_here[i], int(item), s, run, longest_subsequence(r, w), share))
+                        out.append((docs_here[i], item, float(top[place[item]]), run, longest_subsequence(r, w, places), share))
             columns = list(zip(*out, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "similarity", "run", "lcs", "answer"])
