@@ -46,3 +46,20 @@ def test_description_and_small_tables(spark):
     assert [(r.cluster_id, r.size, r["rank"], r.rec_id) for r in sorted(rows, key=lambda r: r["rank"])] == [(0, 12, 1, 0), (0, 12, 2, 1), (0, 12, 3, 2)]
     assert G.clusters(frame(spark, np.empty((0, 4))), 2.0).count() == 0
     assert G.clusters(frame(spark, np.zeros((1, 4))), 2.0, 1).count() == 1
+
+
+def test_typical_members_do_not_depend_on_blocks(spark, monkeypatch):
+    """A crowded cell, cut into blocks, stays the densest one of its cluster."""
+    r = np.random.default_rng(1)
+    crowded, sparse = r.normal(size=(300, 3)) * 0.05 + 1, r.normal(size=(60, 3)) * 0.05 + [7, 1, 1]
+    x = np.concatenate([sparse, crowded, [[2.5, 1, 1], [4, 1, 1], [5.5, 1, 1]]])
+
+    def typical():
+        rows = G.described(frame(spark, x), 2.0, 10, axes=2).collect()
+        return [(q.cluster_id, q.size, q["rank"], q.rec_id, round(q.distance, 6)) for q in sorted(rows, key=lambda q: q["rank"])]
+
+    whole = typical()
+    assert all(60 <= row[3] < 360 for row in whole) and [row[:3] for row in whole] == [(0, 363, i) for i in (1, 2, 3)]
+    for block in (64, 8):
+        monkeypatch.setattr(G, "BLOCK", block)
+        assert typical() == whole

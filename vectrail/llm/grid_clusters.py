@@ -21,7 +21,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.llm.components import components
@@ -164,12 +164,12 @@ def _cells(points: DataFrame, axes: np.ndarray, reach: float) -> DataFrame:
 
 
 def micro_cells(points: DataFrame, reach: float, axes: int = 4) -> DataFrame:
-    """(rec_id, leader, micro, d, embedding, label, size) of every vector: its micro-cell, and the label (the smallest id) and size of the cluster."""
+    """(rec_id, cell, leader, micro, d, embedding, label, size) of every vector: its cell and micro-cell, and the label (the smallest id) and size of the cluster."""
     spark = points.sparkSession
     points = materialize(points.select("rec_id", "embedding"), "grid-points")
     n = points.count()
     if not n:
-        return points.select("rec_id", F.col("rec_id").alias("leader"), F.col("rec_id").alias("micro"), F.lit(0.0).alias("d"), "embedding", F.col("rec_id").alias("label"), F.lit(0).cast("bigint").alias("size"))
+        return points.select("rec_id", F.col("rec_id").alias("cell"), F.col("rec_id").alias("leader"), F.col("rec_id").alias("micro"), F.lit(0.0).alias("d"), "embedding", F.col("rec_id").alias("label"), F.lit(0).cast("bigint").alias("size"))
     share = max(1, int(min(1.0, SAMPLE / n) * (1 << 20)))
     fit = points.where(F.pmod(F.xxhash64("rec_id", F.lit("axes")), F.lit(1 << 20)) < share).select("embedding").toArrow().column(0).combine_chunks()
     dim = int(points.select(F.size("embedding").alias("s")).first()["s"])
@@ -208,7 +208,7 @@ def micro_cells(points: DataFrame, reach: float, axes: int = 4) -> DataFrame:
         labels = components(sure.unionByName(touching), "u", "v")
     named = micro.select("micro", "n").join(labels, micro.micro == labels.id, "left").select("micro", "n", F.coalesce("label", "micro").alias("label"))
     total = named.groupBy("label").agg(F.sum("n").alias("size"))
-    return gathered.drop("cell").join(named.select("micro", "label").join(total, "label"), "micro")
+    return gathered.join(named.select("micro", "label").join(total, "label"), "micro")
 
 
 def clusters(points: DataFrame, reach: float, least: int = 10, axes: int = 4) -> DataFrame:
@@ -218,8 +218,15 @@ def clusters(points: DataFrame, reach: float, least: int = 10, axes: int = 4) ->
 
 def described(points: DataFrame, reach: float, least: int = 10, typical: int = 3, axes: int = 4) -> DataFrame:
     """(cluster_id, size, rank, rec_id, distance): the size of each cluster and its most typical members, those of its
-    densest micro-cell that are nearest to the leader (ties to the smaller id)."""
-    found = materialize(micro_cells(points, reach, axes).where(F.col("size") >= least).drop("embedding"), "grid-found")
-    dense = found.groupBy("label", "micro").agg(F.count("*").alias("n")).groupBy("label").agg(F.max(F.struct("n", (-F.col("micro")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("micro"))
-    ordered = found.join(dense, "micro").groupBy("label", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "rec_id"))), 1, typical).alias("top"))
-    return ordered.select(F.col("label").alias("cluster_id"), "size", F.posexplode("top").alias("rank", "m")).select("cluster_id", "size", (F.col("rank") + 1).alias("rank"), "m.rec_id", F.col("m.d").alias("distance"))
+    densest grid cell (of which its vectors are counted, in however many blocks; ties to the cell with the smaller id) that
+    are nearest to their mean there (ties to the smaller id)."""
+    found = micro_cells(points, reach, axes).where(F.col("size") >= least)
+    counts = found.groupBy("label", "cell").agg(F.count("*").alias("n"), F.min("rec_id").alias("first"))
+    dense = materialize(counts.groupBy("label").agg(F.max_by("cell", F.struct("n", -F.col("first"))).alias("cell")), "grid-dense")
+    inside = materialize(found.join(dense, ["label", "cell"]).select("label", "size", "rec_id", "embedding"), "grid-inside")
+    means = inside.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p")).select("label", F.transform("p", lambda z: z["m"]).alias("centre"))
+    far = F.sqrt(F.aggregate(F.zip_with("embedding", "centre", lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x))
+    placed = inside.join(centres, "label").select(F.col("label").alias("cluster_id"), "size", "rec_id", F.round(far, 9).alias("distance"))
+    order = Window.partitionBy("cluster_id").orderBy("distance", "rec_id")
+    return placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= typical).select("cluster_id", "size", "rank", "rec_id", "distance")
