@@ -167,3 +167,18 @@ def test_graphs(cloud):
     assert knn.recall_at_k(knn.search_many(df, q, 5), found, 5).first().recall >= 0.9
     sizes = {r.layer: r.nodes for r in graph.layer_sizes(graph.levels(df, 4)).collect()}
     assert sizes[0] == 200 and all(sizes[i] >= sizes[i + 1] for i in range(len(sizes) - 1))
+
+
+def test_alpha_rule_looks_past_copies_and_crowds(spark):
+    """400 copies of a node, and a crowd of 400 neighbours of which one is kept, hide no farther neighbour."""
+    r = np.random.default_rng(0)
+    x = np.zeros((803, 4))
+    x[:401, 0] = 1  # 0 and its copies
+    x[401:801] = [1, 0.2, 0, 0] + 1e-4 * r.normal(size=(400, 4))
+    x[801], x[802] = [1, 0, 0.5, 0], [1, 0, 0, 0.6]
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    near = np.sqrt(((x - x[0]) ** 2).sum(1))
+    edges = spark.createDataFrame([(0, i, float(near[i])) for i in range(1, 803)] + [(900, i, float(near[i])) for i in range(401, 803)], "src long, dst long, distance double")
+    kept = {(e.src, e.dst) for e in graph.alpha_edges(edges, df, 8, metric="euclidean").collect()}
+    assert {d for s, d in kept if s == 0} >= {1, 801, 802} and {d for s, d in kept if s == 900} >= {801, 802}
+    assert len([d for s, d in kept if s == 0 and d < 401]) == 1

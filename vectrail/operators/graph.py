@@ -9,15 +9,16 @@ rounds of join, distance and top-ef until no query improves.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
 from vectrail.operators import knn
-from vectrail.session import materialize
+from vectrail.session import materialize, tasks_for
 
 
 def graph_of(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -54,25 +55,39 @@ def with_reverse(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "distance").unionByName(back).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
 
 
-def alpha_edges(edges: DataFrame, vectors: DataFrame, degree: int, alpha: float = 1.2, metric: str = "cosine", pool: int = 256, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The alpha rule over each node's `pool` nearest candidates, in order of distance. A node's group has pool rows at most."""
-    near = nearest_edges(edges, pool)
-    named = near.join(vectors.select(F.col(id_col).alias("dst"), F.col(embedding).alias("v")), "dst")
-
-    def prune(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["distance", "dst"])
-        x = np.stack(group["v"].to_numpy()).astype(np.float64)
-        d = knn._block_distances(x, x, metric)
-        kept: list[int] = []
-        for i, far in enumerate(group["distance"].to_numpy()):
-            if len(kept) == degree:
-                break
-            if all(alpha * d[i, j] > far for j in kept):
-                kept.append(i)
-        return group.iloc[kept][["src", "dst", "distance"]]
+def alpha_edges(edges: DataFrame, vectors: DataFrame, degree: int, alpha: float = 1.2, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """The alpha rule over all of each node's candidates, in order of distance. Exact copies among the candidates of a node
+    are one, the smallest id. Candidates are streamed and compared with the kept ones alone, so a hub of any size fits."""
+    named = edges.join(vectors.select(F.col(id_col).alias("dst"), F.col(embedding).alias("v")), "dst")
+    single = named.groupBy("src", "v").agg(F.min(F.struct(F.col("distance").cast("double").alias("distance"), "dst")).alias("e"))
+    ordered = single.select("src", "e.dst", "e.distance", "v").repartition(tasks_for(edges.sparkSession), "src").sortWithinPartitions("src", "distance", "dst")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, kept = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            src, far = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            starts = [0, *(i for i in range(1, len(src)) if src[i] != src[i - 1]), len(src)]
+            picked = []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if src[a] != node:
+                    node, kept = src[a], []
+                if len(kept) == degree:
+                    continue
+                x = np.stack(batch.column(3).slice(a, b - a).to_numpy(zero_copy_only=False)).astype(np.float64)
+                free = np.ones(b - a, bool)
+                for v in kept:
+                    free &= alpha * knn._block_distances(v, x, metric)[0] > far[a:b]
+                for i in range(b - a):
+                    if free[i] and len(kept) < degree:
+                        picked.append(a + i)
+                        kept.append(x[i : i + 1])
+                        free &= alpha * knn._block_distances(x[i : i + 1], x, metric)[0] > far[a:b]
+            yield batch.select(["src", "dst", "distance"]).take(pa.array(picked, pa.int64()))
 
     kind = dict(edges.dtypes)
-    return named.groupBy("src").applyInPandas(prune, f"src {kind['src']}, dst {kind['dst']}, distance double")
+    return ordered.mapInArrow(run, f"src {kind['src']}, dst {kind['dst']}, distance double")
 
 
 def levels(vectors: DataFrame, m: int = 16, id_col: str = "vec_id") -> DataFrame:
