@@ -4,7 +4,7 @@ Texts are read as words the way a reader sees them. A passage is a stretch of a
 other without a gap of more than `gap` other words; texts without such a stretch cannot contain a run of item words, so
 nothing is lost by going on with the passages alone. Passages and item windows form a TF-IDF matrix whose right singular
 vectors come from a distributed randomised SVD: two passes over the written passages, each adding up a words x sketch matrix.
-Item windows with a high cosine in the latent space are a passage's candidates; each is then checked exactly: the longest
+Item windows with a high cosine in the latent space, and items with the same run of words, are a passage's candidates; each is then checked exactly: the longest
 common run of words, the longest common subsequence, and the share of the item's telling words (numbers and rare words: what
 an answer rests on) that the passage has.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectrail.llm.bagminhash import mix
 from vectrail.session import materialize, spread
 
 ITEM_CHARS = 16_000_000
@@ -108,6 +109,15 @@ def cut(words: np.ndarray, overlap: int) -> list[np.ndarray]:
     return [words[s : s + WINDOW] for s in range(0, max(1, len(words) - overlap), WINDOW - overlap)]
 
 
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of n consecutive words."""
+    size = max(0, len(words) - n + 1)
+    key = np.zeros(size, np.uint64)
+    for i in range(n):
+        key = mix(key ^ words[i : i + size].astype(np.uint64))
+    return key
+
+
 def passages(docs: DataFrame, id_col: str, text_col: str, known: dict[str, int], least: int, gap: int) -> DataFrame:
     """(doc_id, words): each stretch with at least `least` item words; other words are -1. Without gaps, stretches come in
     windows that overlap by `least` - 1 words, so each run of `least` words lies in one; with gaps, words in common may be
@@ -218,7 +228,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """(doc_id, item_id, similarity, run, lcs, answer): the best figures of each document and item that share a run of
     `least` words, or all candidates if `gap` is above 0: similarity is the latent cosine of windows, run and lcs count words
     and answer is a share, those of whole stretches if `gap` is above 0. Candidates have a similarity of `cosine` or, whatever
-    their cosine, an answer of at least `told`."""
+    their cosine, an answer of at least `told`; without gaps, hashes of `least` words find all that share a run."""
     spark = docs.sparkSession
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = int(chars // ITEM_CHARS) + 1
@@ -260,10 +270,15 @@ def _leaks_of_block(docs, rows, id_col, text_col, least, gap, rank, cosine, told
     basis = right_singular(pieces, windows, idf, min(rank, len(known)))
     latent, _ = _Weights(idf).project(windows, basis)
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1))[:, None]
-    shared = spark.sparkContext.broadcast((idf, basis, latent, np.array(first), coded, telling))  # bounded by the block of items
+    runs = [(grams(w, least), i) for i, w in enumerate(coded.values())] if not gap else []
+    gram = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in runs)])
+    holder = np.repeat(np.array([i for _, i in runs], np.int64), [len(h) for h, _ in runs])
+    order = np.argsort(gram, kind="stable")
+    gram, holder = gram[order], holder[order]
+    shared = spark.sparkContext.broadcast((idf, basis, latent, np.array(first), coded, telling, gram, holder))  # bounded by the block of items
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis, latent, first, coded, telling = shared.value
+        idf, basis, latent, first, coded, telling, gram, holder = shared.value
         names, place = np.array(list(coded)), {item: i for i, item in enumerate(coded)}
         weights = _Weights(idf)
         tellers: dict[int, list[int]] = {}
@@ -286,15 +301,19 @@ def _leaks_of_block(docs, rows, id_col, text_col, least, gap, rank, cosine, told
             rows, docs_here = _rows(batch), batch.column("doc_id").to_pylist()
             out: list[tuple] = []
             for i, r in enumerate(rows):
-                near = closest(r)
-                top = np.maximum.reduceat(near, first)
                 has = np.unique(r)
-                told_of = Counter(item for word in has.tolist() for item in tellers.get(word, ()))
-                wanted = {*names[top >= cosine].tolist(), *(item for item, n in told_of.items() if n >= told * len(telling[item]))}
+                if not gap:
+                    here = grams(r, least)
+                    low, high = np.searchsorted(gram, here), np.searchsorted(gram, here, "right")
+                    wanted = {int(names[h]) for x, y in zip(low, high, strict=True) for h in holder[x:y]}
+                    if not wanted:
+                        continue
+                top = np.maximum.reduceat(closest(r), first)
+                if gap:
+                    told_of = Counter(item for word in has.tolist() for item in tellers.get(word, ()))
+                    wanted = {*names[top >= cosine].tolist(), *(item for item, n in told_of.items() if n >= told * len(telling[item]))}
                 for item in wanted:
                     w = coded[item]
-                    if not gap and np.isin(r, w).sum() < least:
-                        continue
                     places = common(r, w)
                     run = longest_run(r, w, places)
                     if gap or run >= least:
