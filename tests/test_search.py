@@ -182,3 +182,13 @@ def test_alpha_rule_looks_past_copies_and_crowds(spark):
     kept = {(e.src, e.dst) for e in graph.alpha_edges(edges, df, 8, metric="euclidean").collect()}
     assert {d for s, d in kept if s == 0} >= {1, 801, 802} and {d for s, d in kept if s == 900} >= {801, 802}
     assert len([d for s, d in kept if s == 0 and d < 401]) == 1
+
+
+def test_searches_go_on_until_they_end(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)], "src long, dst long, distance double")
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(21)], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [20.0])], "query_id long, embedding array<float>")
+    assert [r.vec_id for r in graph.beam_search(chain, df, q, 0, 2, 4, metric="euclidean").orderBy("rank").collect()] == [20, 19]
+    for cut in (lambda: graph.beam_search(chain, df, q, 0, 2, 4, rounds=5, metric="euclidean"), lambda: graph.reachable(chain, 0, rounds=5)):
+        with pytest.raises(RuntimeError):
+            cut()

@@ -101,9 +101,9 @@ def layer_sizes(nodes: DataFrame, level: str = "level") -> DataFrame:
     return nodes.select(F.explode(F.sequence(F.lit(0), F.col(level))).alias("layer")).groupBy("layer").agg(F.count("*").alias("nodes"))
 
 
-def beam_search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry: int, k: int, ef: int = 50, rounds: int = 12, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def beam_search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry: int, k: int, ef: int = 50, rounds: int = 1000, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, id, distance). Each round expands what is not expanded yet among each query's best ef, scores the new
-    nodes and keeps the best ef; it ends when a round adds nothing. Rounds are written to the shared folder."""
+    nodes and keeps the best ef; it ends when a round adds nothing, and fails if `rounds` are not enough. Rounds are written to the shared folder."""
     q = queries.select("query_id", F.col(embedding).alias("_q"))
     v = vectors.select(F.col(id_col).alias("node"), F.col(embedding).alias("_v"))
     score = V.distance(metric, F.col("_v"), F.col("_q"))
@@ -118,18 +118,20 @@ def beam_search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry:
         pool = materialize(best, "beam")
         if not pool.where(~F.col("done")).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"no convergence after {rounds} rounds")
     return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("node").alias(id_col), "distance")
 
 
-def reachable(edges: DataFrame, start: int, rounds: int = 30) -> DataFrame:
-    """(node): everything that can be reached from a node, by rounds of joins."""
+def reachable(edges: DataFrame, start: int, rounds: int = 1000) -> DataFrame:
+    """(node): everything that can be reached from a node, by rounds of joins; fails if `rounds` are not enough."""
     spark = edges.sparkSession
     seen = front = materialize(spark.range(1).select(F.lit(start).cast("bigint").alias("node")), "reach")
     for _ in range(rounds):
         step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
         front = materialize(step.join(seen, "node", "left_anti"), "reach")
         if not front.limit(1).count():
-            break
+            return seen
         seen = materialize(seen.unionByName(front), "reach")
-    return seen
+    raise RuntimeError(f"no convergence after {rounds} rounds")
 
