@@ -1,14 +1,16 @@
 """Problem 7: passages of held-out items inside training texts (latent semantic retrieval).
 
 Texts are read as words the way a reader sees them. A passage is a stretch of a text in which words of the items follow each
-other without a gap of more than `gap` other words; texts without such a stretch cannot contain a run of item words, so
-nothing is lost by going on with the passages alone. Passages and item windows form a TF-IDF matrix whose right singular
-vectors come from a distributed randomised SVD: two passes over the written passages, each adding up a words x sketch matrix.
-Item windows with a high cosine in the latent space, and items with the same run of words, are a passage's candidates; each is then checked exactly: the longest
-common run of words, the longest common subsequence, and the share of the item's telling words (numbers and rare words: what
-an answer rests on) that the passage has.
-
-The items are read by every task; they come in blocks of at most ITEM_CHARS characters, each block with a pass of its own.
+other without a gap of more than `gap` other words, without gaps only as neighbours that are neighbours in an item too; texts
+without such a stretch cannot contain a run of item words, so nothing is lost by going on with the passages alone. Windows of
+the passages and of the items form a TF-IDF matrix whose right singular vectors come from a distributed randomised SVD: two
+passes over the written windows, each adding up a words x sketch matrix. Items with a window whose cosine with one of the
+passage's windows is high in the latent space are the passage's candidates; each is then checked exactly: the longest common
+run of words, the longest common subsequence, and the share of the item's telling words (numbers and rare words: what an answer
+rests on) that the passage has.
+
+The items are read by every task; they come in blocks of at most ITEM_CHARS characters, each block with a pass of its own, so
+that a block's words (some 700,000 different ones at the very most) and their latent rows fit a broadcast.
 Null and empty texts contain nothing; repeated items and documents give repeated matches that come out once.
 """
 
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from vectrail.llm.bagminhash import mix
 from vectrail.session import materialize, spread
 
-ITEM_CHARS = 16_000_000
-WINDOW, STRIDE = 48, 12  # words of a passage at most, and between item windows
+ITEM_CHARS = 4_000_000
+WIDE = 48  # words of a passage's window where gaps are allowed
+NARROW, STRIDE = 24, 12  # words of an item's window, and of a passage's without gaps, and from one to the next
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>|<!--.*?-->", re.DOTALL)
 #: Tags inside of which a word may go on.
 INLINE = frozenset("a abbr b big code del em font i ins kbd mark q s small span strike strong sub sup tt u var wbr".split())
@@ -104,9 +107,10 @@ def longest_subsequence(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray,
     return int(row[-1])
 
 
-def cut(words: np.ndarray, overlap: int) -> list[np.ndarray]:
-    """Windows of up to WINDOW words, each of which has its last `overlap` words in common with the next."""
-    return [words[s : s + WINDOW] for s in range(0, max(1, len(words) - overlap), WINDOW - overlap)]
+def cut(words: np.ndarray, size: int) -> list[np.ndarray]:
+    """Windows of up to `size` words that overlap by half; a run of half a window lies in one whole."""
+    step = size // 2
+    return [words[s : s + size] for s in range(0, max(1, len(words) - step), step)]
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -118,45 +122,54 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-def passages(docs: DataFrame, id_col: str, text_col: str, known: dict[str, int], least: int, gap: int) -> DataFrame:
-    """(doc_id, words): each stretch with at least `least` item words; other words are -1. Without gaps, stretches come in
-    windows that overlap by `least` - 1 words, so each run of `least` words lies in one; with gaps, words in common may be
-    spread over a whole stretch, so it stays whole. Narrow."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def neighbours(coded: list[np.ndarray], words: int) -> np.ndarray:
+    """The pairs of words that follow each other in an item, as sorted numbers."""
+    return np.unique(np.concatenate([np.empty(0, np.int64), *(c[:-1].astype(np.int64) * words + c[1:] for c in coded)]))
+
+
+def stretches(w: np.ndarray, least: int, gap: int, pairs: np.ndarray, words: int) -> list[np.ndarray]:
+    """The passages of a text given as word numbers, other words being -1."""
+    at = np.flatnonzero(w >= 0)
+    if len(at) < least:
+        return []
+    apart = np.diff(at) > gap + 1
+    if not gap:
+        key = w[at[:-1]].astype(np.int64) * words + w[at[1:]]
+        place = np.searchsorted(pairs, key)
+        place[place == len(pairs)] = 0
+        apart |= pairs[place] != key if len(pairs) else True
+    ends = np.flatnonzero(apart) + 1
+    return [w[at[a] : at[b - 1] + 1] for a, b in zip(np.r_[0, ends], np.r_[ends, len(at)], strict=True) if b - a >= least]
+
+
+def passages(docs: DataFrame, id_col: str, text_col: str, known: dict[str, int], pairs: np.ndarray, least: int, gap: int) -> DataFrame:
+    """(doc_id, words): each stretch with at least `least` item words; other words are -1. Narrow."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = shared.value
+        look, pairs = shared.value
         for batch in batches:
             ids, out = [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = reader_words(value.as_py(), look)
-                if len(words) < least:
-                    continue
-                w = np.fromiter((look.get(x, -1) for x in words), np.int32, len(words))
-                at = np.flatnonzero(w >= 0)
-                if len(at) < least:
-                    continue
-                ends = np.flatnonzero(np.diff(at) > gap + 1) + 1
-                for a, b in zip(np.r_[0, ends], np.r_[ends, len(at)], strict=True):
-                    if b - a >= least:
-                        stretch = w[at[a] : at[b - 1] + 1]
-                        parts = [stretch] if gap else cut(stretch, least - 1)
-                        ids += [key] * len(parts)
-                        out += parts
+                if len(words) >= least:
+                    found = stretches(np.fromiter((look.get(x, -1) for x in words), np.int32, len(words)), least, gap, pairs, len(look))
+                    ids += [key] * len(found)
+                    out += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "words"])
 
     picked = spread(docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)))
     return picked.mapInArrow(run, "doc_id bigint, words array<int>")
 
 
-def windows_of(table: DataFrame) -> DataFrame:
+def windows_of(table: DataFrame, size: int) -> DataFrame:
     """(words) of whole stretches, in windows that overlap by half. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         for batch in batches:
             for row in _rows(batch):
-                out += cut(row, WINDOW // 2)
+                out += cut(row, size)
                 if len(out) >= 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["words"])
                     out = []
@@ -189,25 +202,27 @@ def _rows(batch: pa.RecordBatch, name: str = "words") -> list[np.ndarray]:
 
 
 def gram_times(table: DataFrame, items: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A basis of the TF-IDF matrix A of the passages and item windows. Tasks add up a words x columns matrix; its rows are
-    summed by word in a shuffle, and the words x columns sum, whose size the items bound, goes to the driver."""
-    shared = table.sparkSession.sparkContext.broadcast((idf, basis))
+    """A'A basis of the TF-IDF matrix A of the passages' and items' windows. Tasks add up a words x columns matrix; its rows are
+    summed by word in a shuffle, and the words x columns sum, whose size the block of items bounds, goes to the driver as Arrow."""
+    shared = table.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32)))
+    columns = basis.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis = shared.value
-        total, weights = np.zeros_like(basis), _Weights(idf)
+        total, weights = np.zeros(basis.shape), _Weights(idf)
         for batch in batches:
             y, sparse = weights.project(_rows(batch), basis)
             for row, (words, w) in zip(y, sparse, strict=True):
                 total[words] += w[:, None] * row
         at = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], ["word", "row"])
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(at) + 1) * columns, columns, np.int32)), pa.array(total[at].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), rows], ["word", "row"])
 
     parts = table.select("words").mapInArrow(run, "word int, row array<double>")
-    added = parts.groupBy("word").agg(F.array(*(F.sum(F.col("row")[i]) for i in range(basis.shape[1]))).alias("row")).toArrow()
-    out = np.zeros_like(basis)
+    added = parts.groupBy("word").agg(F.array(*(F.sum(F.col("row")[i]) for i in range(columns))).alias("row")).toArrow()
+    out = np.zeros(basis.shape)
     if added.num_rows:
-        out[added.column("word").to_numpy()] = np.stack(added.column("row").to_pylist())
+        out[added.column("word").to_numpy()] = added.column("row").combine_chunks().flatten().to_numpy().reshape(-1, columns)
     y, sparse = _Weights(idf).project(items, basis)
     for row, (words, w) in zip(y, sparse, strict=True):
         out[words] += w[:, None] * row
@@ -224,11 +239,11 @@ def right_singular(table: DataFrame, items: list[np.ndarray], idf: np.ndarray, r
     return q @ vectors[:, np.argsort(values)[::-1][:rank]]
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, gap: int = 0, rank: int = 96, cosine: float = 0.25, told: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, similarity, run, lcs, answer): the best figures of each document and item that share a run of
-    `least` words, or all candidates if `gap` is above 0: similarity is the latent cosine of windows, run and lcs count words
-    and answer is a share, those of whole stretches if `gap` is above 0. Candidates have a similarity of `cosine` or, whatever
-    their cosine, an answer of at least `told`; without gaps, hashes of `least` words find all that share a run."""
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, gap: int = 0, rank: int = 96, cosine: float = 0.3, told: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, similarity, run, lcs, answer): the best figures of each document and item that the latent search
+    brings together and that share a run of `least` words, or, if `gap` is above 0, of all it brings together: similarity is
+    the latent cosine of windows, run and lcs count words and answer is a share, those of a whole passage. Candidates have a
+    similarity of `cosine` or, where gaps are allowed, an answer of at least `told`."""
     spark = docs.sparkSession
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = int(chars // ITEM_CHARS) + 1
@@ -237,7 +252,49 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select(F.col("item_id").cast("bigint"), "text")
         part = _leaks_of_block(docs, [(r["item_id"], r["text"]) for r in block.collect()], id_col, text_col, least, gap, rank, cosine, told)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, similarity double, run int, lcs int, answer double")
+    return out if out is not None else spark.createDataFrame([], SCHEMA)
+
+
+SCHEMA = "doc_id bigint, item_id bigint, similarity double, run int, lcs int, answer double"
+
+
+class _Items:
+    """What the tasks know of a block of items: their words, windows in the latent space, telling words, and hashed runs."""
+
+    def __init__(self, coded: dict[int, np.ndarray], words: int, least: int, gap: int):
+        self.coded, self.names, self.least, self.gap = coded, np.array(list(coded)), least, gap
+        parts = [cut(w, NARROW) for w in coded.values()]
+        self.windows = [x for p in parts for x in p]
+        self.first = np.cumsum([0, *map(len, parts)])[:-1]
+        own = Counter(w for c in coded.values() for w in set(c.tolist()))
+        self.telling = {item: np.array([w for w in np.unique(c) if own[int(w)] <= max(1, len(coded) // 100)], np.int32) for item, c in coded.items()}
+        runs = [grams(w, least) for w in coded.values()] if not gap else []
+        gram = np.concatenate([np.empty(0, np.uint64), *runs])
+        holder = np.repeat(np.arange(len(runs)), [len(h) for h in runs]).astype(np.int64)
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.holder = gram[order], holder[order]
+
+    def place(self, idf: np.ndarray, basis: np.ndarray) -> None:
+        self.weights, self.basis = _Weights(idf), basis.astype(np.float32)
+        self.latent = self.project(self.windows)
+
+    def project(self, rows: list[np.ndarray]) -> np.ndarray:
+        y, _ = self.weights.project(rows, self.basis)
+        return (y / np.maximum(1e-12, np.linalg.norm(y, axis=1))[:, None]).astype(np.float32)
+
+    def closest(self, words: np.ndarray) -> np.ndarray:
+        """The cosine of each item's nearest window with the nearest window of the words."""
+        near, parts = np.full(len(self.windows), -1.0, np.float32), cut(words, WIDE if self.gap else NARROW)
+        for start in range(0, len(parts), 256):
+            near = np.maximum(near, (self.latent @ self.project(parts[start : start + 256]).T).max(1))
+        return np.maximum.reduceat(near, self.first)
+
+    def sharing(self, words: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Those of the wanted items (places, sorted) that have a run of `least` words in common with the words."""
+        here = np.unique(grams(words, self.least))
+        low, high = np.searchsorted(self.gram, here), np.searchsorted(self.gram, here, "right")
+        hits = [self.holder[x:y] for x, y in zip(low[high > low], high[high > low], strict=True)]
+        return np.intersect1d(np.concatenate(hits), wanted) if hits else np.empty(0, np.int64)
 
 
 def _leaks_of_block(docs, rows, id_col, text_col, least, gap, rank, cosine, told):
@@ -247,82 +304,52 @@ def _leaks_of_block(docs, rows, id_col, text_col, least, gap, rank, cosine, told
         if item is not None and text:
             texts[item] = reader_words(text)
     known = {w: i for i, w in enumerate(sorted({w for ws in texts.values() for w in ws}))}
-    schema = "doc_id bigint, item_id bigint, similarity double, run int, lcs int, answer double"
     if not known:
-        return spark.createDataFrame([], schema)
-    coded = {item: np.array([known[w] for w in ws], np.int32) for item, ws in texts.items() if ws}
-    windows, first = [], []
-    for w in coded.values():
-        first.append(len(windows))
-        for s in range(0, max(1, len(w) - STRIDE), STRIDE):
-            windows.append(w[s : s + 2 * STRIDE])
-    found = materialize(passages(docs, id_col, text_col, known, least, gap), "leak-passages")
-    pieces = materialize(windows_of(found), "leak-windows") if gap else found
+        return spark.createDataFrame([], SCHEMA)
+    block = _Items({item: np.array([known[w] for w in ws], np.int32) for item, ws in texts.items() if ws}, len(known), least, gap)
+    found = materialize(passages(docs, id_col, text_col, known, neighbours(list(block.coded.values()), len(known)), least, gap), "leak-passages")
+    pieces = materialize(windows_of(found, WIDE if gap else NARROW), "leak-windows")
     counts = pieces.select(F.explode(F.array_distinct("words")).alias("word")).where("word >= 0").groupBy("word").agg(F.count("*").alias("n")).toArrow()
     df = np.ones(len(known))
     if counts.num_rows:
         df[counts.column("word").to_numpy()] += counts.column("n").to_numpy()
-    for w in windows:
+    for w in block.windows:
         df[np.unique(w)] += 1
-    idf = np.log(1 + (pieces.count() + len(windows)) / df)
-    own = Counter(w for c in coded.values() for w in set(c.tolist()))
-    telling = {item: np.array([w for w in np.unique(c) if own[int(w)] <= max(1, len(coded) // 100)], np.int32) for item, c in coded.items()}
-    basis = right_singular(pieces, windows, idf, min(rank, len(known)))
-    latent, _ = _Weights(idf).project(windows, basis)
-    latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1))[:, None]
-    runs = [(grams(w, least), i) for i, w in enumerate(coded.values())] if not gap else []
-    gram = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in runs)])
-    holder = np.repeat(np.array([i for _, i in runs], np.int64), [len(h) for h, _ in runs])
-    order = np.argsort(gram, kind="stable")
-    gram, holder = gram[order], holder[order]
-    shared = spark.sparkContext.broadcast((idf, basis, latent, np.array(first), coded, telling, gram, holder))  # bounded by the block of items
+    idf = np.log(1 + (pieces.count() + len(block.windows)) / df)
+    block.place(idf, right_singular(pieces, block.windows, idf, min(rank, len(known))))
+    shared = spark.sparkContext.broadcast(block)  # bounded by ITEM_CHARS
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis, latent, first, coded, telling, gram, holder = shared.value
-        names, place = np.array(list(coded)), {item: i for i, item in enumerate(coded)}
-        weights = _Weights(idf)
+        block = shared.value
         tellers: dict[int, list[int]] = {}
-        for item, t in telling.items() if gap else ():
+        for i, t in enumerate(block.telling.values()) if gap else ():
             for word in t.tolist():
-                tellers.setdefault(word, []).append(item)
-
-        def closest(words: np.ndarray) -> np.ndarray:
-            """The cosine of each item window with the nearest window of the words."""
-            near, parts = np.full(len(latent), -1.0), cut(words, WINDOW // 2)
-            for start in range(0, len(parts), 256):
-                y, _ = weights.project(parts[start : start + 256], basis)
-                y /= np.maximum(1e-12, np.linalg.norm(y, axis=1))[:, None]
-                near = np.maximum(near, (latent @ y.T).max(1))
-            return near
-
+                tellers.setdefault(word, []).append(i)
+        sizes = [len(t) for t in block.telling.values()]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, docs_here = _rows(batch), batch.column("doc_id").to_pylist()
             out: list[tuple] = []
-            for i, r in enumerate(rows):
+            for doc, r in zip(batch.column("doc_id").to_pylist(), _rows(batch), strict=True):
                 has = np.unique(r)
-                if not gap:
-                    here = grams(r, least)
-                    low, high = np.searchsorted(gram, here), np.searchsorted(gram, here, "right")
-                    wanted = {int(names[h]) for x, y in zip(low, high, strict=True) for h in holder[x:y]}
-                    if not wanted:
-                        continue
-                top = np.maximum.reduceat(closest(r), first)
+                top = block.closest(r)
+                wanted = np.flatnonzero(top >= cosine)
                 if gap:
-                    told_of = Counter(item for word in has.tolist() for item in tellers.get(word, ()))
-                    wanted = {*names[top >= cosine].tolist(), *(item for item, n in told_of.items() if n >= told * len(telling[item]))}
-                for item in wanted:
-                    w = coded[item]
+                    told_of = Counter(i for word in has.tolist() for i in tellers.get(word, ()))
+                    wanted = np.union1d(wanted, [i for i, n in told_of.items() if n >= told * sizes[i]]).astype(np.int64)
+                else:
+                    wanted = block.sharing(r, wanted)
+                for i in wanted.tolist():
+                    item = int(block.names[i])
+                    w, t = block.coded[item], block.telling[item]
                     places = common(r, w)
                     run = longest_run(r, w, places)
                     if gap or run >= least:
-                        t = telling[item]
                         share = float(np.isin(t, has).mean()) if len(t) else 0.0
-                        out.append((docs_here[i], item, float(top[place[item]]), run, longest_subsequence(r, w, places), share))
+                        out.append((doc, item, float(top[i]), run, longest_subsequence(r, w, places), share))
             columns = list(zip(*out, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "similarity", "run", "lcs", "answer"])
 
-    hits = spread(found).mapInArrow(check, schema)
+    hits = spread(found).mapInArrow(check, SCHEMA)
     return hits.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("similarity", "run", "lcs", "answer")))

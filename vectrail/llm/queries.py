@@ -86,7 +86,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold most of an item in order, with words changed in between: at least 15 words in common, in order,
     and half of the item's telling words."""
-    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), least=15, gap=2)
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), least=15, gap=2, cosine=0.45)
     kept = found.where("lcs >= 15 and answer >= 0.5")
     return kept.select("doc_id", "item_id", F.round("similarity", 4).alias("similarity"), "run", "lcs", F.round("answer", 4).alias("answer"))
 
