@@ -32,17 +32,17 @@ def clustered(n, dim, seed=0):
 def test_traversal_is_the_heaps_order():
     r = np.random.default_rng(1)
     a, b = (np.sort(r.random((20, 8)), 1) for _ in range(2))
-    got = M.traversal(a, b, 8)
+    got = list(zip(*(zip(*step, strict=True) for step, _ in zip(M.traversal(a, b), range(64), strict=True)), strict=True))
     for row in range(20):
         heap, seen, order = [(a[row, 0] + b[row, 0], 0, 0)], {(0, 0)}, []
-        while len(order) < 8:
+        while heap:
             _, i, j = heapq.heappop(heap)
             order.append((i, j))
             for p in ((i + 1, j), (i, j + 1)):
                 if max(p) < 8 and p not in seen:
                     seen.add(p)
                     heapq.heappush(heap, (a[row, p[0]] + b[row, p[1]], *p))
-        assert [tuple(p) for p in got[row]] == order
+        assert [tuple(map(int, p)) for p in got[row]] == order
 
 
 def test_recall(spark):
@@ -68,13 +68,40 @@ def test_exact_with_one_list_ties_and_copies(spark):
     assert got == truth(x, ids, 5, False)
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
-    x = clustered(300, 16, 5)
+def test_long_lists_are_cut_between_cells(spark):
+    x = clustered(4000, 32, 7)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = M.Index(x, 16, 3, len(x), 4.5, 100)
+    home = [(part, split) for _, part, split, entry in index.reads(x) for part, split, is_entry in zip(part, split, entry, strict=True) if is_entry]
+    parts, sizes = np.unique([p for p, _ in home], return_counts=True)
+    assert len(parts) > 40 and max(n for _, n in home) > 1
+    assert max(sizes / np.array([dict(home)[p] for p in parts])) < 400
     df = frame(spark, x)
-    rows = lambda: {(r.rec_id, r.neighbor_id) for r in M.nearest_neighbours(df, len(x), df, 5, True, centroids=2).collect()}
-    whole = rows()
-    monkeypatch.setattr(M, "BLOCK", 20)
-    assert rows() == whole
+    got = {}
+    for r in M.nearest_neighbours(df, len(x), df, 5, True, centroids=16, visits=3, block=100).collect():
+        got.setdefault(r.rec_id, []).append(r.neighbor_id)
+    want = truth(x, np.arange(len(x)), 5, True)
+    assert np.mean([len(set(want[i]) & set(got.get(i, ()))) / 5 for i in want]) >= 0.9
+
+
+def test_a_cell_longer_than_a_part_stays_whole(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([np.ones((300, 8)) + r.normal(size=(300, 8)) * 1e-3, -np.ones((20, 8)) + r.normal(size=(20, 8)) * 1e-3]).astype(np.float32)
+    df = frame(spark, x)
+    got = {}
+    for row in M.nearest_neighbours(df, len(x), df, 5, False, centroids=2, block=40).orderBy("rec_id", "rank").collect():
+        got.setdefault(row.rec_id, []).append(row.neighbor_id)
+    assert got == truth(x, np.arange(len(x)), 5, False)
+
+
+def test_a_vector_that_is_half_of_all_rows(spark):
+    x = clustered(3000, 8, 3)
+    x[1000:2500] = x[0]
+    df = frame(spark, x)
+    got = {}
+    for row in M.nearest_neighbours(df, len(x), df, 5, False, centroids=1).orderBy("rec_id", "rank").collect():
+        got.setdefault(row.rec_id, []).append(row.neighbor_id)
+    assert got == truth(x, np.arange(len(x)), 5, False)
 
 
 def test_few_and_no_vectors(spark):

@@ -1,16 +1,18 @@
 """Problem 2: the k most similar vectors of every vector, by an inverted multi-index.
 
 The two halves of the vectors are quantised separately, each with its own codebook, so a pair of centroids names a cell. A
-query visits centroid pairs in the order of their summed squared distances. The cells of one first-half centroid are kept
-together as a row list, those of one second-half centroid as a column list, and a visited cell is read with its whole list,
-which brings in more entries for the same transport: the pair visited first brings its row and its column, each later pair
-the row or the column that isn't there yet. The entries of the lists are reranked: a float32 product selects, and distances in double
-precision decide, ties going to the smaller id.
+query visits cells in the order of their centroids' summed squared distances, which a heap yields, until the cells it has
+come by hold a given number of candidates. Cells are stored twice: with the others of their first-half centroid (a row) and with
+those of their second-half centroid (a column). A row or column of up to BLOCK entries is one part; a longer one is cut into
+parts of neighbouring cells, and a cell that alone is longer into parts by id. A visited cell that no part read so far holds is
+read with its part of the row or column (the first one with both), since its neighbours there cost no further transport. The
+entries of the parts are reranked: a float32 product selects, and distances in double precision decide, ties going to the
+smaller id.
 
 The codebooks are fitted on a bounded sample (`sample` rows, chosen by a hash of the id); every row is indexed and every row
-is a query. Lists are cut into blocks of about BLOCK entries by the list sizes in the sample, so a dense region is searched
-by many tasks. Vectors with more than MANY exact copies aren't searched for: the neighbours of each copy are the copies with
-the smallest ids, and these alone stand for the class in other lists.
+is a query. The sizes of the lists and the cuts come from the sample, so a dense region is searched by many tasks, and a
+query goes to the parts with its cells alone. Vectors with more than MANY exact copies aren't searched for: the neighbours of
+each copy are the copies with the smallest ids, and these alone stand for the class in other lists.
 
 Fewer than k other vectors give fewer neighbours; no vectors give no rows; one vector gives none.
 """
@@ -29,6 +31,7 @@ from vectrail.session import materialize, spread, tasks_for
 BLOCK = 8192
 MANY = 64
 SPARE = 6  # more candidates than k for the exact step
+RANKS, POPS = 8, 24  # nearest centroids of either half that a query looks at, and cells it comes by at most
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -50,39 +53,98 @@ def nearest(x: np.ndarray, c: np.ndarray, most: int, distances: bool = False):
     norms = (c * c).sum(1)
     for i in range(0, len(x), 256):
         d = norms - 2 * (x[i : i + 256] @ c.T)
-        rows = np.arange(len(d))
-        for j in range(most):
-            a = d.argmin(1)
-            at[i : i + 256, j], far[i : i + 256, j] = a, d[rows, a]
-            if j + 1 < most:
-                d[rows, a] = np.inf
+        if most == 1:
+            best = d.argmin(1)[:, None]
+        else:
+            best = np.argpartition(d, most - 1, 1)[:, :most] if most < len(c) else np.tile(np.arange(most), (len(d), 1))
+            best = np.take_along_axis(best, np.lexsort((best, np.take_along_axis(d, best, 1)), axis=1), 1)
+        at[i : i + 256], far[i : i + 256] = best, np.take_along_axis(d, best, 1)
     return (at, far) if distances else at
 
 
-def traversal(first: np.ndarray, second: np.ndarray, visits: int) -> np.ndarray:
-    """(rows, visits, 2) ranks of the pairs visited, by summed distance; first and second: ascending distances of each row to
-    the nearest centroids of either half. This is the order in which a heap that starts at (0, 0) and grows by one step in
-    either half yields them, found for all rows at once: a pair at the ranks (i, j) follows (i + 1)(j + 1) - 1 others, so
-    only pairs with (i + 1)(j + 1) <= visits can come up."""
-    pairs = np.array([(i, j) for i in range(first.shape[1]) for j in range(second.shape[1]) if (i + 1) * (j + 1) <= visits])
-    sums = first[:, pairs[:, 0]] + second[:, pairs[:, 1]]
-    return pairs[np.argsort(sums, 1, kind="stable")[:, :visits]]
-
-
-def lists_to_read(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of x, list, whether the row is an entry of it); a list is a first-half centroid, or K1 + a second-half one."""
-    h = x.shape[1] // 2
-    (a, da), (b, db) = nearest(x[:, :h], books[0], visits, True), nearest(x[:, h:], books[1], visits, True)
-    rows, k1 = np.arange(len(x)), len(books[0])
-    out = [(rows, a[:, 0], np.ones(len(x), bool)), (rows, k1 + b[:, 0], np.ones(len(x), bool))]
-    order = traversal(da, db, visits)
-    for step in range(1, order.shape[1]):
-        i, j = order[:, step, 0], order[:, step, 1]
-        new_row, new_column = i > 0, (i == 0) & (j > 0)
-        r, c = rows[new_row], rows[new_column]
-        out.append((r, a[r, i[r]], np.zeros(len(r), bool)))
-        out.append((c, k1 + b[c, j[c]], np.zeros(len(c), bool)))
-    return out
+def traversal(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ranks (i, j) of the next pair of each row, by summed distance; first and second: ascending distances of each row to the
+    nearest centroids of either half. The heap of a row holds the next j of each i, which counts once that of i - 1 is past
+    it; all rows take a step at once. Ends when every pair has come."""
+    rows, heap = np.arange(len(first)), np.zeros(first.shape, np.int64)
+    ends = second.shape[1]
+    for _ in range(first.shape[1] * ends):
+        top = first + np.take_along_axis(second, np.minimum(heap, ends - 1), 1)
+        top[heap >= ends] = np.inf
+        top[:, 1:][heap[:, 1:] >= heap[:, :-1]] = np.inf
+        i = top.argmin(1)
+        j = heap[rows, i]
+        heap[rows, i] = j + 1
+        yield i, j
+
+
+def coherent(c: np.ndarray) -> np.ndarray:
+    """The place of each centroid in an order in which neighbours are near each other."""
+    if len(c) < 3:
+        return np.arange(len(c))
+    coarse = lloyd(c, max(1, int(len(c) ** 0.5)), 3)
+    label = nearest(c, coarse, 1)[:, 0]
+    _, axes = np.linalg.eigh(np.cov(coarse.T) if len(coarse) > 1 else np.eye(c.shape[1]))
+    place = np.empty(len(c), np.int64)
+    place[np.lexsort((((c - coarse[label]) ** 2).sum(1), label, (coarse @ axes[:, -1])[label]))] = np.arange(len(c))
+    return place
+
+
+class Index:
+    """The codebooks and how the lists are cut. A list is a first-half centroid, or K1 + a second-half one."""
+
+    def __init__(self, s: np.ndarray, centroids: int, rounds: int, count: int, visits: float, block: int = BLOCK):
+        h, k = s.shape[1] // 2, min(centroids, max(1, len(s) // 8))
+        halves = [np.ascontiguousarray(part) for part in (s[:, :h], s[:, h:])]
+        self.books = [lloyd(part, k, rounds) for part in halves]
+        self.k1, self.wanted = len(self.books[0]), visits * count / k
+        self.places = [coherent(c) for c in self.books]
+        home = [nearest(part, c, 1)[:, 0] for part, c in zip(halves, self.books, strict=True)]
+        scale = count / len(s)
+        self.sizes = scale * np.r_[np.bincount(home[0], minlength=k), np.bincount(home[1], minlength=k)]
+        # cuts: of list l before the place p of the other half's centroid, as l * width + p; repeated where a cell alone is more
+        self.width, cuts = k + 1, []
+        for which in (0, 1):
+            lists = np.flatnonzero(self.sizes[which * k : which * k + k] > block)
+            for l in lists:
+                other = np.sort(self.places[1 - which][home[1 - which][home[which] == l]])
+                parts = int(np.ceil(self.sizes[which * k + l] / block))
+                cuts.append((which * k + l) * self.width + other[(np.arange(1, parts) * len(other)) // parts])
+        cuts = np.sort(np.concatenate([np.empty(0, np.int64), *cuts]))
+        self.cuts, repeated = np.unique(cuts, return_counts=True)
+        #: of the stretch of cells after so many cuts: n, where n x n parts share it, and the parts more than one of those before
+        self.split = np.r_[1, repeated]
+        self.more = np.r_[0, np.cumsum(self.split**2 - 1)]
+
+    def part(self, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first part, n) of the stretch of cells of a list in which a place lies."""
+        at = np.searchsorted(self.cuts, which * self.width + place, "right")
+        own = np.r_[-1, self.cuts // self.width][at] == which
+        return which + at + np.where(own, self.more[at], self.more[at + 1]), np.where(own, self.split[at], 1)
+
+    def reads(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row of x, part, split, whether the row is an entry of it) of the parts that the rows read."""
+        h = x.shape[1] // 2
+        (a, da), (b, db) = (nearest(np.ascontiguousarray(p), c, RANKS, True) for p, c in zip((x[:, :h], x[:, h:]), self.books, strict=True))
+        pa_, pb = self.places[0][a], self.places[1][b]
+        rows, seen, full = np.arange(len(x)), np.full((len(x), 2 * POPS), -1, np.int64), np.zeros(len(x), np.int64)
+        candidates = np.zeros(len(x))
+        for step, (i, j) in enumerate(traversal(da, db)):
+            if step == POPS:
+                break
+            going = rows[candidates < self.wanted]
+            if not len(going):
+                break
+            i, j = i[going], j[going]
+            row, column = a[going, i], self.k1 + b[going, j]
+            (r, rs), (c, cs) = self.part(row, pb[going, j]), self.part(column, pa_[going, i])
+            held = (seen[going] == r[:, None]).any(1) | (seen[going] == c[:, None]).any(1)
+            for use, part, split, size in ((~held & (i <= j), r, rs, self.sizes[row]), (~held & ((i > j) | (step == 0)), c, cs, self.sizes[column])):
+                at = going[use]
+                seen[at, full[at]] = part[use]
+                full[at] += 1
+                candidates[at] += np.minimum(size[use], BLOCK)
+                yield at, part[use], split[use], np.full(len(at), step == 0)
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -129,45 +191,42 @@ def _search(ids, entry, asks, x, k, cosine):
         yield at, np.take_along_axis(other, order, 1), np.take_along_axis(exact, order, 1)
 
 
-def nearest_neighbours(vectors: DataFrame, count: int, sample: DataFrame, k: int = 5, cosine: bool = True, centroids: int = 8192, visits: int = 2, rounds: int = 3) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, count: int, sample: DataFrame, k: int = 5, cosine: bool = True, centroids: int = 8192, visits: float = 4.5, rounds: int = 3, block: int = BLOCK) -> DataFrame:
     """(rec_id, neighbor_id, rank, distance) of (rec_id, embedding) rows: finite embeddings of one even length, one row per
     rec_id, for the cosine none all zero. distance: 1 - cosine or Euclidean. count: rows of `vectors`, about; sample: the rows
-    that fit the codebooks, at most some 100,000, brought to the driver."""
+    that fit the codebooks, at most some 500,000, brought to the driver; visits: lists of average length that a query's
+    candidates amount to."""
     spark = vectors.sparkSession
     fit = sample.select("embedding").toArrow().column("embedding").combine_chunks()
     if not len(fit):
         return spark.createDataFrame([], "rec_id bigint, neighbor_id bigint, rank int, distance double")
     s = _matrix(fit)
     s = s / np.linalg.norm(s, axis=1)[:, None] if cosine else s
-    h = s.shape[1] // 2
-    books = tuple(lloyd(np.ascontiguousarray(part), min(centroids, max(1, len(part) // 8)), rounds) for part in (s[:, :h], s[:, h:]))
-    lists = len(books[0]) + len(books[1])
-    share = np.zeros(lists)
-    for _, which, entry in lists_to_read(s, books, 1):
-        np.add.at(share, which[entry], 1 / len(s))
-    blocks = np.maximum(1, np.ceil(share * count / BLOCK)).astype(np.int64)
-    offset = np.r_[0, np.cumsum(blocks)][:-1]
-    shared = spark.sparkContext.broadcast((books, blocks, offset))  # 2 x centroids x half a vector: fixed by the parameters
+    shared = spark.sparkContext.broadcast(Index(s, centroids, rounds, count, visits, block))  # 2 x centroids x half a vector, and a cut for each BLOCK rows
 
     rows = spread(vectors.select("rec_id", "embedding"))
-    alike = rows.groupBy(F.xxhash64("embedding").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("h")
+    alike = rows.groupBy(F.xxhash64("embedding").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > MANY)
     alike = materialize(alike, "imi-copies")
-    copies = alike.limit(1).count() > 0
     answered = None
-    if copies:
-        marked = rows.withColumn("h", F.xxhash64("embedding")).join(alike.withColumn("many", F.lit(True)), "h", "left")
-        some = marked.where("many").withColumn("nth", F.row_number().over(Window.partitionBy("h", "embedding").orderBy("rec_id"))).where(F.col("nth") <= k + 1)
-        some = materialize(some.select("h", "rec_id", "embedding", "nth"), "imi-first-copies")
+    if alike.limit(1).count():
+        marked = rows.withColumn("h", F.xxhash64("embedding"))
+        # classes of a thousandth of the rows are a thousand at most, and broadcast; the others are no hot keys
+        large, small = alike.where(F.col("n") >= max(1000, count // 1000)).select("h"), alike.where(F.col("n") < max(1000, count // 1000)).select("h")
+        others = marked.join(F.broadcast(large), "h", "left_anti")
+        many = [marked.join(F.broadcast(large), "h", "left_semi"), others.join(small, "h", "left_semi")]
+        first = Window.partitionBy("h", "embedding").orderBy("rec_id")
+        some = many[0].unionByName(many[1]).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
+        some = materialize(some.select("h", "rec_id", "embedding"), "imi-first-copies")
         firsts = some.groupBy("h", "embedding").agg(F.array_sort(F.collect_list("rec_id")).alias("first"))
-        lookup = marked.where("many").select("h", "rec_id", "embedding").join(firsts, ["h", "embedding"])
+        lookup = many[0].join(F.broadcast(firsts.join(F.broadcast(large), "h", "left_semi")), ["h", "embedding"]).unionByName(many[1].join(firsts, ["h", "embedding"]))
         chosen = F.slice(F.filter("first", lambda x: x != F.col("rec_id")), 1, k)
         answered = lookup.select("rec_id", F.posexplode(chosen).alias("at", "neighbor_id")).select("rec_id", "neighbor_id", (F.col("at") + 1).cast("int").alias("rank"), F.lit(0.0).alias("distance"))
-        rows = marked.where("many is null").select("rec_id", "embedding", F.lit(True).alias("asks")).unionByName(some.select("rec_id", "embedding", F.lit(False).alias("asks")))
+        rows = others.join(small, "h", "left_anti").select("rec_id", "embedding", F.lit(True).alias("asks")).unionByName(some.select("rec_id", "embedding", F.lit(False).alias("asks")))
     else:
         rows = rows.withColumn("asks", F.lit(True))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, blocks, offset = shared.value
+        index = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -176,18 +235,18 @@ def nearest_neighbours(vectors: DataFrame, count: int, sample: DataFrame, k: int
             ids = batch.column(0).to_numpy()
             unit = x / np.linalg.norm(x, axis=1)[:, None] if cosine else x
             at, part, entry, ask = [], [], [], []
-            for row, which, home in lists_to_read(unit, books, visits):
-                # an entry lies in one block of its list; a query reads all of them
-                n = blocks[which]
+            for row, which, n, home in index.reads(unit):
+                # of n x n parts of one cell, an entry lies in the n of its own first number, a query in those of its second
                 own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
                 rep = np.repeat(np.arange(len(row)), n)
-                block = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-                is_entry = home[rep] & (block == own[rep])
-                keep = is_entry | asks[row[rep]]
-                at.append(row[rep][keep])
-                part.append((offset[which][rep] + block)[keep])
-                entry.append(is_entry[keep])
-                ask.append(asks[row[rep]][keep])
+                other = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+                base, mine, many = which[rep], own[rep], n[rep]
+                for numbers, is_entry, is_ask in ((base + mine * many + other, home[rep], asks[row[rep]] & (other == mine)), (base + other * many + mine, np.zeros(len(rep), bool), asks[row[rep]] & (other != mine))):
+                    keep = is_entry | is_ask
+                    at.append(row[rep][keep])
+                    part.append(numbers[keep])
+                    entry.append(is_entry[keep])
+                    ask.append(is_ask[keep])
             at = pa.array(np.concatenate(at))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), batch.column(0).take(at), pa.array(np.concatenate(entry)), pa.array(np.concatenate(ask)), batch.column(1).take(at)], ["part", "rec_id", "entry", "asks", "embedding"])
 
@@ -237,3 +296,14 @@ def sampled(rows: DataFrame, id_col: str, sample: int) -> tuple[int, DataFrame]:
     count = rows.select(id_col).where(F.col(id_col).isNotNull()).distinct().count()
     share = min(1.0, sample / max(1, count))
     return count, rows.where(F.pmod(F.xxhash64(id_col, F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def codebook_size(count: int, least: int = 8192, most: int = 65_536, rows: int = 32) -> int:
+    """Centroids of a half: one for each `rows` rows, between `least` and `most`; eight sample rows fit one."""
+    return max(least, min(most, count // rows))
+
+
+def visits_for(count: int, centroids: int, visits: float = 3.5, rows: int = 32) -> float:
+    """Lists that a query reads on average: more where a centroid has more than `rows` rows, as neighbours are then further
+    apart in the order of cells (measured: recall 0.96 at 30 rows with 3.5, 0.91 at 300 rows with 8)."""
+    return visits * max(1.0, count / centroids / rows) ** 0.4

@@ -25,16 +25,15 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = []
-    for kind, name, key, usable, how in (
-        ("node", "nodes", "node_id", records.usable_nodes, {"cosine": True, "centroids": 8192, "sample": 64_000}),
-        ("entry", "ivf_entries", "entry_id", records.usable_entries, {"cosine": False, "centroids": 64, "sample": 16_000}),
-    ):
-        rows = table(spark, sf_dir, name)
-        count, fit = multi_index.sampled(rows, key, how.pop("sample"))
-        near = multi_index.nearest_neighbours(usable(rows), count, usable(fit), k=5, **how)
-        found.append(near.select(F.lit(kind).alias("rec_kind"), "rec_id", "neighbor_id"))
-    return found[0].unionByName(found[1])
+    """Nodes form many small groups, each of which should have centroids of its own; entries a few dozen large ones."""
+    nodes, entries = table(spark, sf_dir, "nodes"), table(spark, sf_dir, "ivf_entries")
+    fine = multi_index.codebook_size(nodes.count())
+    count, fit = multi_index.sampled(nodes, "node_id", 8 * fine)
+    near = multi_index.nearest_neighbours(records.usable_nodes(nodes), count, records.usable_nodes(fit), 5, True, fine, multi_index.visits_for(count, fine))
+    many, sample = multi_index.sampled(entries, "entry_id", 16_000)
+    close = multi_index.nearest_neighbours(records.usable_entries(entries), many, records.usable_entries(sample), 5, False, 64, 2.5)
+    kinds = [d.select(F.lit(k).alias("rec_kind"), "rec_id", "neighbor_id") for k, d in (("node", near), ("entry", close))]
+    return kinds[0].unionByName(kinds[1])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
