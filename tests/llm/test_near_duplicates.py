@@ -79,10 +79,26 @@ def test_multiset_overlap_counts_repetitions(spark):
     assert pairs.count() == 0 and {(r.rec_id, r.rep) for r in members.collect()} == {(1, 1), (3, 1)}
 
 
-def test_large_copy_group_comes_out_as_a_star(spark):
+def test_copies_are_paired_in_full(spark):
+    """Classes of 33 and of 1000 copies, each with an edited text: every pair the definition gives."""
+    rows, base = [], 0
+    for n, seed in ((33, 1), (1000, 2)):
+        text, other = " ".join(sentence(seed)), " ".join(sentence(seed)[:-3])
+        rows += [(base + i, text) for i in range(n)] + [(base + n, other)]
+        base += 5000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = N.similar_texts(docs, k=3, similarity=0.6, counted=False)
+    pairs = N.expanded(*found)
+    assert pairs.where("id_b < 5000").count() == 34 * 33 // 2 and pairs.where("id_a >= 5000").count() == 1001 * 1000 // 2 == pairs.count() - 34 * 33 // 2
+    assert pairs.where("id_a >= id_b").count() == 0 and pairs.distinct().count() == pairs.count()
+    rows = {r.rec_id: (r.class_id, r.class_size, r.links) for r in N.class_rows(*found).collect()}
+    assert len(rows) == 34 + 1001 and rows[0] == rows[32] == (0, 33, 1) and rows[33] == (33, 1, 1) and rows[5999] == (5000, 1000, 1)
+
+
+def test_classes_beyond_the_bound_come_out_as_a_star(spark):
     text, other = " ".join(sentence(1)), " ".join(sentence(1)[:-3])
     docs = spark.createDataFrame([(i, text) for i in range(100)] + [(500, other)], "doc_id bigint, text string")
-    found = {(r.id_a, r.id_b) for r in N.expanded(*N.similar_texts(docs, k=3, similarity=0.6, counted=False)).collect()}
+    found = {(r.id_a, r.id_b) for r in N.expanded(*N.similar_texts(docs, k=3, similarity=0.6, counted=False), most=99).collect()}
     assert found == {(0, i) for i in range(1, 100)} | {(0, 500)}
     groups = {r.doc_id: r.group_id for r in N.groups(docs).collect()}
     assert set(groups.values()) == {0} and len(groups) == 101
@@ -142,6 +158,7 @@ def test_bands_do_not_depend_on_the_shape_of_vectors(spark, shape):
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert N.expanded(*N.similar_texts(docs)).count() == 0 and N.groups(docs).count() == 0
+    assert N.class_rows(*N.similar_texts(docs)).count() == 0
     assert N.expanded(*N.similar_vectors(spark.createDataFrame([], "rec_id bigint, embedding array<float>"))).count() == 0
 
 

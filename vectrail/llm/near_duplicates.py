@@ -7,8 +7,10 @@ are candidates and are verified exactly. Bands shared by very many different rep
 compared pairwise on their own, so that no task sees the whole; nothing is dropped.
 
 Null, empty and short texts have no shingles and are in no pair; unusable vectors likewise. An id with several
-different texts is alike to whatever one of them is alike to. Groups of copies of up to EXPAND members come out as all their pairs; of larger ones, each member is paired with
-the representative, and the representative stands for all in pairs with other classes.
+different texts is alike to whatever one of them is alike to. Pairs of records (`expanded`) come out in full for classes of up
+to EXPAND copies; of larger ones, whose pairs would be quadratic in any share of the rows, each member is paired with the
+representative, which stands for all in pairs with other classes. `class_rows` says for each record which class it is in, how
+large that is, and how many classes it is alike to: with it, the pairs of any class follow exactly.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from vectrail.llm.components import components
 from vectrail.llm.records import tokens
 from vectrail.session import materialize, spread, tasks_for
 
-EXPAND = 32
+EXPAND = 2000  # copies of a class that are paired with each other
 BLOCK = 2000  # representatives compared with each other by one task
 CHUNK = 256  # records whose signatures are drawn at once
 UNIT = 1 / 16  # the first cell of a vector's weights
@@ -322,20 +324,31 @@ def verified_vectors(pairs: DataFrame, vectors: DataFrame, least: float) -> Data
     return pairs.join(left, "id_a").join(right, "id_b").select("id_a", "id_b", "x", "y").mapInArrow(run, "id_a bigint, id_b bigint, similarity double")
 
 
-def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def expanded(pairs: DataFrame, members: DataFrame, most: int = EXPAND) -> DataFrame:
     """(id_a, id_b) between records, from pairs of representatives and the members of their classes (see the module)."""
-    few = members.where(F.col("n") <= EXPAND)
+    few = members.where(F.col("n") <= most)
     stand = few.select("rep", F.col("rec_id").alias("member"))
     out = pairs.select("id_a", "id_b")
     for side in ("id_a", "id_b"):
         out = out.join(stand.withColumnRenamed("rep", side), side, "left").withColumn(side, F.coalesce("member", side)).drop("member")
     x, y = few.select("rep", F.col("rec_id").alias("id_a")), few.select("rep", F.col("rec_id").alias("id_b"))
     inside = x.join(y, "rep").where("id_a < id_b").select("id_a", "id_b")
-    star = members.where((F.col("n") > EXPAND) & (F.col("rec_id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("rec_id").alias("id_b"))
+    star = members.where((F.col("n") > most) & (F.col("rec_id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("rec_id").alias("id_b"))
     out = out.select("id_a", "id_b").unionByName(inside).unionByName(star)
     return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b").distinct()
 
 
+def class_rows(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(rec_id, class_id, class_size, links) of every record that has a copy or is alike to another: the smallest id of its
+    class, the records in it, and the other classes it is alike to. One row per record and class: linear in the records."""
+    links = pairs.select(F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    copies = members.select("rec_id", F.col("rep").alias("class_id"), F.col("n").alias("class_size"))
+    reps = copies.where("rec_id = class_id").select("class_id")
+    single = links.join(reps, "class_id", "left_anti").select(F.col("class_id").alias("rec_id"), "class_id", F.lit(1).cast("bigint").alias("class_size"), "links")
+    sizes = links.join(reps, "class_id", "left_semi")
+    return copies.join(sizes, "class_id", "left").select("rec_id", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links")).unionByName(single)
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, least: int = 1, counted: bool = True, n_bands: int = 20, rows: int = 5) -> tuple[DataFrame, DataFrame]:
     """Verified pairs of representatives (id_a, id_b, similarity), and the members (rec_id, rep, n) of classes of equal texts.
     A pair at the similarity s shares a band with the probability 1 - (1 - s^rows)^n_bands: 0.9996 for the defaults."""

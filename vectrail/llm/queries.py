@@ -11,11 +11,21 @@ from vectrail.llm import distinctive, grid_clusters, leakage, multi_index, near_
 from vectrail.session import table
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _alike(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, DataFrame]]:
+    """(kind, pairs of representatives, members of classes) of documents and nodes."""
     docs, nodes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "nodes")
     texts = near_duplicates.similar_texts(docs, k=3, similarity=0.6, least=40, counted=False, n_bands=40, rows=4)
-    vectors = near_duplicates.similar_vectors(records.usable_nodes(nodes), cosine=0.98)
-    kinds = [near_duplicates.expanded(*found).select(F.lit(k).alias("rec_kind"), "id_a", "id_b") for k, found in (("document", texts), ("node", vectors))]
+    return [("document", *texts), ("node", *near_duplicates.similar_vectors(records.usable_nodes(nodes), cosine=0.98))]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [near_duplicates.expanded(*found).select(F.lit(k).alias("rec_kind"), "id_a", "id_b") for k, *found in _alike(spark, sf_dir)]
+    return kinds[0].unionByName(kinds[1])
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links as one row for each record: its class of copies, their number, and the classes alike to it."""
+    kinds = [near_duplicates.class_rows(*found).select(F.lit(k).alias("rec_kind"), "rec_id", "class_id", "class_size", "links") for k, *found in _alike(spark, sf_dir)]
     return kinds[0].unionByName(kinds[1])
 
 
@@ -101,6 +111,7 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -119,19 +130,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # ---- the same in SQL (DuckDB), where whole tables are not too slow for it
 
 _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) >= 2)"
-_USABLE_NODES = """SELECT node_id, list_transform(e, lambda x: x / n) AS u FROM (SELECT node_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
+_USABLE_NODES = """SELECT node_id, e, list_transform(e, lambda x: x / n) AS u FROM (SELECT node_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
   SELECT node_id, arg_max(embedding, updated_at)::DOUBLE[] AS e FROM nodes GROUP BY 1) WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE n > 0"""
 _POSTED = "(SELECT node_id AS rec_id, lower(term) AS term, arg_max(tf, indexed_at)::BIGINT AS tf FROM (SELECT * FROM postings WHERE node_id IS NOT NULL AND term IS NOT NULL) GROUP BY 1, 2)"
 _TEXTS = f"(SELECT doc_id AS rec_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY 1, 2)"
 
-ORACLES: dict[str, str] = {
-    "p1_found": f"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
-      s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
-      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 40),
+_ALIKE_TEXTS = f"""w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+      s AS MATERIALIZED (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+      n AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY 1 HAVING count(*) >= 40),
       p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-      u AS ({_USABLE_NODES})
-      SELECT 'document' AS rec_kind, x AS id_a, y AS id_b FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE k >= 0.6 * (a.n + b.n - k)
-      UNION ALL SELECT 'node', a.node_id, b.node_id FROM u a JOIN u b ON a.node_id < b.node_id WHERE list_dot_product(a.u, b.u) >= 0.98""",
+      u AS MATERIALIZED ({_USABLE_NODES}),
+      f AS MATERIALIZED (SELECT 'document' AS rec_kind, x AS id_a, y AS id_b FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE k >= 0.6 * (a.n + b.n - k)
+      UNION ALL SELECT 'node', a.node_id, b.node_id FROM u a JOIN u b ON a.node_id < b.node_id WHERE list_dot_product(a.u, b.u) >= 0.98)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {_ALIKE_TEXTS} SELECT rec_kind, id_a, id_b FROM f",
+    "p1_classes": f"""WITH {_ALIKE_TEXTS}, r AS (SELECT 'document' AS rec_kind, doc_id AS rec_id, h FROM n UNION ALL SELECT 'node', node_id, e::VARCHAR FROM u),
+      c AS MATERIALIZED (SELECT rec_kind, rec_id, min(rec_id) OVER (PARTITION BY rec_kind, h) AS class_id, count(*) OVER (PARTITION BY rec_kind, h) AS class_size FROM r),
+      e AS (SELECT rec_kind, id_a AS a, id_b AS b FROM f UNION ALL SELECT rec_kind, id_b, id_a FROM f),
+      l AS (SELECT e.rec_kind, x.class_id, count(DISTINCT y.class_id) AS links FROM e JOIN c x ON x.rec_kind = e.rec_kind AND x.rec_id = a JOIN c y ON y.rec_kind = e.rec_kind AND y.rec_id = b WHERE x.class_id <> y.class_id GROUP BY 1, 2)
+      SELECT c.rec_kind, rec_id, c.class_id, class_size, coalesce(links, 0) AS links FROM c LEFT JOIN l ON l.rec_kind = c.rec_kind AND l.class_id = c.class_id WHERE class_size > 1 OR links > 0""",
+    "p1_groups": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+      s AS MATERIALIZED (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)) GROUP BY 1, 2),
+      t AS MATERIALIZED (SELECT doc_id, sum(n) AS total, md5(string_agg(g || ':' || n, '|' ORDER BY g)) AS h FROM s GROUP BY 1),
+      c AS MATERIALIZED (SELECT doc_id, total, min(doc_id) OVER (PARTITION BY h) AS class_id FROM t),
+      p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+      f AS MATERIALIZED (SELECT DISTINCT a.class_id AS u, b.class_id AS v FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE k >= 0.8 * (a.total + b.total - k) AND a.class_id <> b.class_id),
+      e AS MATERIALIZED (SELECT u, v FROM f UNION SELECT v, u FROM f),
+      cc(id, label) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, cc.label FROM cc JOIN e ON e.u = cc.id WHERE cc.label < e.v),
+      m AS (SELECT id, min(label) AS label FROM cc GROUP BY 1), l AS (SELECT u, count(*) AS links FROM e GROUP BY 1)
+      SELECT d.doc_id, coalesce(m.label, c.class_id, d.doc_id) AS group_id, coalesce(l.links, 0) AS links FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d
+      LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.id = c.class_id LEFT JOIN l ON l.u = c.class_id""",
     "p3_found": r"""SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(text, '\n(?:[ \t\r]*\n)+'), lambda u: length(trim(u, chr(32) || chr(9) || chr(13) || chr(10))) > 2000)) = 0 THEN 'paragraph'
       WHEN len(list_filter(string_split(text, chr(10)), lambda u: length(trim(u, chr(32) || chr(9) || chr(13))) > 2000)) = 0 THEN 'line'
       WHEN len(list_filter(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda u: length(trim(u, chr(32) || chr(9) || chr(13))) > 2000)) = 0 THEN 'sentence' ELSE 'none' END AS boundary
