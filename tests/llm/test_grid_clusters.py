@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectrail.llm import grid_clusters as G
 
@@ -40,6 +41,28 @@ def test_crowded_cells_are_cut_without_change(spark, monkeypatch):
     assert got == brute(x, 2.0, 5)
 
 
+def test_the_blocks_of_a_cell_share_leaders(spark, monkeypatch):
+    """However many blocks a dense cell has, its leaders are about as many as its places."""
+    monkeypatch.setattr(G, "BLOCK", 64)
+    r = np.random.default_rng(2)
+    places = r.normal(size=(12, 8)) * 4
+    places[:, :2] = 0.5
+    x = places[r.integers(0, 12, 4000)] + r.normal(size=(4000, 8)) * 0.05
+    placed = frame(spark, x).withColumn("cell", F.lit(7).cast("bigint"))
+    crowded = spark.createDataFrame([(7, 63)], "cell bigint, blocks int")
+    got = G.leaders_of(placed, crowded, 2.0)
+    assert got.count() == got.select("rec_id").distinct().count() == 4000 and got.where("leader is null or d > 1").count() == 0
+    assert got.select("leader").distinct().count() <= 24
+
+
+def test_many_leaders_meet_block_by_block(spark, monkeypatch):
+    """A cell of vectors that are all leaders, and a pair of leaders whose vectors decide."""
+    monkeypatch.setattr(G, "BLOCK", 8)
+    x = np.concatenate([np.random.default_rng(3).normal(size=(150, 6)) * 1.2, chains(5, 120)])
+    got = {r.rec_id: r.cluster_id for r in G.clusters(frame(spark, x), 2.0, 3, axes=1).collect()}
+    assert got == brute(x, 2.0, 3)
+
+
 def test_description_and_small_tables(spark):
     x = np.concatenate([np.zeros((12, 4)), np.full((3, 4), 50.0)])
     rows = G.described(frame(spark, x), 2.0, 10).collect()

@@ -7,8 +7,10 @@ leader are linked among themselves: these are dense cells of the full space. Lea
 minimum labels are propagated over the links to convergence. Leaders of different labels that are further apart but whose
 vectors could still touch are decided by their vectors, and labels are propagated again. The result is exact.
 
-Crowded cells are cut into blocks of about BLOCK vectors with leaders of their own, so one dense cell may hold any share of
-all rows. Of the links within a pair of cells only a spanning set comes out.
+A dense cell may hold any share of all rows. Crowded cells are cut into blocks of about BLOCK vectors: leaders are taken from
+one block, the vectors near them join them in all blocks, and so again with what is left, so that the blocks share their
+leaders; what is left then gathers block by block. The leaders of a pair of cells are compared block with block where they are
+many, and so are the vectors of two leaders. Of the links within a pair of blocks only a spanning set comes out.
 
 A cluster is named by its smallest id. Rows must have finite embeddings of one length, once per rec_id (repeated rows of one
 id would count twice). No rows give no clusters.
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from vectrail.llm.components import components
 from vectrail.session import materialize, tasks_for
 
-BLOCK = 2048
+BLOCK = 2048  # vectors or leaders that are compared with each other at once
+SHARED = 2  # rounds in which the blocks of a crowded cell share leaders
 SAMPLE = 20_000
 SPAN = 1 << 12  # cells along an axis, before they wrap around; a wrap only brings more candidates
 
@@ -71,28 +74,82 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield held
 
 
+GATHERED = "rec_id bigint, cell bigint, leader bigint, d double, embedding array<float>"
+
+
 def _gather(reach: float):
-    """(rec_id, leader, micro, d, lead) of the vectors of each block: micro is the smallest id around a leader, d the
-    distance from it, lead the leader's vector on the leader's row alone."""
+    """The vectors of each block with their leader, the first vector of those left, and their distance d from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches, "block"):
             keys, ids = rows.column("block").to_numpy(), rows.column("rec_id").to_numpy()
-            cells = rows.column("cell").to_numpy()
             x = _matrix(rows.column("embedding").combine_chunks(), len(ids))
-            leader, micro, far = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), np.empty(len(ids))
+            leader, far = np.empty(len(ids), np.int64), np.empty(len(ids))
             for a, b in runs(keys):
                 left = np.arange(a, b)
                 while len(left):
                     d = np.sqrt(((x[left] - x[left[0]]) ** 2).sum(1))
                     near = left[d <= reach / 2]
-                    leader[near], micro[near], far[near] = ids[left[0]], ids[near].min(), d[d <= reach / 2]
+                    leader[near], far[near] = ids[left[0]], d[d <= reach / 2]
                     left = left[d > reach / 2]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cells), pa.array(leader), pa.array(micro), pa.array(far), rows.column("embedding").combine_chunks()], ["rec_id", "cell", "leader", "micro", "d", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), rows.column("cell").combine_chunks(), pa.array(leader), pa.array(far), rows.column("embedding").combine_chunks()], ["rec_id", "cell", "leader", "d", "embedding"])
 
     return run
 
 
+def _join_leaders(reach: float):
+    """The vectors of each block (rank 1, after its leaders of rank 0) with their nearest leader at most reach/2 away, or
+    none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_key(batches, "block"):
+            keys, ids, rank = (rows.column(c).to_numpy() for c in ("block", "rec_id", "rank"))
+            x = _matrix(rows.column("embedding").combine_chunks(), len(ids))
+            leader, far, none = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.ones(len(ids), bool)
+            for a, b in runs(keys):
+                c = a + int((rank[a:b] == 0).sum())
+                if a < c < b:
+                    best = _distances(x[c:b], x[a:c]).argmin(1)
+                    exact = np.sqrt(((x[c:b] - x[a:c][best]) ** 2).sum(1))
+                    near = np.flatnonzero(exact <= reach / 2)
+                    leader[c + near], far[c + near], none[c + near] = ids[a:c][best[near]], exact[near], False
+            at = np.flatnonzero(rank == 1)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), rows.column("cell").combine_chunks().take(take), pa.array(leader[at], mask=none[at]), pa.array(far[at]), rows.column("embedding").combine_chunks().take(take)], ["rec_id", "cell", "leader", "d", "embedding"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, reach: float) -> DataFrame:
+    """(rec_id, embedding, cell, number) rows gathered around leaders, block by block."""
+    blocked = rows.select("rec_id", "embedding", "cell", F.xxhash64("cell", "number").alias("block"))
+    return blocked.repartition(tasks_for(rows.sparkSession), "block").sortWithinPartitions("block", "rec_id").mapInArrow(_gather(reach), GATHERED)
+
+
+def leaders_of(placed: DataFrame, crowded: DataFrame, reach: float) -> DataFrame:
+    """(rec_id, cell, leader, d, embedding) of all (rec_id, embedding, cell) rows; crowded: (cell, blocks) of the cells of more
+    than BLOCK rows, of which there are at most one for each BLOCK rows."""
+    if not crowded.limit(1).count():
+        return _in_blocks(placed.withColumn("number", F.lit(0)), reach)
+    parts = tasks_for(placed.sparkSession)
+    out = _in_blocks(placed.join(crowded, "cell", "left_anti").withColumn("number", F.lit(0)), reach)
+    left = placed.join(crowded, "cell").withColumn("need", F.col("blocks"))
+    number = lambda n, salt: F.pmod(F.xxhash64("rec_id", F.lit(salt)), F.col(n)).cast("int")
+    for step in range(SHARED):
+        # the vectors left of a cell number about need x BLOCK; one of so many is taken
+        left = materialize(left.select("rec_id", "embedding", "cell", "blocks", "need"), "grid-left")
+        heads = _in_blocks(left.where(number("need", f"take {step}") == 0).withColumn("number", F.lit(0)), reach).where("rec_id = leader")
+        everywhere = heads.join(crowded, "cell").select("rec_id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), F.lit(0).alias("rank"))
+        rows = everywhere.unionByName(left.select("rec_id", "embedding", "cell", number("blocks", "block").alias("number"), F.lit(1).alias("rank")))
+        joined = rows.withColumn("block", F.xxhash64("cell", "number")).repartition(parts, "block").sortWithinPartitions("block", "rank", "rec_id").mapInArrow(_join_leaders(reach), GATHERED)
+        joined = materialize(joined, "grid-joined")
+        out = out.unionByName(joined.where("leader is not null"))
+        left = joined.where("leader is null")
+        sizes = materialize(left.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("need")), "grid-need")
+        left = left.select("rec_id", "embedding", "cell").join(crowded.join(sizes, "cell"), "cell")
+    return out.unionByName(_in_blocks(left.withColumn("number", number("need", "rest")), reach))
+
+
 def spanning(linked: np.ndarray) -> np.ndarray:
     """The component of each row of a symmetric boolean matrix, named by its first row."""
     label = np.full(len(linked), -1)
@@ -152,6 +209,23 @@ def _decide(reach: float):
     return run
 
 
+def in_block_pairs(rows: DataFrame, key: str, own: str, sides: int) -> DataFrame:
+    """The rows with `key` replaced by one for each pair of blocks that they take part in, so that all rows of a key still meet,
+    but never more than about 2 x BLOCK at once. sides 1: the blocks of a key meet each other; 2: those of side 0 meet those of
+    side 1."""
+    counts = [F.count_if(F.col("side") == i) for i in (0, 1)] if sides == 2 else [F.count("*")]
+    sizes = rows.groupBy(key).agg(*(F.greatest(F.lit(1), F.ceil(n / BLOCK).cast("int")).alias(f"n{i}") for i, n in enumerate(counts)))
+    sizes = materialize(sizes.where(" or ".join(f"n{i} > 1" for i in range(sides))), "grid-long")
+    if not sizes.limit(1).count():
+        return rows
+    sized = rows.join(sizes, key, "left")
+    first = F.col("side") == 0 if sides == 2 else F.lit(True)
+    mine, others = (F.when(first, F.col("n0")).otherwise(F.col("n1")), F.when(first, F.col("n1")).otherwise(F.col("n0"))) if sides == 2 else (F.col("n0"), F.col("n0"))
+    long = sized.where("n0 is not null").withColumn("_m", F.pmod(F.xxhash64(own), mine).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), others - 1)))
+    ends = (F.when(first, F.col("_m")).otherwise(F.col("_o")), F.when(first, F.col("_o")).otherwise(F.col("_m"))) if sides == 2 else (F.least("_m", "_o"), F.greatest("_m", "_o"))
+    return long.withColumn(key, F.xxhash64(key, *ends)).select(*rows.columns).unionByName(sized.where("n0 is null").select(*rows.columns))
+
+
 def _cells(points: DataFrame, axes: np.ndarray, reach: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,14 +252,10 @@ def micro_cells(points: DataFrame, reach: float, axes: int = 4) -> DataFrame:
     placed = _cells(points, turn, reach)
     counts = materialize(placed.groupBy("cell").agg(F.count("*").alias("n")), "grid-cells")
     crowded = counts.where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    cut = placed.join(crowded, "cell", "left")
-    salt = F.pmod(F.xxhash64("rec_id", F.lit("block")), F.coalesce("blocks", F.lit(1)))
-    blocked = cut.select("rec_id", "embedding", "cell", F.xxhash64("cell", salt).alias("block"))
     parts = tasks_for(spark)
-    gathered = blocked.repartition(parts, "block").sortWithinPartitions("block", "rec_id").mapInArrow(_gather(reach), "rec_id bigint, cell bigint, leader bigint, micro bigint, d double, embedding array<float>")
-    gathered = materialize(gathered, "grid-micro")
-    size = gathered.groupBy("micro").agg(F.count("*").alias("n"), F.max("d").alias("radius"))
-    micro = gathered.where("rec_id = leader").select("micro", "cell", F.col("embedding").alias("lead")).join(size, "micro")
+    gathered = materialize(leaders_of(placed, materialize(crowded, "grid-crowded"), reach), "grid-gathered")
+    size = gathered.groupBy("leader").agg(F.count("*").alias("n"), F.max("d").alias("radius"), F.min("rec_id").alias("micro"))
+    micro = gathered.where("rec_id = leader").select("leader", "cell", F.col("embedding").alias("lead")).join(size, "leader")
     micro = materialize(micro, "grid-leaders")
 
     steps = [s for s in product((-1, 0, 1), repeat=min(axes, dim)) if s >= (0,) * min(axes, dim)]
@@ -194,7 +264,7 @@ def micro_cells(points: DataFrame, reach: float, axes: int = 4) -> DataFrame:
     moved = counts.select("cell", F.explode(around).alias("step")).select(F.col("cell").alias("a"), sum(F.pmod(here[i] + F.col("step")[i], F.lit(SPAN)) * F.lit(SPAN**i) for i in range(len(here))).alias("b"))
     adjacent = materialize(moved.join(counts.select(F.col("cell").alias("b")), "b").select("a", "b", F.xxhash64("a", "b").alias("pair")), "grid-adjacent")
     ends = adjacent.select("pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("cell"))
-    sides = micro.join(ends, "cell").select("pair", "micro", "radius", "lead")
+    sides = in_block_pairs(micro.join(ends, "cell").select("pair", "micro", "radius", "lead"), "pair", "micro", 1)
     links = sides.repartition(parts, "pair").sortWithinPartitions("pair", "micro").mapInArrow(_link(reach), "u bigint, v bigint, sure boolean").distinct()
     links = materialize(links, "grid-links")
     sure = links.where("sure").select("u", "v")
@@ -202,13 +272,19 @@ def micro_cells(points: DataFrame, reach: float, axes: int = 4) -> DataFrame:
     of = lambda d, c: d.join(labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
     open_pairs = materialize(of(of(links.where("not sure"), "u"), "v").where("u_label <> v_label").select("u", "v", F.xxhash64("u", "v").alias("pair")), "grid-open")
     if open_pairs.limit(1).count():
-        ends = open_pairs.select("pair", "u", "v", F.explode(F.array(F.struct(F.col("u").alias("micro"), F.lit(0).alias("side")), F.struct(F.col("v").alias("micro"), F.lit(1).alias("side")))).alias("end")).select("pair", "u", "v", "end.*")
-        rows = ends.join(gathered.select("micro", "embedding"), "micro").select("pair", "u", "v", "side", "embedding")
-        touching = rows.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_decide(reach), "u bigint, v bigint")
+        about = micro.select(F.col("micro").alias("of"), "radius", "lead")
+        end = lambda i, j, side: F.struct(F.col(i).alias("micro"), F.col(j).alias("of"), F.lit(side).alias("side"))
+        ends = open_pairs.select("pair", "u", "v", F.explode(F.array(end("u", "v", 0), end("v", "u", 1))).alias("end")).select("pair", "u", "v", "end.*")
+        ends = ends.join(about, "of").join(micro.select("micro", "leader"), "micro").select("pair", "u", "v", "side", "leader", "radius", "lead")
+        # a vector can touch one of the other leader's only if it is within the reach of that leader's radius
+        far = F.sqrt(F.aggregate(F.zip_with("embedding", "lead", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda t, x: t + x))
+        rows = ends.join(gathered.select("leader", "rec_id", "embedding"), "leader").where(far <= (F.lit(reach) + F.col("radius")) * (1 + 1e-9))
+        rows = in_block_pairs(materialize(rows.select("pair", "u", "v", "side", "rec_id", "embedding"), "grid-ends"), "pair", "rec_id", 2)
+        touching = rows.repartition(parts, "pair").sortWithinPartitions("pair").select("pair", "u", "v", "side", "embedding").mapInArrow(_decide(reach), "u bigint, v bigint")
         labels = components(sure.unionByName(touching), "u", "v")
-    named = micro.select("micro", "n").join(labels, micro.micro == labels.id, "left").select("micro", "n", F.coalesce("label", "micro").alias("label"))
+    named = micro.select("leader", "micro", "n").join(labels, micro.micro == labels.id, "left").select("leader", "micro", "n", F.coalesce("label", "micro").alias("label"))
     total = named.groupBy("label").agg(F.sum("n").alias("size"))
-    return gathered.join(named.select("micro", "label").join(total, "label"), "micro")
+    return gathered.join(named.select("leader", "micro", "label").join(total, "label"), "leader")
 
 
 def clusters(points: DataFrame, reach: float, least: int = 10, axes: int = 4) -> DataFrame:

@@ -55,6 +55,17 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "documents"), limit=2000, overlap=200).drop("boundary")
 
 
+def p3_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each text amount to: its own digest when put together without their overlaps, whether none exceeds
+    the limit, and whether each repeats the last 200 characters of the one before."""
+    cut = splitting.split_oversized(table(spark, sf_dir, "documents"), limit=2000, overlap=200)
+    shared = F.when(F.col("piece_no") == 0, 0).otherwise(200)
+    rows = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece", "length", "start", shared.alias("shared")))).alias("p"))
+    whole = F.concat_ws("", F.transform("p", lambda z: F.substring(z["piece"], z["shared"] + 1, z["length"])))
+    again = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.substring(F.col("p")[i - 1]["piece"], -200, 200) == F.substring(F.col("p")[i]["piece"], 1, 200))
+    return rows.select("doc_id", F.md5(whole).alias("rebuilt"), F.forall("p", lambda z: (z["length"] <= 2000) & (F.length(z["piece"]) == z["length"])).alias("within"), again.alias("overlapping"))
+
+
 RARE = {"min_tf": 3, "pattern": "[a-z]{6,}", "min_df": 2, "max_df": 12}
 
 
@@ -116,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_roundtrip": p3_roundtrip,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
     "p5_found": p5_found,
@@ -172,4 +184,11 @@ ORACLES: dict[str, str] = {
       x AS (SELECT rec_id, term, tf, df, y, n - y AS o, 500 * n / total AS a, len, total - len AS rest FROM r JOIN l USING (rec_id) JOIN t USING (term), c),
       z AS (SELECT *, ln((y + a) / (len + 500 - y - a)) - ln((o + a) / (rest + 500 - o - a)) AS lo, sqrt(1 / (y + a) + 1 / (o + a)) AS se FROM x)
       SELECT rec_id, term, tf, df, round(lo, 6) AS log_odds, round(lo / se, 6) AS z FROM z""",
+    "p5_found": """WITH RECURSIVE x AS MATERIALIZED (SELECT entry_id AS id, any_value(embedding)::DOUBLE[32] AS e FROM ivf_entries WHERE entry_id IS NOT NULL AND len(embedding) = 32
+        AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 GROUP BY 1),
+      e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM x a, x b WHERE a.id <> b.id AND array_distance(a.e, b.e) <= 2),
+      cc(id, label) AS (SELECT id, id FROM x UNION SELECT e.v, cc.label FROM cc JOIN e ON e.u = cc.id WHERE cc.label < e.v),
+      m AS (SELECT id, min(label) AS label FROM cc GROUP BY 1)
+      SELECT entry_id, cluster_id FROM (SELECT id AS entry_id, label AS cluster_id, count(*) OVER (PARTITION BY label) AS n FROM m) WHERE n >= 10""",
+    "p3_roundtrip": "SELECT doc_id, md5(text) AS rebuilt, true AS within, true AS overlapping FROM documents WHERE length(text) > 2000",
 }
