@@ -7,7 +7,7 @@ the task before they are shuffled, so no term is hot in that shuffle; in the joi
 (at most 100 times the mean number of distinct terms per record, since each takes a hundredth of all records) are broadcast,
 and no other term has more rows than a hundredth of the records.
 
-Records without terms give no rows. Repeated record ids in texts count as records of their own.
+Texts are read once. Records without terms give no rows. Repeated record ids in texts count as records of their own.
 """
 
 from __future__ import annotations
@@ -21,58 +21,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm.records import tokens
-from vectrail.session import spread
+from vectrail.session import materialize, spread
 
 FLUSH = 200_000  # terms that a task holds before it hands on its counts
 HEAVY_SHARE = 0.01
 
 
-def term_totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n, df): occurrences of each term and records that hold it, over all texts."""
+def counted(docs: DataFrame, id_col: str, text_col: str = "text", min_tf: int = 1, pattern: str = ".*") -> DataFrame:
+    """One pass over the texts, narrow: rows (rec_id, term, tf, length) of the terms that match `pattern` wholly and occur
+    min_tf times or more in a text, length counting all its tokens; and rows (term, n, df) without rec_id, a task's sums of
+    the occurrences of each term and of the texts that hold it, over all texts."""
+    fits = re.compile(pattern, re.DOTALL).fullmatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         df: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            terms = list(n)
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[t] for t in terms], pa.int64()), pa.array([df[t] for t in terms], pa.int64())], ["term", "n", "df"])
-
-        for batch in batches:
-            for value in batch.column(0):
-                words = tokens(value.as_py())
-                n.update(words)
-                df.update(set(words))
-                if len(n) > FLUSH:
-                    yield out()
-                    n.clear()
-                    df.clear()
-        yield out()
-
-    parts = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, "term string, n bigint, df bigint")
-    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+        def out(ids: list, terms: list, tfs: list, lengths: list) -> pa.RecordBatch:
+            """The rows of records, and the sums so far if there are many."""
+            more = list(n) if len(n) > FLUSH or not ids else []
+            none = [None] * len(more)
+            columns = (ids + none, terms + more, tfs + none, lengths + none, [None] * len(ids) + [n[t] for t in more], [None] * len(ids) + [df[t] for t in more])
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            if more:
+                n.clear()
+                df.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rec_id", "term", "tf", "length", "n", "df"])
 
-
-def record_terms(docs: DataFrame, id_col: str, text_col: str = "text", min_tf: int = 1, pattern: str = ".*") -> DataFrame:
-    """(rec_id, term, tf, length) of the terms that match `pattern` wholly and occur min_tf times or more in a text; length
-    counts all tokens of the text. Narrow."""
-    fits = re.compile(pattern, re.DOTALL).fullmatch
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, terms, tfs, lengths = [], [], [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = tokens(value.as_py())
-                for term, tf in Counter(words).items():
+                bag = Counter(words)
+                n.update(bag)
+                df.update(bag.keys())
+                for term, tf in bag.items() if key is not None else ():
                     if tf >= min_tf and fits(term):
                         ids.append(key)
                         terms.append(term)
                         tfs.append(tf)
                         lengths.append(len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64())], ["rec_id", "term", "tf", "length"])
+                if len(ids) > FLUSH:
+                    yield out(ids, terms, tfs, lengths)
+                    ids, terms, tfs, lengths = [], [], [], []
+            if ids:
+                yield out(ids, terms, tfs, lengths)
+        yield out([], [], [], [])
 
-    picked = docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return picked.mapInArrow(run, "rec_id bigint, term string, tf bigint, length bigint")
+    picked = docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(text_col).isNotNull())
+    return picked.mapInArrow(run, "rec_id bigint, term string, tf bigint, length bigint, n bigint, df bigint")
 
 
 def log_odds(terms: DataFrame, totals: DataFrame, records: int, prior_tokens: float = 500.0) -> DataFrame:
@@ -94,9 +91,9 @@ def distinctive_in_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(rec_id, term, tf, length, n, df, total, log_odds, z) of every term of every text; min_tf, pattern and the df range
     restrict the rows that come out, never the counts."""
     docs = spread(docs.select(id_col, text_col))
-    totals = term_totals(docs, text_col)
-    sums = docs.sparkSession, docs.count()
-    return _scored(record_terms(docs, id_col, text_col, min_tf, pattern), totals, sums[1], min_df, max_df, prior_tokens)
+    rows = materialize(counted(docs, id_col, text_col, min_tf, pattern), "term-counts")
+    totals = rows.where("rec_id is null").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return _scored(rows.where("rec_id is not null").select("rec_id", "term", "tf", "length"), totals, docs.count(), min_df, max_df, prior_tokens)
 
 
 def distinctive_in_counts(counts: DataFrame, min_tf: int = 1, pattern: str = ".*", min_df: int = 1, max_df: int | None = None, prior_tokens: float = 500.0) -> DataFrame:
@@ -109,8 +106,6 @@ def distinctive_in_counts(counts: DataFrame, min_tf: int = 1, pattern: str = ".*
 
 
 def _scored(terms: DataFrame, totals: DataFrame, records: int, min_df: int, max_df: int | None, prior_tokens: float) -> DataFrame:
-    from vectrail.session import materialize
-
     totals = materialize(totals, "term-totals")
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
     kept = totals.where(F.col("df") >= min_df).withColumn("total", F.lit(int(total)))

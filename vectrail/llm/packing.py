@@ -21,20 +21,22 @@ from pyspark.sql import functions as F
 from vectrail.session import materialize, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how texts are split before the merges of a byte-level vocabulary (the pattern published with GPT-2).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROWS_PER_BUCKET = 50_000
 
 
-def token_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(item_id, size): tokens of each whole text under a byte-level BPE vocabulary given as ranks; null and empty texts
-    have none. Narrow."""
+def token_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """(item_id, size): tokens of each whole text under a byte-level BPE vocabulary; null and empty texts have none. The
+    vocabulary is a file of ranks (base64 token, rank) that the driver reads and broadcasts, some megabytes. Narrow."""
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers as P
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        coder = tiktoken.Encoding("sizes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        coder = tiktoken.Encoding("sizes", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
         for batch in batches:
             sizes = [len(coder.encode_ordinary(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], ["item_id", "size"])
@@ -83,6 +85,7 @@ def harmonic_pack(sizes: DataFrame, capacity: int, top_up: int = 3, passes: int
     done = [full.select("item_id", "part", "size", F.concat(F.lit("cut-"), "item_id", F.lit("-"), "part").alias("bin_id"), F.lit("cut").alias("kind"))]
     for j in [c for c in grid if c <= top_up]:
         own = ranked(rest.where(F.col("class") == j), "class", "_rank", buckets).withColumn("bin_id", F.concat_ws("-", F.lit("h"), "class", F.floor(F.col("_rank") / j).cast("string")))
+        own = materialize(own.select("item_id", "part", "size", "bin_id"), "pack-own")
         smaller = [c for c in grid if c > j]
         done.append(own.select("item_id", "part", "size", "bin_id", F.lit("class").alias("kind")))
         if not smaller:
@@ -104,11 +107,11 @@ def harmonic_pack(sizes: DataFrame, capacity: int, top_up: int = 3, passes: int
             room = room.join(taken, "bin_id", "left").select("bin_id", (F.col("_room") - F.coalesce("_taken", F.lit(0))).alias("_room")).where("_room > 0")
     own = ranked(rest.where(F.col("class") > top_up), "class", "_rank", buckets).withColumn("bin_id", F.concat_ws("-", F.lit("h"), "class", F.floor(F.col("_rank") / F.col("class")).cast("string")))
     out = own.select("item_id", "part", "size", "bin_id", F.lit("class").alias("kind"))
-    for d in done:
+    for d in done:  # written tables, but for the last
         out = out.unionByName(d)
     return out if grid else spark.createDataFrame([], out.schema)
 
 
-def packed_texts(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, top_up: int = 3) -> DataFrame:
+def packed_texts(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, top_up: int = 3) -> DataFrame:
     """harmonic_pack over the token sizes of texts; the sizes are written once, as counting tokens is the costly part."""
-    return harmonic_pack(materialize(token_sizes(docs, id_col, text_col, vocabulary), "token-sizes"), capacity, top_up)
+    return harmonic_pack(materialize(token_sizes(docs, id_col, text_col, vocabulary, pattern), "token-sizes"), capacity, top_up)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectrail.llm import distinctive, grid_clusters, leakage, multi_index, near_duplicates, packing, records, residue, splitting
@@ -70,10 +70,11 @@ RARE = {"min_tf": 3, "pattern": "[a-z]{6,}", "min_df": 2, "max_df": 12}
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored terms that meet the problem's conditions, which are on counts: a term without a score is none."""
     texts = distinctive.distinctive_in_texts(table(spark, sf_dir, "documents"), **RARE)
     posted = records.current_postings(table(spark, sf_dir, "postings")).withColumnRenamed("node_id", "rec_id")
     nodes = distinctive.distinctive_in_counts(posted, **RARE)
-    kinds = [d.select(F.lit(k).alias("rec_kind"), "rec_id", "term") for k, d in (("document", texts), ("node", nodes))]
+    kinds = [d.where("z is not null").select(F.lit(k).alias("rec_kind"), "rec_id", "term") for k, d in (("document", texts), ("node", nodes))]
     return kinds[0].unionByName(kinds[1])
 
 
@@ -83,6 +84,14 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.distinctive_in_counts(posted).select("rec_id", "term", "tf", "df", F.round("log_odds", 6).alias("log_odds"), F.round("z", 6).alias("z"))
 
 
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five terms that are most distinctive of each document, by z-score (ties to the smaller term)."""
+    scored = distinctive.distinctive_in_texts(table(spark, sf_dir, "documents"))
+    order = Window.partitionBy("rec_id").orderBy(F.desc(F.round("z", 9)), "term")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 5)
+    return best.select(F.col("rec_id").alias("doc_id"), "rank", "term", "tf", "df", F.round("log_odds", 6).alias("log_odds"), F.round("z", 6).alias("z"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = records.usable_entries(table(spark, sf_dir, "ivf_entries"))
     return grid_clusters.clusters(points, reach=2.0, least=10).select(F.col("rec_id").alias("entry_id"), "cluster_id")
@@ -130,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_roundtrip": p3_roundtrip,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
+    "p4_terms": p4_terms,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p6_containers": p6_containers,
@@ -147,6 +157,10 @@ _USABLE_NODES = """SELECT node_id, e, list_transform(e, lambda x: x / n) AS u FR
 _POSTED = "(SELECT node_id AS rec_id, lower(term) AS term, arg_max(tf, indexed_at)::BIGINT AS tf FROM (SELECT * FROM postings WHERE node_id IS NOT NULL AND term IS NOT NULL) GROUP BY 1, 2)"
 _TEXTS = f"(SELECT doc_id AS rec_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY 1, 2)"
 
+_SCORED = """r AS (SELECT rec_id, term, tf::DOUBLE AS y, tf FROM {0} WHERE tf >= 1), l AS (SELECT rec_id, sum(y) AS len FROM r GROUP BY 1),
+      t AS (SELECT term, sum(y) AS n, count(*) AS df FROM r GROUP BY 1), c AS (SELECT sum(y) AS total FROM r),
+      x AS (SELECT rec_id, term, tf, df, y, n - y AS o, 500 * n / total AS a, len, total - len AS rest FROM r JOIN l USING (rec_id) JOIN t USING (term), c),
+      z AS (SELECT *, ln((y + a) / (len + 500 - y - a)) - ln((o + a) / (rest + 500 - o - a)) AS lo, sqrt(1 / (y + a) + 1 / (o + a)) AS se FROM x)"""
 _ALIKE_TEXTS = f"""w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
       s AS MATERIALIZED (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
       n AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY 1 HAVING count(*) >= 40),
@@ -179,11 +193,9 @@ ORACLES: dict[str, str] = {
       FROM documents WHERE length(text) > 2000""",
     "p4_found": f"""WITH r AS (SELECT 'document' AS rec_kind, * FROM {_TEXTS} UNION ALL SELECT 'node', * FROM {_POSTED} WHERE tf >= 1)
       SELECT rec_kind, rec_id, term FROM (SELECT *, count(*) OVER (PARTITION BY rec_kind, term) AS df FROM r) WHERE tf >= 3 AND df BETWEEN 2 AND 12 AND regexp_full_match(term, '[a-z]{{6,}}')""",
-    "p4_scores": f"""WITH r AS (SELECT rec_id, term, tf::DOUBLE AS y, tf FROM {_POSTED} WHERE tf >= 1), l AS (SELECT rec_id, sum(y) AS len FROM r GROUP BY 1),
-      t AS (SELECT term, sum(y) AS n, count(*) AS df FROM r GROUP BY 1), c AS (SELECT sum(y) AS total FROM r),
-      x AS (SELECT rec_id, term, tf, df, y, n - y AS o, 500 * n / total AS a, len, total - len AS rest FROM r JOIN l USING (rec_id) JOIN t USING (term), c),
-      z AS (SELECT *, ln((y + a) / (len + 500 - y - a)) - ln((o + a) / (rest + 500 - o - a)) AS lo, sqrt(1 / (y + a) + 1 / (o + a)) AS se FROM x)
-      SELECT rec_id, term, tf, df, round(lo, 6) AS log_odds, round(lo / se, 6) AS z FROM z""",
+    "p4_scores": f"WITH {_SCORED.format(_POSTED)} SELECT rec_id, term, tf, df, round(lo, 6) AS log_odds, round(lo / se, 6) AS z FROM z",
+    "p4_terms": f"""WITH {_SCORED.format(_TEXTS)} SELECT doc_id, rank::INT AS rank, term, tf, df, round(lo, 6) AS log_odds, round(lo / se, 6) AS z FROM (
+      SELECT rec_id AS doc_id, *, row_number() OVER (PARTITION BY rec_id ORDER BY round(lo / se, 9) DESC, term) AS rank FROM z) WHERE rank <= 5""",
     "p5_found": """WITH RECURSIVE x AS MATERIALIZED (SELECT entry_id AS id, any_value(embedding)::DOUBLE[32] AS e FROM ivf_entries WHERE entry_id IS NOT NULL AND len(embedding) = 32
         AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 GROUP BY 1),
       e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM x a, x b WHERE a.id <> b.id AND array_distance(a.e, b.e) <= 2),
