@@ -78,7 +78,7 @@ GATHERED = "rec_id bigint, cell bigint, leader bigint, d double, embedding array
 
 
 def _gather(reach: float):
-    """The vectors of each block with their leader, the first vector of those left, and their distance d from it."""
+    """The vectors of each block with their leader, the first embedding of those left, and their distance d from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches, "block"):
@@ -238,7 +238,7 @@ def _cells(points: DataFrame, axes: np.ndarray, reach: float) -> DataFrame:
 
 
 def micro_cells(points: DataFrame, reach: float, axes: int = 4) -> DataFrame:
-    """(rec_id, cell, leader, micro, d, embedding, label, size) of every vector: its cell and micro-cell, and the label (the smallest id) and size of the cluster."""
+    """(rec_id, cell, leader, micro, d, embedding, label, size) of every embedding: its cell and micro-cell, and the label (the smallest id) and size of the cluster."""
     spark = points.sparkSession
     points = materialize(points.select("rec_id", "embedding"), "grid-points")
     n = points.count()
@@ -276,7 +276,7 @@ def micro_cells(points: DataFrame, reach: float, axes: int = 4) -> DataFrame:
         end = lambda i, j, side: F.struct(F.col(i).alias("micro"), F.col(j).alias("of"), F.lit(side).alias("side"))
         ends = open_pairs.select("pair", "u", "v", F.explode(F.array(end("u", "v", 0), end("v", "u", 1))).alias("end")).select("pair", "u", "v", "end.*")
         ends = ends.join(about, "of").join(micro.select("micro", "leader"), "micro").select("pair", "u", "v", "side", "leader", "radius", "lead")
-        # a vector can touch one of the other leader's only if it is within the reach of that leader's radius
+        # an embedding can touch one of the other leader's only if it is within the reach of that leader's radius
         far = F.sqrt(F.aggregate(F.zip_with("embedding", "lead", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda t, x: t + x))
         rows = ends.join(gathered.select("leader", "rec_id", "embedding"), "leader").where(far <= (F.lit(reach) + F.col("radius")) * (1 + 1e-9))
         rows = in_block_pairs(materialize(rows.select("pair", "u", "v", "side", "rec_id", "embedding"), "grid-ends"), "pair", "rec_id", 2)

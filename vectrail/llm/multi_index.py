@@ -1,4 +1,4 @@
-"""Problem 2: the k most similar vectors of every vector, by an inverted multi-index.
+"""Problem 2: the k most similar vectors of every embedding, by an inverted multi-index.
 
 The two halves of the vectors are quantised separately, each with its own codebook, so a pair of centroids names a cell. A
 query visits cells in the order of their centroids' summed squared distances, which a heap yields, until the cells it has
@@ -14,7 +14,7 @@ is a query. The sizes of the lists and the cuts come from the sample, so a dense
 query goes to the parts with its cells alone. Vectors with more than MANY exact copies aren't searched for: the neighbours of
 each copy are the copies with the smallest ids, and these alone stand for the class in other lists.
 
-Fewer than k other vectors give fewer neighbours; no vectors give no rows; one vector gives none.
+Fewer than k other vectors give fewer neighbours; no vectors give no rows; one embedding gives none.
 """
 
 from __future__ import annotations
@@ -202,7 +202,7 @@ def nearest_neighbours(vectors: DataFrame, count: int, sample: DataFrame, k: int
         return spark.createDataFrame([], "rec_id bigint, neighbor_id bigint, rank int, distance double")
     s = _matrix(fit)
     s = s / np.linalg.norm(s, axis=1)[:, None] if cosine else s
-    shared = spark.sparkContext.broadcast(Index(s, centroids, rounds, count, visits, block))  # 2 x centroids x half a vector, and a cut for each BLOCK rows
+    shared = spark.sparkContext.broadcast(Index(s, centroids, rounds, count, visits, block))  # 2 x centroids x half an embedding, and a cut for each BLOCK rows
 
     rows = spread(vectors.select("rec_id", "embedding"))
     alike = rows.groupBy(F.xxhash64("embedding").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > MANY)

@@ -1,7 +1,7 @@
 """Problem 1: records that are edited, extended or rearranged versions of others.
 
 Records become weighted feature sets: word shingles with their counts (or as plain sets), or the signed coordinates of a
-normalised vector. Records with equal features are one class, represented by the smallest id, so groups of copies of any
+normalised embedding. Records with equal features are one class, represented by the smallest id, so groups of copies of any
 size cost one record. BagMinHash signatures of the representatives are cut into bands; representatives that share a band
 are candidates and are verified exactly. Bands shared by very many different representatives are cut into blocks that are
 compared pairwise on their own, so that no task sees the whole; nothing is dropped.
@@ -31,7 +31,7 @@ from vectrail.session import materialize, spread, tasks_for
 EXPAND = 2000  # copies of a class that are paired with each other
 BLOCK = 2000  # representatives compared with each other by one task
 CHUNK = 256  # records whose signatures are drawn at once
-UNIT = 1 / 16  # the first cell of a vector's weights
+UNIT = 1 / 16  # the first cell of an embedding's weights
 U = np.uint64
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 

@@ -60,7 +60,7 @@ page not found
 traceback newest call last
 traceback most recent call last
 file row in load
-valueerror bad vector length
+valueerror bad length
 something went wrong on our side
 try again later
 panic runtime failure in shard
