@@ -4,7 +4,13 @@ from pyspark.sql import functions as F
 
 from vectrail.operators import bm25, graph, hybrid, ivf, kmeans, knn, quantize
 
-DOCS = [(0, [1.0, 0, 0], "Machine learning embeddings for vector search"), (1, [0, 1.0, 0], "Database systems with full-text search capabilities"), (2, [0, 0, 1.0], "Hybrid search combining vectors and text"), (3, [0.7, 0.7, 0], "Vector database with HNSW indexing"), (4, [0.5, 0.5, 0.5], "Search engine with semantic capabilities")]
+DOCS = [
+    (0, [0.9, 0.1, 0.2], "Ferry timetable of the northern harbour route"),
+    (1, [0.1, 0.8, 0.1], "A walking route along chalk cliffs"),
+    (2, [0.0, 0.2, 0.9], "Bus route and tram stops, with a text for visitors"),
+    (3, [0.8, 0.5, 0.0], "Fishing harbour with a stone lighthouse"),
+    (4, [0.4, 0.6, 0.5], "Mountain route closed in winter"),
+]
 
 
 @pytest.fixture(scope="module")
@@ -60,30 +66,30 @@ def test_within(cloud):
 def test_bm25(spark, docs):
     ix = bm25.index(docs, "id")
     count = lambda text, k=5: bm25.search(ix, bm25.single(text, spark), k).count()
-    assert count("vector") == 2 and count("search") == 4 and count("search", 2) == 2
-    assert count("blockchain cryptocurrency") == 0 and count("") == 0
-    one = {r.doc_id: r.score for r in bm25.scores(ix, bm25.single("vector", spark)).collect()}
-    two = {r.doc_id: r.score for r in bm25.scores(ix, bm25.single("vector Vector", spark)).collect()}
+    assert count("harbour") == 2 and count("route") == 4 and count("route", 2) == 2
+    assert count("violin orchestra") == 0 and count("") == 0
+    one = {r.doc_id: r.score for r in bm25.scores(ix, bm25.single("harbour", spark)).collect()}
+    two = {r.doc_id: r.score for r in bm25.scores(ix, bm25.single("harbour Harbour", spark)).collect()}
     assert two == pytest.approx({i: 2 * s for i, s in one.items()})
     allowed = docs.where("id = 3").select(F.col("id").alias("doc_id"))
-    assert {r.doc_id: r.score for r in bm25.scores(ix, bm25.single("vector", spark), allowed).collect()} == pytest.approx({3: one[3]})
+    assert {r.doc_id: r.score for r in bm25.scores(ix, bm25.single("harbour", spark), allowed).collect()} == pytest.approx({3: one[3]})
 
 
 def test_saved_index(spark, docs, tmp_path):
     ix = bm25.index(docs, "id")
-    rows = lambda i: [(r.doc_id, round(r.score, 9)) for r in bm25.search(i, bm25.single("search text", spark), 5).orderBy("rank").collect()]
+    rows = lambda i: [(r.doc_id, round(r.score, 9)) for r in bm25.search(i, bm25.single("route text", spark), 5).orderBy("rank").collect()]
     assert rows(bm25.saved(ix, str(tmp_path / "ix"))) == rows(ix)
 
 
 def test_bm25_saturates(spark):
-    d = spark.createDataFrame([(1, "vector vector vector"), (2, "vector"), (3, None), (4, "")], "doc_id bigint, text string")
-    s = {r.doc_id: r.score for r in bm25.scores(bm25.index(d), bm25.single("vector", spark)).collect()}
+    d = spark.createDataFrame([(1, "harbour harbour harbour"), (2, "harbour"), (3, None), (4, "")], "doc_id bigint, text string")
+    s = {r.doc_id: r.score for r in bm25.scores(bm25.index(d), bm25.single("harbour", spark)).collect()}
     assert s.keys() == {1, 2} and s[1] < 3 * s[2]
     assert bm25.index(d).corpus.first().n_docs == 4
 
 
 def test_fusion(spark, docs):
-    q = spark.createDataFrame([(0, [1.0, 0.0, 0.0], "vector")], "query_id int, embedding array<float>, text string")
+    q = spark.createDataFrame([(0, [1.0, 0.0, 0.0], "harbour")], "query_id int, embedding array<float>, text string")
     v = knn.search_many(docs, q, 6, id_col="id")
     t = bm25.search(bm25.index(docs, "id"), q.select("query_id", "text"), 6).withColumnRenamed("doc_id", "id")
     rows = hybrid.rrf(v, t, 5).orderBy("rank").collect()

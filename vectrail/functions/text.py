@@ -19,8 +19,8 @@ def word_hash(word: Column) -> Column:
 
 
 def hash_embedding(text: Column, dim: int) -> Column:
-    """White-space separated words as a unit vector: a word adds ((hash + i) % 1000) / 1000 at position i. A text without
-    words gives the zero vector, null gives null."""
+    """White-space separated words as a unit embedding: a word adds ((hash + i) % 1000) / 1000 at position i. A text without
+    words gives the zero embedding, null gives null."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     hashes = F.transform(words, word_hash)
     at = F.sequence(F.lit(0), F.lit(dim - 1))

@@ -1,6 +1,6 @@
-"""Vector arithmetic as Column expressions: no UDF, sums in double precision.
+"""Embedding arithmetic as Column expressions: no UDF, sums in double precision.
 
-Vectors are array<float>. A null or empty vector, or vectors of different lengths, give a null distance (zip_with pads the
+Vectors are array<float>. A null or empty embedding, or vectors of different lengths, give a null distance (zip_with pads the
 shorter one with nulls); NaN elements give NaN.
 """
 
@@ -38,7 +38,7 @@ def negative_dot(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine, never below 0; 1 if either vector is zero."""
+    """1 - cosine, never below 0; 1 if either embedding is zero."""
     length = norm(a) * norm(b)
     d = F.when(length == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / length)
     return F.when(d < 0, 0.0).otherwise(d)
@@ -54,7 +54,7 @@ def distance(metric: str, a: Column, b: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    """The vector at length 1; a zero vector stays as it is."""
+    """The embedding at length 1; a zero embedding stays as it is."""
     length = norm(a)
     return F.when(length == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x / length))
 
@@ -70,6 +70,6 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * EARTH_RADIUS_M * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
-def literal(vector: list[float]) -> Column:
-    """A vector given by the caller, rounded to single precision as stored vectors are."""
-    return F.array(*(F.lit(float(x)).cast("float") for x in vector))
+def literal(embedding: list[float]) -> Column:
+    """An embedding given by the caller, rounded to single precision as stored vectors are."""
+    return F.array(*(F.lit(float(x)).cast("float") for x in embedding))

@@ -26,16 +26,16 @@ def graph_of(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "
     return materialize(knn.graph(vectors, k, metric, id_col, embedding).select("src", "dst", "distance"), "graph")
 
 
-def mean_vector(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
+def mean_embedding(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     """One row (centre array<double>)."""
     parts = vectors.select(F.posexplode(embedding).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return parts.agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p")).select(F.transform("p", lambda z: z["m"]).alias("centre"))
 
 
 def navigating_node(vectors: DataFrame, metric: str = "euclidean", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The row (id, distance) nearest to the mean vector: where searches start. The mean is one row."""
+    """The row (id, distance) nearest to the mean embedding: where searches start. The mean is one row."""
     d = V.distance(metric, F.col(embedding), F.col("centre"))
-    return vectors.join(F.broadcast(mean_vector(vectors, embedding)), how="cross").select(id_col, d.alias("distance")).orderBy("distance", id_col).limit(1)
+    return vectors.join(F.broadcast(mean_embedding(vectors, embedding)), how="cross").select(id_col, d.alias("distance")).orderBy("distance", id_col).limit(1)
 
 
 def medoid(vectors: DataFrame, sample: DataFrame, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Entries are the indexed rows with `centroid_id`; written with partitionBy("centroid_id"), a probe reads its lists' files
 alone (dynamic partition pruning). A search joins the probes (queries x nprobe rows) with the entries on the list; `keep`
-restricts entries before distances are taken. Codes are residuals: vector minus centroid.
+restricts entries before distances are taken. Codes are residuals: embedding minus centroid.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ def search(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine
     if k < 1:
         raise ValueError("k must be positive")
     if not query:
-        raise ValueError("the query vector is empty")
+        raise ValueError("the query embedding is empty")
     rows = vectors if before is None else vectors.where(before)
     rows = rows.where(F.size(embedding) == len(query))
     found = rows.withColumn("distance", V.distance(metric, F.col(embedding), V.literal(query))).where("distance is not null")

@@ -1,6 +1,6 @@
-"""Vector quantisation: scalar (8 bits) and product codes, with uneven parts allowed.
+"""Embedding quantisation: scalar (8 bits) and product codes, with uneven parts allowed.
 
-A codebook is (sv, code, centroid): for part `sv` of the vector, the codes and their centroids. Its size is parts x codes, a
+A codebook is (sv, code, centroid): for part `sv` of the embedding, the codes and their centroids. Its size is parts x codes, a
 parameter. Codes come as rows (id, sv, code).
 """
 
@@ -32,7 +32,7 @@ def scalar_dequantize(codes: Column) -> Column:
 
 
 def parts(dim: int, m: int, uneven: bool = False) -> list[tuple[int, int]]:
-    """(start, width) of m parts of a vector. Even parts need m to divide dim; uneven ones give the first dim % m parts one more."""
+    """(start, width) of m parts of an embedding. Even parts need m to divide dim; uneven ones give the first dim % m parts one more."""
     if dim % m and not uneven:
         raise ValueError(f"{m} parts do not divide {dim} dimensions")
     out, at = [], 0
@@ -95,7 +95,7 @@ def adc_table(queries: DataFrame, codebook: DataFrame, cuts: list[tuple[int, int
 
 
 def adc_distances(codes: DataFrame, table: DataFrame, query_col: str = "query_id", id_col: str = "vec_id", keys: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, id, d2): sums of table entries for each coded vector; equal codes tie, so sums are rounded to 9 places
+    """(query_id, id, d2): sums of table entries for each coded embedding; equal codes tie, so sums are rounded to 9 places
     before they are ranked."""
     joined = codes.join(table, ["sv", "code", *keys])
     return joined.groupBy(query_col, id_col).agg(F.round(F.sum("part"), 9).alias("d2"))
@@ -116,7 +116,7 @@ def top_k(scored: DataFrame, k: int, by: str, id_col: str = "vec_id") -> DataFra
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
+def position_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     """(dim, mean, std, low, high) of each position; std of the population."""
     x = F.col("x").cast("double")
     return vectors.select(F.posexplode(embedding).alias("dim", "x")).groupBy("dim").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
@@ -132,6 +132,6 @@ def load_codebook(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compression(dim: int, m: int) -> float:
-    """Bytes of a raw vector over bytes of its code."""
+    """Bytes of a raw embedding over bytes of its code."""
     return 4.0 * dim / m
 

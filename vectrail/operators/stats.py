@@ -10,9 +10,9 @@ LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0
 
 
 def by_namespace(rows: DataFrame, ns: str = "ns", embedding: str = "embedding") -> DataFrame:
-    """(ns, rows, with_vector, dimensions): the dimension is the longest embedding's. A null namespace is a group."""
+    """(ns, rows, with_embedding, dimensions): the dimension is the longest embedding's. A null namespace is a group."""
     size = F.size(embedding)
-    return rows.groupBy(ns).agg(F.count("*").alias("rows"), F.count_if(size > 0).alias("with_vector"), F.max(F.when(size > 0, size)).alias("dimensions"))
+    return rows.groupBy(ns).agg(F.count("*").alias("rows"), F.count_if(size > 0).alias("with_embedding"), F.max(F.when(size > 0, size)).alias("dimensions"))
 
 
 def histogram(rows: DataFrame, value: Column, bounds: tuple[float, ...], *keys: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """One object for the requests a search service answers: insert, update, delete, search, hybrid search, statistics.
 
-Requests are checked (namespace, vector, text, k) and build plans; rows are computed when they are read. A write replaces the
+Requests are checked (namespace, embedding, text, k) and build plans; rows are computed when they are read. A write replaces the
 collection's table and drops what the result cache holds of its namespaces.
 """
 
@@ -50,24 +50,24 @@ class Collection:
             raise ValueError("ids, or a namespace and a filter, are required")
         self._write(store.delete_where(self.rows, ns, condition))
 
-    def search(self, ns: str, vector: list[float], k: int = 10, metric: str | None = None, filter_: Filter | dict | None = None, mode: str = "before") -> DataFrame:
+    def search(self, ns: str, embedding: list[float], k: int = 10, metric: str | None = None, filter_: Filter | dict | None = None, mode: str = "before") -> DataFrame:
         """(id, distance, metadata). mode: the filter restricts what is searched (`before`) or the k hits (`after`)."""
         if mode not in ("before", "after"):
             raise ValueError("mode must be before or after")
         condition = _condition(filter_)
         column = condition.column() if condition else None
-        found = knn.search(store.in_namespace(self.rows, ns), vector, k, metric or self.config.metric, "id", **{mode: column})
+        found = knn.search(store.in_namespace(self.rows, ns), embedding, k, metric or self.config.metric, "id", **{mode: column})
         return found.select("id", "distance", "metadata")
 
-    def hybrid_search(self, ns: str, vector: list[float], text: str, k: int = 10, method: str = "rrf", filter_: Filter | dict | None = None, **weights) -> DataFrame:
-        """(rank, id, vector_score, text_score, fused). Both sides give 2 k hits (the vector side 3 k before a filter); a vector
+    def hybrid_search(self, ns: str, embedding: list[float], text: str, k: int = 10, method: str = "rrf", filter_: Filter | dict | None = None, **weights) -> DataFrame:
+        """(rank, id, knn_score, text_score, fused). Both sides give 2 k hits (the embedding side 3 k before a filter); an embedding
         of a length that no record has leaves the text side alone."""
         if not text:
             raise ValueError("the query text is empty")
-        if k < 1 or not vector:
-            raise ValueError("k must be positive and the query vector not empty")
+        if k < 1 or not embedding:
+            raise ValueError("k must be positive and the query embedding not empty")
         rows, condition = store.in_namespace(self.rows, ns), _condition(filter_)
-        q = self.spark.range(1).select(F.lit(0).alias("query_id"), F.array(*map(F.lit, map(float, vector))).cast("array<float>").alias("embedding"))
+        q = self.spark.range(1).select(F.lit(0).alias("query_id"), F.array(*map(F.lit, map(float, embedding))).cast("array<float>").alias("embedding"))
         near = knn.search_many(rows, q, (3 if condition else 2) * k, self.config.metric, "id")
         texts = rows.where("text is not null and text <> ''").select("id", "text", "metadata")
         allowed = None

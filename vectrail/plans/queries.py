@@ -44,7 +44,7 @@ def query0(spark: SparkSession, d: str) -> list[float]:
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set: every vector whose id is divisible by 50."""
+    """The stated query set: every embedding whose id is divisible by 50."""
     return embeddings(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
@@ -80,7 +80,7 @@ def knn_self_exclude(spark, d):
 
 
 @query("SELECT vec_id, 1.0::DOUBLE AS distance FROM embeddings ORDER BY vec_id LIMIT 10")
-def knn_zero_vector(spark, d):
+def knn_zero_query(spark, d):
     return knn.search(embeddings(spark, d), [0.0] * 64, 10).select("vec_id", r6("distance", "distance"))
 
 
@@ -111,7 +111,7 @@ def range_search_cosine(spark, d):
 
 
 @query(f"SELECT node_id, updated_at, round(sqrt({S.dot('embedding', 'embedding')}), 6) AS norm FROM nodes WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0")
-def vector_norms(spark, d):
+def embedding_norms(spark, d):
     nodes = table(spark, d, "nodes")
     finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     return nodes.where((F.size("embedding") > 0) & finite).select("node_id", "updated_at", r6(V.norm(F.col("embedding")), "norm"))
@@ -120,15 +120,15 @@ def vector_norms(spark, d):
 @query(f"""SELECT entry_id, added_at, round(sqrt({S.dot('u', 'u')}), 6) AS length FROM (
   SELECT entry_id, added_at, list_transform(embedding::DOUBLE[], lambda x: x / n) AS u FROM (
     SELECT *, sqrt({S.dot('embedding', 'embedding')}) AS n FROM ivf_entries WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0))""")
-def vector_normalize_roundtrip(spark, d):
+def normalize_roundtrip(spark, d):
     rows = table(spark, d, "ivf_entries").where((F.size("embedding") > 0) & F.forall("embedding", lambda x: ~F.isnan(x)))
     return rows.select("entry_id", "added_at", r6(V.norm(V.normalize(F.col("embedding"))), "length"))
 
 
 @query("""SELECT (i - 1)::INT AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (
   SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1""")
-def vector_stats_per_dim(spark, d):
-    s = quantize.vector_stats(embeddings(spark, d))
+def stats_per_dim(spark, d):
+    s = quantize.position_stats(embeddings(spark, d))
     return s.select("dim", *(r6(c, c) for c in ("mean", "std", "low", "high")))
 
 
@@ -201,7 +201,7 @@ _filter(
 )
 _GEO = "SELECT vec_id, (vec_id * 37 % 180) - 90 AS lat, (vec_id * 73 % 360) - 180 AS lon FROM embeddings"
 _HAV = "2 * 6371000.0::DOUBLE * atan2(sqrt(h), sqrt(1 - h))"
-_H = "pow(sin((radians(37.7749::DOUBLE) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(37.7749::DOUBLE)) * pow(sin((radians(-122.4194::DOUBLE) - radians(lon)) / 2), 2)"
+_H = "pow(sin((radians(45.764::DOUBLE) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(45.764::DOUBLE)) * pow(sin((radians(4.8357::DOUBLE) - radians(lon)) / 2), 2)"
 
 
 def _places(spark, d):
@@ -210,17 +210,17 @@ def _places(spark, d):
 
 @query(f"SELECT vec_id, lat, lon FROM (SELECT *, {_H} AS h FROM ({_GEO})) WHERE {_HAV} <= 4000000")
 def filter_geo_km(spark, d):
-    return _places(spark, d).where(flt.GeoRadius(None, 37.7749, -122.4194, km=4000).column())
+    return _places(spark, d).where(flt.GeoRadius(None, 45.764, 4.8357, km=4000).column())
 
 
 @query(f"SELECT vec_id, lat, lon FROM (SELECT *, {_H} AS h FROM ({_GEO})) WHERE {_HAV} <= 2500000")
 def filter_geo_m(spark, d):
-    return _places(spark, d).where(flt.GeoRadius(None, 37.7749, -122.4194, km=1, metres=2_500_000).column())
+    return _places(spark, d).where(flt.GeoRadius(None, 45.764, 4.8357, km=1, metres=2_500_000).column())
 
 
 @query(f"SELECT vec_id, round({_HAV}, 2) AS metres FROM (SELECT *, {_H} AS h FROM ({_GEO}))")
 def haversine(spark, d):
-    return _places(spark, d).select("vec_id", F.round(V.haversine_m(F.col("lat"), F.col("lon"), F.lit(37.7749), F.lit(-122.4194)), 2).alias("metres"))
+    return _places(spark, d).select("vec_id", F.round(V.haversine_m(F.col("lat"), F.col("lon"), F.lit(45.764), F.lit(4.8357)), 2).alias("metres"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE (props::JSON->>'$.k')::INT > 50 AND event_type = 'click'")
@@ -232,7 +232,7 @@ def filter_json_props(spark, d):
 
 # ---- text
 
-TEXT = "vector search index with recall"
+TEXT = "embedding search index with recall"
 _P = S.bm25(S.one_query(TEXT), 10)
 
 
@@ -264,9 +264,9 @@ def _bm25(name: str, text: str, k: int = 10, **how) -> None:
     query(f"WITH {S.bm25(S.one_query(text), k, **how)} SELECT rank::INT AS rank, doc_id, round(score, 6) AS score FROM t", f"bm25_{name}")(run)
 
 
-_bm25("single_term", "vector")
+_bm25("single_term", "embedding")
 _bm25("multi_term", TEXT)
-_bm25("repeated_terms", "vector vector index index index")
+_bm25("repeated_terms", "embedding embedding index index index")
 _bm25("custom_k1_b", TEXT, k1=2.0, b=0.3)
 _bm25("no_match", "xqzzyx qqqqqqx")
 
@@ -316,9 +316,9 @@ def _paired(spark, d):
 def _sides(spark, d, k, over=2, before=None, allowed=None):
     q = _paired(spark, d)
     rows = embeddings(spark, d)
-    vector = knn.search_many(rows, q, over * k).withColumnRenamed("vec_id", "id")
+    near = knn.search_many(rows, q, over * k).withColumnRenamed("vec_id", "id")
     text = bm25.search(bm25.index(table(spark, d, "documents")), q.select("query_id", "text"), 2 * k, allowed).withColumnRenamed("doc_id", "id")
-    return vector if before is None else vector.join(before, "id", "left_semi"), text
+    return near if before is None else near.join(before, "id", "left_semi"), text
 
 
 def _fused_sql(score: str, k: int = 10, over: int = 2, allowed: str = "true", post: str = "true") -> str:
@@ -327,7 +327,7 @@ def _fused_sql(score: str, k: int = 10, over: int = 2, allowed: str = "true", po
     x AS (SELECT query_id, doc_id AS id, score, rank, max(score) OVER (PARTITION BY query_id) AS m FROM t),
     f AS (SELECT coalesce(v.query_id, x.query_id) AS query_id, coalesce(v.id, x.id) AS id, coalesce(d, 0) AS vs, coalesce(score, 0) AS ts, {score} AS fused FROM v FULL JOIN x ON v.query_id = x.query_id AND v.id = x.id),
     z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, id) AS rank FROM f)
-    SELECT query_id, rank::INT AS rank, id, round(vs, 6) AS vector_score, round(ts, 6) AS text_score, round(fused, 6) AS fused FROM z WHERE rank <= {k}"""
+    SELECT query_id, rank::INT AS rank, id, round(vs, 6) AS knn_score, round(ts, 6) AS text_score, round(fused, 6) AS fused FROM z WHERE rank <= {k}"""
 
 
 def _rrf_sql(a: float, b: float) -> str:
@@ -335,7 +335,7 @@ def _rrf_sql(a: float, b: float) -> str:
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "rank", "id", r6("vector_score", "vector_score"), r6("text_score", "text_score"), r6("fused", "fused"))
+    return df.select("query_id", "rank", "id", r6("knn_score", "knn_score"), r6("text_score", "text_score"), r6("fused", "fused"))
 
 
 @query(_fused_sql(_rrf_sql(0.5, 0.5)))
@@ -359,24 +359,24 @@ def hybrid_filtered(spark, d):
     return _shown(hybrid.rrf(*_sides(spark, d, 10, 3, allowed.select(F.col("doc_id").alias("id")), allowed), 10))
 
 
-@query(f"SELECT query_id, rank::INT AS rank, vec_id AS id, round(d, 6) AS vector_score, 0::DOUBLE AS text_score, round(0 - d, 6) + 0 AS fused FROM ({S.knn('cosine', 10)})")
-def hybrid_vector_only(spark, d):
-    vector = knn.search_many(embeddings(spark, d), asked(spark, d), 20).withColumnRenamed("vec_id", "id")
-    return _shown(hybrid.fuse(vector, None, 10))
+@query(f"SELECT query_id, rank::INT AS rank, vec_id AS id, round(d, 6) AS knn_score, 0::DOUBLE AS text_score, round(0 - d, 6) + 0 AS fused FROM ({S.knn('cosine', 10)})")
+def hybrid_knn_only(spark, d):
+    near = knn.search_many(embeddings(spark, d), asked(spark, d), 20).withColumnRenamed("vec_id", "id")
+    return _shown(hybrid.fuse(near, None, 10))
 
 
-@query(f"WITH {S.bm25(_PAIRED, 10)} SELECT query_id, rank::INT AS rank, doc_id AS id, 0::DOUBLE AS vector_score, round(score, 6) AS text_score, round(score, 6) AS fused FROM t")
+@query(f"WITH {S.bm25(_PAIRED, 10)} SELECT query_id, rank::INT AS rank, doc_id AS id, 0::DOUBLE AS knn_score, round(score, 6) AS text_score, round(score, 6) AS fused FROM t")
 def hybrid_text_only(spark, d):
     text = bm25.search(bm25.index(table(spark, d, "documents")), _paired(spark, d).select("query_id", "text"), 10).withColumnRenamed("doc_id", "id")
     return _shown(hybrid.fuse(None, text, 10))
 
 
-@query(f"WITH {S.bm25(_PAIRED, 20)} SELECT query_id, rank::INT AS rank, doc_id AS id, 0::DOUBLE AS vector_score, round(score, 6) AS text_score, round(0.5::DOUBLE / (60 + rank), 6) AS fused FROM t WHERE rank <= 10")
+@query(f"WITH {S.bm25(_PAIRED, 20)} SELECT query_id, rank::INT AS rank, doc_id AS id, 0::DOUBLE AS knn_score, round(score, 6) AS text_score, round(0.5::DOUBLE / (60 + rank), 6) AS fused FROM t WHERE rank <= 10")
 def hybrid_dim_mismatch_fallback(spark, d):
     """Query vectors of a wrong length find nothing, and the text side alone is fused."""
     short = _paired(spark, d).withColumn("embedding", F.slice("embedding", 1, 3))
-    vector = knn.search_many(embeddings(spark, d), short, 20).withColumnRenamed("vec_id", "id")
-    return _shown(hybrid.rrf(vector, _sides(spark, d, 10)[1], 10))
+    near = knn.search_many(embeddings(spark, d), short, 20).withColumnRenamed("vec_id", "id")
+    return _shown(hybrid.rrf(near, _sides(spark, d, 10)[1], 10))
 
 
 # ---- quantisation
@@ -446,7 +446,7 @@ def pq_encode(spark, d):
 
 @query(f"WITH {_pq_sql(PQ8, 16)} SELECT vec_id, round(sum(d), 6) AS error FROM coded GROUP BY 1")
 def pq_decode_error(spark, d):
-    """Squared distance between each vector and what its codes say."""
+    """Squared distance between each embedding and what its codes say."""
     subs, book = _pq(spark, d)
     decoded = quantize.decode(quantize.encode(subs, book), book)
     return embeddings(spark, d).join(decoded, "vec_id").select("vec_id", r6(V.l2_squared(F.col("embedding"), F.col("decoded")), "error"))
@@ -711,7 +711,7 @@ def batch_insert_summary(spark, d):
     return store.batch_insert(new.limit(0), new, 64).summary
 
 
-@query("SELECT ns, count(*) AS rows, count_if(coalesce(len(embedding), 0) > 0)::BIGINT AS with_vector, max(CASE WHEN len(embedding) > 0 THEN len(embedding) END)::INT AS dimensions FROM nodes GROUP BY 1")
+@query("SELECT ns, count(*) AS rows, count_if(coalesce(len(embedding), 0) > 0)::BIGINT AS with_embedding, max(CASE WHEN len(embedding) > 0 THEN len(embedding) END)::INT AS dimensions FROM nodes GROUP BY 1")
 def namespace_stats(spark, d):
     return stats.by_namespace(table(spark, d, "nodes"))
 
