@@ -54,6 +54,6 @@ def test_no_cache(spark):
 
 def test_codebook_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i), 1.0, 2.0, float(-i)]) for i in range(8)], "vec_id bigint, embedding array<float>")
-    book = quantize.first_codebook(quantize.subvectors(df, quantize.parts(4, 2)), 4)
+    book = quantize.first_codebook(df, quantize.parts(4, 2), 4)
     quantize.save_codebook(book, str(tmp_path / "b"))
     assert sorted(quantize.load_codebook(spark, str(tmp_path / "b")).collect()) == sorted(book.collect())

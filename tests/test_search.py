@@ -127,13 +127,56 @@ def test_parts():
 def test_adc_is_the_distance_to_the_decoded(cloud):
     x, df = cloud
     cuts = quantize.parts(16, 4)
-    subs = quantize.subvectors(df, cuts)
-    book = quantize.train(subs, 8, 2)
-    codes = quantize.encode(subs, book)
+    book = quantize.train(df, cuts, 8, 2)
+    codes = quantize.encode(df, book, cuts)
     dec = {r.vec_id: np.array(r.decoded) for r in quantize.decode(codes, book).collect()}
     q = df.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding")
-    for r in quantize.adc_distances(codes, quantize.adc_table(q, book, cuts)).collect():
-        assert r.d2 == pytest.approx(((x[r.query_id].astype(float) - dec[r.vec_id]) ** 2).sum(), abs=1e-6)
+    want = {i: [(x[i].astype(float) - dec[j]) @ (x[i].astype(float) - dec[j]) for j in range(200)] for i in range(3)}
+    for r in quantize.adc_search(codes, q, book, cuts, 200).collect():
+        assert r.d2 == pytest.approx(want[r.query_id][r.vec_id], abs=1e-6)
+    coded = codes.where("vec_id < 3").withColumnRenamed("vec_id", "query_id")
+    assert all(r.d2 == pytest.approx(((dec[r.query_id] - dec[r.vec_id]) ** 2).sum(), abs=1e-6) for r in quantize.sdc_search(codes, coded, book, cuts, 5).collect())
+    assert quantize.adc_search(codes, q.limit(0), book, cuts, 3).count() == quantize.adc_search(codes.limit(0), q, book, cuts, 3).count() == 0
+    assert [(r.sv, r.code) for r in quantize.code_rows(codes.where("vec_id = 7"), 4).orderBy("sv").collect()] == list(enumerate(codes.where("vec_id = 7").first().codes))
+
+
+def test_tables_go_in_blocks(cloud, monkeypatch):
+    x, df = cloud
+    cuts = quantize.parts(16, 4)
+    book = quantize.first_codebook(df, cuts, 8)
+    codes = quantize.encode(df, book, cuts)
+    q = df.where("vec_id < 7").select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = lambda: sorted(map(tuple, quantize.adc_search(codes, q, book, cuts, 5).collect()))
+    whole = rows()
+    monkeypatch.setattr(quantize, "TABLE_BYTES", 600)
+    assert rows() == whole and len(whole) == 35
+
+
+def test_the_plus_plus_start_spreads(spark):
+    r = np.random.default_rng(4)
+    places = r.normal(size=(6, 4)) * 50
+    x = places[r.integers(0, 6, 300)] + r.normal(size=(300, 4)) * 0.01
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    c = np.array([r.centroid for r in kmeans.lloyd(df, 6, 3, start=kmeans.plus_plus(df, 6)).collect()])
+    assert sorted(np.round(((places[:, None] - c[None]) ** 2).sum(2).min(1), 2)) == [0] * 6
+    assert kmeans.plus_plus(df.where("vec_id = 0").unionByName(df.where("vec_id = 0")), 5).count() == 1
+    assert kmeans.plus_plus(df.limit(0), 5).count() == 0
+
+
+def test_position_sums_take_any_length(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, None), (3, []), (4, [None, 6.0]), (5, [1e8])], "vec_id long, embedding array<float>")
+    got = {r.dim: (r.mean, r.std, r.low, r.high) for r in quantize.position_stats(df).collect()}
+    a, b = np.array([1, 3, 1e8]), np.array([2, 6.0])
+    assert got[0] == pytest.approx((a.mean(), a.std(), 1, 1e8)) and got[1] == pytest.approx((b.mean(), b.std(), 2, 6))
+
+
+def test_the_graph_of_blocks_is_exact(cloud):
+    x, df = cloud
+    for block in (7, 90, 4096):
+        got = {}
+        for r in knn.graph(df, 4, "euclidean", block=block).orderBy("src", "rank").collect():
+            got.setdefault(r.src, []).append(r.dst)
+        assert got == {i: [j for j in exact(x, x[i], 5) if j != i] for i in range(200)}
 
 
 def test_ivf_full_probe_is_exact_and_filters_hold(cloud):

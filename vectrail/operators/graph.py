@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
-from vectrail.operators import knn
+from vectrail.operators import kernels, knn
 from vectrail.session import materialize, tasks_for
 
 
@@ -28,8 +28,8 @@ def graph_of(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "
 
 def mean_embedding(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     """One row (centre array<double>)."""
-    parts = vectors.select(F.posexplode(embedding).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return parts.agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p")).select(F.transform("p", lambda z: z["m"]).alias("centre"))
+    parts = kernels.position_sums(vectors, embedding)
+    return parts.agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("p")).select(F.transform("p", lambda z: z["mean"]).alias("centre"))  # a row for each position
 
 
 def navigating_node(vectors: DataFrame, metric: str = "euclidean", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -38,11 +38,17 @@ def navigating_node(vectors: DataFrame, metric: str = "euclidean", id_col: str =
     return vectors.join(F.broadcast(mean_embedding(vectors, embedding)), how="cross").select(id_col, d.alias("distance")).orderBy("distance", id_col).limit(1)
 
 
-def medoid(vectors: DataFrame, sample: DataFrame, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The row of `sample` (id, mean_distance) with the least mean distance to all rows; the sample's size is the caller's bound."""
-    s = sample.select(F.col(id_col).alias("_c"), F.col(embedding).alias("_v"))
-    scored = vectors.join(F.broadcast(s), how="cross").groupBy("_c").agg(F.avg(V.distance(metric, F.col(embedding), F.col("_v"))).alias("mean_distance"))
-    return scored.orderBy("mean_distance", "_c").limit(1).select(F.col("_c").alias(id_col), "mean_distance")
+def medoid(vectors: DataFrame, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """The row (id, mean_distance) with the least mean distance to all rows, under a metric whose mean over all rows follows from
+    their mean: cosine (of the unit vectors), dot and squared_euclidean. Two passes, no pairs."""
+    if metric not in ("cosine", "dot", "squared_euclidean"):
+        raise ValueError(f"the mean {metric} distance does not follow from the mean embedding")
+    v = V.normalize(F.col(embedding)) if metric == "cosine" else F.transform(embedding, lambda x: x.cast("double"))
+    rows = vectors.where(F.size(embedding) > 0).select(id_col, v.alias("_v"))
+    centre = mean_embedding(rows, "_v").crossJoin(rows.agg(F.avg(V.dot(F.col("_v"), F.col("_v"))).alias("_m")))  # one row each
+    s = V.dot(F.col("_v"), F.col("centre"))
+    mean = {"cosine": 1 - s, "dot": -s, "squared_euclidean": V.dot(F.col("_v"), F.col("_v")) - 2 * s + F.col("_m")}[metric]
+    return rows.join(F.broadcast(centre), how="cross").select(id_col, mean.alias("mean_distance")).orderBy(F.round("mean_distance", 12), id_col).limit(1)
 
 
 def nearest_edges(edges: DataFrame, degree: int) -> DataFrame:

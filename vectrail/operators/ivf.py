@@ -7,11 +7,12 @@ restricts entries before distances are taken. Codes are residuals: embedding min
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
-from vectrail.operators import kmeans, quantize
+from vectrail.operators import kernels, kmeans, quantize
 
 
 def build(vectors: DataFrame, centroids: DataFrame, metric: str = "euclidean", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -48,18 +49,23 @@ def residuals(entries: DataFrame, centroids: DataFrame, embedding: str = "embedd
     return entries.join(F.broadcast(centroids), "centroid_id").withColumn(embedding, V.residual(F.col(embedding), F.col("centroid"))).drop("centroid")
 
 
-def encode(entries: DataFrame, centroids: DataFrame, codebook: DataFrame, cuts: list[tuple[int, int]], id_col: str = "vec_id") -> DataFrame:
-    """(centroid_id, id, sv, code)."""
-    coded = quantize.encode(quantize.subvectors(residuals(entries, centroids), cuts, id_col), codebook, id_col)
-    return coded.join(entries.select(id_col, "centroid_id"), id_col)
+def encode(entries: DataFrame, centroids: DataFrame, codebook: DataFrame, cuts: list[tuple[int, int]], id_col: str = "vec_id", embedding: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, centroid_id, *keep, codes binary): the codes of residuals; `keep` names columns that a search may filter by."""
+    return quantize.encode(entries, codebook, cuts, id_col, embedding, ("centroid_id", *keep), kmeans.codebook(centroids))
 
 
-def search_codes(codes: DataFrame, centroids: DataFrame, codebook: DataFrame, queries: DataFrame, cuts: list[tuple[int, int]], k: int, nprobe: int, metric: str = "euclidean", id_col: str = "vec_id") -> DataFrame:
-    """(query_id, rank, id, d2): sums of a table for each (query, probed list); nothing is decoded."""
-    near = residuals(probes(queries, centroids, nprobe, metric), centroids)
-    table = quantize.adc_table(near, codebook, cuts, keys=("centroid_id",))
-    scored = quantize.adc_distances(codes, table, id_col=id_col, keys=("centroid_id",))
-    return quantize.top_k(scored, k, "d2", id_col).select("query_id", "rank", id_col, "d2")
+def search_codes(coded: DataFrame, centroids: DataFrame, codebook: DataFrame, queries: DataFrame, cuts: list[tuple[int, int]], k: int, nprobe: int, metric: str = "euclidean", keep: Column | None = None, id_col: str = "vec_id") -> DataFrame:
+    """(query_id, rank, id, d2): sums of a table for each (query, probed list); nothing is decoded. `keep` restricts the rows
+    that are scanned."""
+    ids, q = quantize.local_queries(queries)
+    rows = coded if keep is None else coded.where(keep)
+    names, c = kmeans.codebook(centroids)
+    if not len(ids) or not len(names):
+        return quantize.scan(rows, ids[:0], np.empty((0, 0, 0)), k, id_col, ids[:0])
+    probed, _ = kernels.nearest(q, c, "squared_euclidean" if metric == "euclidean" else metric, nprobe)
+    asked = np.repeat(np.arange(len(ids)), probed.shape[1])
+    of = probed.ravel()
+    return quantize.scan(rows, ids[asked], quantize.book_of(codebook).tables(q[asked] - c[of], cuts), k, id_col, names[of])
 
 
 def rerank(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
-from vectrail.session import spread
+from vectrail.operators import kernels
+from vectrail.session import spread, tasks_for
 
 BLOCK_BYTES = 64 << 20  # of query vectors held by a task
 
@@ -45,14 +46,8 @@ def within(vectors: DataFrame, query: list[float], radius: float, metric: str =
 
 
 def _block_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    s = q @ x.T
-    if metric == "dot":
-        return -s
-    if metric == "cosine":
-        length = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
-        return np.where(length == 0, 1.0, np.maximum(0.0, 1 - s / np.where(length == 0, 1, length)))
-    d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * s, 0)
-    return d if metric == "squared_euclidean" else np.sqrt(d)
+    d = kernels.products(q, x, metric)
+    return np.sqrt(d) if metric == "euclidean" else d
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_col: str = "query_id", embedding: str = "embedding", exclude_self: bool = False) -> DataFrame:
@@ -96,8 +91,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
                     who = np.broadcast_to(who, d.shape)
                     if dim in best:
                         d, who = np.concatenate([best[dim][1], d], 1), np.concatenate([best[dim][0], who], 1)
-                    order = np.lexsort((who, d), axis=1)[:, :k]
-                    best[dim] = np.take_along_axis(who, order, 1), np.take_along_axis(d, order, 1)
+                    best[dim] = kernels.best_of(who, d, k)
             for dim, (who, d) in best.items():
                 qid = np.repeat(shared.value[dim][0], who.shape[1])
                 ok = np.isfinite(d.ravel())
@@ -110,10 +104,40 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "distance")
 
 
-def graph(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(src, dst, rank, distance): the exact k-nearest-neighbour graph, in blocks of queries against all rows."""
-    found = search_many(vectors, vectors.select(F.col(id_col).alias("query_id"), embedding), k, metric, id_col, "query_id", embedding, exclude_self=True)
-    return found.select(F.col("query_id").alias("src"), F.col(id_col).alias("dst"), "rank", "distance")
+def graph(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding", block: int = 4096) -> DataFrame:
+    """(src, dst, rank, distance): the exact k-nearest-neighbour graph. Rows fall into blocks by a hash of the id; each pair of
+    blocks meets in a task, as one matrix product that serves both, and hands on k hits of each row. The work is quadratic, as
+    exactness demands; `approximate_graph` is for more rows. Rows without a usable embedding have no edges."""
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).alias("id"), embedding).where((F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x)))
+    number = max(1, -(-rows.count() // block), min(int((2 * spark.sparkContext.defaultParallelism) ** 0.5), 8))
+    own = F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")
+    ends = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+    paired = ends.withColumn("pair", F.least("own", "other") * number + F.greatest("own", "other")).select("pair", "own", "id", embedding)
+    id_type = dict(vectors.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair in kernels.by_key(batches, "pair"):
+            key, block_of, ids = (pair.column(c).to_numpy() for c in ("pair", "own", "id"))
+            column = pair.column(embedding).combine_chunks()
+            sizes = np.diff(column.offsets.to_numpy())
+            for number in np.unique(key):
+                for size in np.unique(sizes[key == number]):
+                    at = np.flatnonzero((key == number) & (sizes == size))
+                    x, who, home = kernels.matrix(column.take(pa.array(at))), ids[at], block_of[at]
+                    sides = [np.flatnonzero(home == h) for h in np.unique(home)]
+                    for left, right in [(sides[0], sides[-1])] if len(sides) == 1 else [(sides[0], sides[1]), (sides[1], sides[0])]:
+                        for s in range(0, len(left), 1024):
+                            q = left[s : s + 1024]
+                            d = _block_distances(x[q], x[right], metric)
+                            d[who[q][:, None] == who[right][None]] = np.inf
+                            near, far = kernels.best_of(np.broadcast_to(who[right], d.shape), d, k)
+                            ok = np.isfinite(far)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who[q], near.shape[1])[ok.ravel()]), pa.array(near[ok]), pa.array(far[ok])], names=["src", "dst", "distance"])
+
+    parts = paired.repartition(tasks_for(spark), "pair").sortWithinPartitions("pair").mapInArrow(run, f"src {id_type}, dst {id_type}, distance double")
+    order = Window.partitionBy("src").orderBy("distance", "dst")
+    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "distance")
 
 
 def label_vote(hits: DataFrame, labels: DataFrame, id_col: str = "vec_id", label: str = "label") -> DataFrame:

@@ -148,9 +148,9 @@ def navigating_node(spark, d):
     return graph.navigating_node(embeddings(spark, d)).select("vec_id", r6("distance", "distance"))
 
 
-@query(f"SELECT query_id AS vec_id, round(avg(d), 6) AS mean_distance FROM (SELECT query_id, {S.cosine('embedding', 'q')} AS d FROM embeddings, {S.ASKED}) GROUP BY 1 ORDER BY avg(d), 1 LIMIT 1")
+@query(f"SELECT query_id AS vec_id, round(avg(d), 6) AS mean_distance FROM (SELECT query_id, {S.cosine('embedding', 'q')} AS d FROM embeddings, {ALL_QUERIES}) GROUP BY 1 ORDER BY round(avg(d), 12), 1 LIMIT 1")
 def medoid(spark, d):
-    return graph.medoid(embeddings(spark, d), embeddings(spark, d).where("vec_id % 50 = 0")).select("vec_id", r6("mean_distance", "mean_distance"))
+    return graph.medoid(embeddings(spark, d)).select("vec_id", r6("mean_distance", "mean_distance"))
 
 
 @query(f"""SELECT query_id, label, votes FROM (SELECT query_id, label, votes, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS r FROM (
@@ -264,9 +264,9 @@ def _bm25(name: str, text: str, k: int = 10, **how) -> None:
     query(f"WITH {S.bm25(S.one_query(text), k, **how)} SELECT rank::INT AS rank, doc_id, round(score, 6) AS score FROM t", f"bm25_{name}")(run)
 
 
-_bm25("single_term", "embedding")
+_bm25("single_term", "index")
 _bm25("multi_term", TEXT)
-_bm25("repeated_terms", "embedding embedding index index index")
+_bm25("repeated_terms", "recall recall index index index")
 _bm25("custom_k1_b", TEXT, k1=2.0, b=0.3)
 _bm25("no_match", "xqzzyx qqqqqqx")
 
@@ -434,27 +434,27 @@ AQ5 = quantize.parts(64, 5, uneven=True)
 
 
 def _pq(spark, d, cuts=PQ8, codes=16):
-    subs = quantize.subvectors(embeddings(spark, d), cuts)
-    book = quantize.first_codebook(subs, codes)
-    return subs, book
+    """(coded rows, codebook)."""
+    e = embeddings(spark, d)
+    book = quantize.first_codebook(e, cuts, codes)
+    return quantize.encode(e, book, cuts), book
 
 
 @query(f"WITH {_pq_sql(PQ8, 16)} SELECT vec_id, sv, code FROM coded")
 def pq_encode(spark, d):
-    return quantize.encode(*_pq(spark, d))
+    return quantize.code_rows(_pq(spark, d)[0], 8)
 
 
 @query(f"WITH {_pq_sql(PQ8, 16)} SELECT vec_id, round(sum(d), 6) AS error FROM coded GROUP BY 1")
 def pq_decode_error(spark, d):
     """Squared distance between each embedding and what its codes say."""
-    subs, book = _pq(spark, d)
-    decoded = quantize.decode(quantize.encode(subs, book), book)
+    decoded = quantize.decode(*_pq(spark, d))
     return embeddings(spark, d).join(decoded, "vec_id").select("vec_id", r6(V.l2_squared(F.col("embedding"), F.col("decoded")), "error"))
 
 
 @query(f"WITH {_pq_sql(AQ5, 16)} SELECT vec_id, sv, code FROM coded")
 def aq_uneven_subvectors(spark, d):
-    return quantize.encode(*_pq(spark, d, AQ5))
+    return quantize.code_rows(_pq(spark, d, AQ5)[0], 5)
 
 
 _ADC = f"""q AS (SELECT vec_id AS query_id, sv, sub AS qs FROM subs WHERE vec_id % 50 = 0), tab AS (SELECT query_id, q.sv, code, {S.l2sq('qs', 'c')} AS part FROM q JOIN book ON q.sv = book.sv),
@@ -467,18 +467,16 @@ def _ranked(cte: str, k: int) -> str:
 
 @query(f"WITH {_pq_sql(PQ8, 16)}, {_ADC} SELECT query_id, rank::INT AS rank, vec_id, round(d2, 6) AS d2 FROM {_ranked('adc', 10)}")
 def pq_adc_knn(spark, d):
-    subs, book = _pq(spark, d)
-    scored = quantize.adc_distances(quantize.encode(subs, book), quantize.adc_table(asked(spark, d), book, PQ8))
-    return quantize.top_k(scored, 10, "d2").select("query_id", "rank", "vec_id", r6("d2", "d2"))
+    coded, book = _pq(spark, d)
+    return quantize.adc_search(coded, asked(spark, d), book, PQ8, 10).select("query_id", "rank", "vec_id", r6("d2", "d2"))
 
 
 @query(f"""WITH {_pq_sql(PQ8, 16)}, sym AS (SELECT a.vec_id AS query_id, b.vec_id, round(sum({S.l2sq('x.c', 'y.c')}), 9) AS d2 FROM coded a JOIN coded b ON a.sv = b.sv JOIN book x ON x.sv = a.sv AND x.code = a.code
   JOIN book y ON y.sv = b.sv AND y.code = b.code WHERE a.vec_id % 50 = 0 GROUP BY 1, 2) SELECT query_id, rank::INT AS rank, vec_id, round(d2, 6) AS d2 FROM {_ranked('sym', 10)}""")
 def pq_sdc(spark, d):
-    subs, book = _pq(spark, d)
-    codes = quantize.encode(subs, book)
-    to = codes.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    return quantize.top_k(quantize.code_distances(codes, book, to), 10, "d2").select("query_id", "rank", "vec_id", r6("d2", "d2"))
+    coded, book = _pq(spark, d)
+    to = coded.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return quantize.sdc_search(coded, to, book, PQ8, 10).select("query_id", "rank", "vec_id", r6("d2", "d2"))
 
 
 _EXACT = f"exact AS (SELECT query_id, vec_id, {S.l2sq('embedding', 'q')} AS d2 FROM embeddings, {S.ASKED})"
@@ -488,16 +486,15 @@ _EXACT = f"exact AS (SELECT query_id, vec_id, {S.l2sq('embedding', 'q')} AS d2 F
   SELECT query_id, rank::INT AS rank, vec_id, round(sqrt(d2), 6) AS distance FROM {_ranked('again', 10)}""")
 def adc_then_rerank(spark, d):
     """Codes choose 50 candidates, exact distances the 10 nearest of them."""
-    subs, book = _pq(spark, d)
-    scored = quantize.adc_distances(quantize.encode(subs, book), quantize.adc_table(asked(spark, d), book, PQ8))
-    return ivf.rerank(quantize.top_k(scored, 50, "d2"), embeddings(spark, d), asked(spark, d), 10).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+    coded, book = _pq(spark, d)
+    return ivf.rerank(quantize.adc_search(coded, asked(spark, d), book, PQ8, 50), embeddings(spark, d), asked(spark, d), 10).select("query_id", "rank", "vec_id", r6("distance", "distance"))
 
 
 @query(f"""WITH {_pq_sql(PQ8, 16)}, {_ADC}, {_EXACT}, t AS {_ranked('exact', 10)}, f AS {_ranked('adc', 10)}
   SELECT round(avg(share), 6) AS recall FROM (SELECT t.query_id, count(f.vec_id) / count(*)::DOUBLE AS share FROM t LEFT JOIN f ON t.query_id = f.query_id AND t.vec_id = f.vec_id GROUP BY 1)""")
 def recall_at_k(spark, d):
-    subs, book = _pq(spark, d)
-    found = quantize.top_k(quantize.adc_distances(quantize.encode(subs, book), quantize.adc_table(asked(spark, d), book, PQ8)), 10, "d2")
+    coded, book = _pq(spark, d)
+    found = quantize.adc_search(coded, asked(spark, d), book, PQ8, 10)
     truth = knn.search_many(embeddings(spark, d), asked(spark, d), 10, "euclidean")
     return knn.recall_at_k(truth, found, 10).select(r6("recall", "recall"))
 
@@ -506,10 +503,8 @@ def recall_at_k(spark, d):
 def pq_trained_recall(spark, d):
     """Recall of the ten nearest by trained codes (64 codes in 16 parts, 3 rounds) before an exact rerank of 100."""
     e, cuts = embeddings(spark, d), quantize.parts(64, 16)
-    subs = quantize.subvectors(e, cuts)
-    book = quantize.train(subs, 64, 3)
-    scored = quantize.adc_distances(quantize.encode(subs, book), quantize.adc_table(asked(spark, d), book, cuts))
-    found = ivf.rerank(quantize.top_k(scored, 100, "d2"), e, asked(spark, d), 10)
+    book = quantize.train(e, cuts, 64, 3)
+    found = ivf.rerank(quantize.adc_search(quantize.encode(e, book, cuts), asked(spark, d), book, cuts, 100), e, asked(spark, d), 10)
     return knn.recall_at_k(knn.search_many(e, asked(spark, d), 10, "euclidean"), found, 10)
 
 
@@ -619,11 +614,10 @@ def _ivfpq_sql(cuts: list[tuple[int, int]], n: int, k: int) -> str:
     found AS {_ranked('adc', k)}"""
 
 
-def _ivfpq(spark, d, cuts, n, k):
+def _ivfpq(spark, d, cuts, n, k, keep=None):
     entries, c = _ivf(spark, d)
-    book = quantize.first_codebook(quantize.subvectors(ivf.residuals(entries, c), cuts), 16)
-    codes = ivf.encode(entries, c, book, cuts)
-    return ivf.search_codes(codes, c, book, asked(spark, d), cuts, k, n)
+    book = quantize.first_codebook(ivf.residuals(entries, c), cuts, 16)
+    return ivf.search_codes(ivf.encode(entries, c, book, cuts, keep=("label",)), c, book, asked(spark, d), cuts, k, n, keep=keep)
 
 
 @query(f"{_ivfpq_sql(PQ8, 4, 10)} SELECT query_id, rank::INT AS rank, vec_id, round(d2, 6) AS d2 FROM found")
