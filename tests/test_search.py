@@ -81,6 +81,35 @@ def test_saved_index(spark, docs, tmp_path):
     assert rows(bm25.saved(ix, str(tmp_path / "ix"))) == rows(ix)
 
 
+def test_changed_index_equals_a_new_one(spark, docs, tmp_path):
+    ix = bm25.saved(bm25.index(docs, "id"), str(tmp_path / "ix"))
+    new = spark.createDataFrame([(1, "harbour seals at rest"), (9, None), (7, "a route to the harbour")], "id bigint, text string")
+    changed = bm25.removed(bm25.upserted(ix, new, "id"), spark.createDataFrame([(4,), (55,)], "doc_id bigint"))
+    rest = docs.select("id", "text").where("id not in (1, 4)").unionByName(new)
+    rows = lambda i: [(r.doc_id, round(r.score, 9)) for r in bm25.search(i, bm25.single("harbour route", spark), 9).orderBy("rank").collect()]
+    assert rows(changed) == rows(bm25.index(rest, "id")) and len(rows(changed)) == 5
+    assert changed.corpus.first() == bm25.index(rest, "id").corpus.first()
+
+
+def test_ways_of_scoring_agree(spark, docs, monkeypatch):
+    q = spark.createDataFrame([(1, "harbour route"), (2, "route route town"), (3, ""), (4, None)], "query_id int, text string")
+    rows = lambda: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in bm25.search(bm25.index(docs, "id"), q, 3).collect())
+    by_matrix = rows()
+    monkeypatch.setattr(bm25, "CELLS", 3)
+    assert rows() == by_matrix
+    monkeypatch.setattr(bm25, "FEW", 1)
+    assert rows() == by_matrix and {r[0] for r in by_matrix} == {1, 2}
+
+
+def test_the_index_of_a_table_follows_its_files(spark, docs, tmp_path):
+    path = str(tmp_path / "t")
+    find = lambda: [r.doc_id for r in bm25.search(bm25.of_table(spark, path, "id"), bm25.single("harbour", spark), 9).orderBy("doc_id").collect()]
+    docs.select("id", "text").write.parquet(path)
+    assert find() == find() == [0, 3]
+    docs.select("id", "text").where("id <> 0").write.mode("overwrite").parquet(path)
+    assert find() == [3]
+
+
 def test_bm25_saturates(spark):
     d = spark.createDataFrame([(1, "harbour harbour harbour"), (2, "harbour"), (3, None), (4, "")], "doc_id bigint, text string")
     s = {r.doc_id: r.score for r in bm25.scores(bm25.index(d), bm25.single("harbour", spark)).collect()}

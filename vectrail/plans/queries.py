@@ -232,6 +232,12 @@ def filter_json_props(spark, d):
 
 # ---- text
 
+
+def text_index(spark: SparkSession, d: str) -> bm25.TextIndex:
+    """The index of the documents, built by the first query of a session and kept while the table's files stay the same."""
+    return bm25.of_table(spark, f"{d}/documents.parquet")
+
+
 TEXT = "embedding search index with recall"
 _P = S.bm25(S.one_query(TEXT), 10)
 
@@ -258,7 +264,7 @@ def term_idf(spark, d):
 
 def _bm25(name: str, text: str, k: int = 10, **how) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        ix = bm25.index(table(spark, d, "documents"))
+        ix = text_index(spark, d)
         return bm25.search(ix, bm25.single(text, spark), k, **how).select("rank", "doc_id", r6("score", "score"))
 
     query(f"WITH {S.bm25(S.one_query(text), k, **how)} SELECT rank::INT AS rank, doc_id, round(score, 6) AS score FROM t", f"bm25_{name}")(run)
@@ -273,15 +279,24 @@ _bm25("no_match", "xqzzyx qqqqqqx")
 
 @query(f"WITH {S.bm25(S.one_query(TEXT), 10, allowed="lang = 'de'")} SELECT rank::INT AS rank, doc_id, round(score, 6) AS score FROM t")
 def bm25_filtered_global_stats(spark, d):
-    docs = table(spark, d, "documents")
-    allowed = docs.where(flt.Compare("lang", "eq", "de").column(flt.Fields(None))).select("doc_id")
-    return bm25.search(bm25.index(docs), bm25.single(TEXT, spark), 10, allowed).select("rank", "doc_id", r6("score", "score"))
+    allowed = table(spark, d, "documents").where(flt.Compare("lang", "eq", "de").column(flt.Fields(None))).select("doc_id")
+    return bm25.search(text_index(spark, d), bm25.single(TEXT, spark), 10, allowed).select("rank", "doc_id", r6("score", "score"))
 
 
 @query(f"WITH {S.bm25('(SELECT item_id AS query_id, text FROM eval_items)', 10)} SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM t")
 def bm25_batch(spark, d):
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")
-    return bm25.search(bm25.index(table(spark, d, "documents")), items, 10).select("query_id", "rank", "doc_id", r6("score", "score"))
+    return bm25.search(text_index(spark, d), items, 10).select("query_id", "rank", "doc_id", r6("score", "score"))
+
+
+@query(f"""WITH {_P.replace("FROM documents)", "FROM (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'recall of the new index' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0))", 1)}
+  SELECT rank::INT AS rank, doc_id, round(score, 6) AS score FROM t""")
+def bm25_upsert_remove(spark, d):
+    """An index of which every fifth document was replaced and every seventh removed."""
+    docs = table(spark, d, "documents")
+    changed = docs.where("doc_id % 5 = 0").select("doc_id", F.lit("recall of the new index").alias("text"))
+    ix = bm25.removed(bm25.upserted(text_index(spark, d), changed), docs.where("doc_id % 7 = 0"))
+    return bm25.search(ix, bm25.single(TEXT, spark), 10).select("rank", "doc_id", r6("score", "score"))
 
 
 @query(
@@ -317,7 +332,7 @@ def _sides(spark, d, k, over=2, before=None, allowed=None):
     q = _paired(spark, d)
     rows = embeddings(spark, d)
     near = knn.search_many(rows, q, over * k).withColumnRenamed("vec_id", "id")
-    text = bm25.search(bm25.index(table(spark, d, "documents")), q.select("query_id", "text"), 2 * k, allowed).withColumnRenamed("doc_id", "id")
+    text = bm25.search(text_index(spark, d), q.select("query_id", "text"), 2 * k, allowed).withColumnRenamed("doc_id", "id")
     return near if before is None else near.join(before, "id", "left_semi"), text
 
 
@@ -367,7 +382,7 @@ def hybrid_knn_only(spark, d):
 
 @query(f"WITH {S.bm25(_PAIRED, 10)} SELECT query_id, rank::INT AS rank, doc_id AS id, 0::DOUBLE AS knn_score, round(score, 6) AS text_score, round(score, 6) AS fused FROM t")
 def hybrid_text_only(spark, d):
-    text = bm25.search(bm25.index(table(spark, d, "documents")), _paired(spark, d).select("query_id", "text"), 10).withColumnRenamed("doc_id", "id")
+    text = bm25.search(text_index(spark, d), _paired(spark, d).select("query_id", "text"), 10).withColumnRenamed("doc_id", "id")
     return _shown(hybrid.fuse(None, text, 10))
 
 
