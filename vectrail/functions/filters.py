@@ -70,6 +70,8 @@ class Compare(Filter):
 
     def column(self, fields: Fields = Fields()) -> Column:  # noqa: B008
         here, v = fields.present(self.name), fields.typed(self.name, self.const)
+        if self.op == "exists":
+            return here
         if self.op == "eq":
             return here & (fields.value(self.name).isNull() if self.const is None else _sure(v == F.lit(self.const)))
         if self.op == "ne":
@@ -79,7 +81,9 @@ class Compare(Filter):
             v = F.coalesce(fields.value(self.name).try_cast("double"), F.lit(0.0))
             const = F.coalesce(F.lit(self.const).try_cast("double"), F.lit(0.0))
         tests = {"gt": lambda: v > const, "gte": lambda: v >= const, "lt": lambda: v < const, "lte": lambda: v <= const}
-        return here & _sure(tests[self.op]()) if self.op in tests else F.lit(False)
+        if self.op not in tests:
+            raise ValueError(f"unknown operator {self.op!r}")
+        return here & _sure(tests[self.op]())
 
 
 @dataclass(frozen=True)
@@ -202,7 +206,7 @@ def from_dict(spec: dict) -> Filter:
         raise ValueError("a filter has exactly one kind")
     ((kind, body),) = spec.items()
     if kind == "comparison":
-        if body["operator"] not in ("eq", "ne", "gt", "gte", "lt", "lte"):
+        if body["operator"] not in ("eq", "ne", "gt", "gte", "lt", "lte", "exists"):
             raise ValueError(f"unknown operator {body['operator']!r}")
         return Compare(body["field"], body["operator"], body.get("value"))
     if kind == "range":

@@ -1,9 +1,10 @@
-"""Graph indexes: built from the exact neighbour graph by rule, searched in rounds over tables.
+"""Graph indexes: built from a neighbour graph by rule, searched in rounds over tables.
 
-Edges are (src, dst, distance). A build is declarative: neighbour graph, optional reverse edges, then a degree rule: the
-nearest R (`nearest_edges`) or the alpha rule (`alpha_edges`), which drops a neighbour that is closer to a kept one than, times
-alpha, to the node. Levels put a node on layer l with probability m^-l. A search holds a frontier for each query and takes
-rounds of join, distance and top-ef until no query improves.
+Edges are (src, dst, distance). A build is declarative: neighbour graph (exact, or `approximate_graph` for many rows), optional
+reverse edges, then a degree rule: the nearest R (`nearest_edges`) or the alpha rule (`alpha_edges`), which drops a neighbour
+that is closer to a kept one than, times alpha, to the node; alpha 1 is the diversity rule of layered graphs. Levels put a
+node on layer l with probability m^-l; `layered_build` has a graph for each layer, and `layered_search` descends through them. A
+search holds a frontier for each query and takes rounds of join, distance and top-ef until no query improves.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
-from vectrail.operators import kernels, knn
+from vectrail.operators import ivf, kernels, kmeans, knn, quantize
 from vectrail.session import materialize, tasks_for
 
 
@@ -26,6 +27,18 @@ def graph_of(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "
     return materialize(knn.graph(vectors, k, metric, id_col, embedding).select("src", "dst", "distance"), "graph")
 
 
+def approximate_graph(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding", lists: int | None = None, share: int = 4, seed: int = 42) -> DataFrame:
+    """(src, dst, distance): near neighbours among the rows that share one of their `share` nearest lists, of which there is
+    one for each 500 rows by default. Work and shuffle grow with the rows times `share`, not with their square; lists longer
+    than a block are met block by block. Written once."""
+    rows = vectors.where(F.size(embedding) > 0).select(id_col, embedding)
+    lists = lists or max(1, rows.count() // 500)
+    centroids = kmeans.lloyd(rows, lists, 3, id_col, embedding, metric in ("cosine", "dot"), kmeans.plus_plus(rows, lists, seed, max(20_000, 8 * lists), id_col, embedding, metric in ("cosine", "dot")))
+    placed = kmeans.assign(rows, centroids, "dot" if metric in ("cosine", "dot") else "euclidean", id_col, embedding, share)
+    found = knn.within_groups(placed.select(F.col("centroid_id").cast("bigint").alias("group"), F.col(id_col).alias("id"), embedding), k, metric, embedding)
+    return materialize(nearest_edges(found.groupBy("src", "dst").agg(F.min("distance").alias("distance")), k), "near-graph")
+
+
 def mean_embedding(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     """One row (centre array<double>)."""
     parts = kernels.position_sums(vectors, embedding)
@@ -107,13 +120,14 @@ def layer_sizes(nodes: DataFrame, level: str = "level") -> DataFrame:
     return nodes.select(F.explode(F.sequence(F.lit(0), F.col(level))).alias("layer")).groupBy("layer").agg(F.count("*").alias("nodes"))
 
 
-def beam_search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry: int, k: int, ef: int = 50, rounds: int = 1000, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, distance). Each round expands what is not expanded yet among each query's best ef, scores the new
-    nodes and keeps the best ef; it ends when a round adds nothing, and fails if `rounds` are not enough. Rounds are written to the shared folder."""
+def beam(edges: DataFrame, vectors: DataFrame, queries: DataFrame, starts: DataFrame, ef: int, rounds: int, metric: str, id_col: str, embedding: str) -> DataFrame:
+    """(query_id, node, distance): the best ef nodes of each query, from the starts (query_id, node). Each round expands what is
+    not expanded yet among a query's best ef, scores the new nodes and keeps the best ef; it ends when a round adds nothing, and
+    fails if `rounds` are not enough. Rounds are written to the shared folder."""
     q = queries.select("query_id", F.col(embedding).alias("_q"))
     v = vectors.select(F.col(id_col).alias("node"), F.col(embedding).alias("_v"))
     score = V.distance(metric, F.col("_v"), F.col("_q"))
-    pool = q.join(v.where(F.col("node") == entry), how="cross").select("query_id", "node", score.alias("distance"), F.lit(False).alias("done"))
+    pool = starts.join(q, "query_id").join(v, "node").select("query_id", "node", score.alias("distance"), F.lit(False).alias("done"))
     pool = materialize(pool, "beam")
     order = Window.partitionBy("query_id").orderBy("distance", "node")
     for _ in range(rounds):
@@ -123,12 +137,106 @@ def beam_search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry:
         best = pool.withColumn("done", F.lit(True)).unionByName(scored).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= ef).drop("_r")
         pool = materialize(best, "beam")
         if not pool.where(~F.col("done")).limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"no convergence after {rounds} rounds")
+            return pool.select("query_id", "node", "distance")
+    raise RuntimeError(f"no convergence after {rounds} rounds")
+
+
+def _best(pool: DataFrame, k: int, id_col: str) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("distance", "node")
     return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("node").alias(id_col), "distance")
 
 
+def beam_search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry: int, k: int, ef: int = 50, rounds: int = 1000, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, distance): every query starts at the entry node; see beam."""
+    starts = queries.select("query_id", F.lit(entry).cast("bigint").alias("node"))
+    return _best(beam(edges, vectors, queries, starts, ef, rounds, metric, id_col, embedding), k, id_col)
+
+
+def layered_build(vectors: DataFrame, m: int = 16, pool: int = 64, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding", approximate: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): (id, level), and (layer, src, dst, distance). The nodes of a layer have their `pool` nearest of the layer as
+    candidates, both ways; the diversity rule keeps m of them (2 m on layer 0), and kept edges count both ways. approximate: for
+    more rows than all pairs allow. The layers are as many as the logarithm of the rows to the base m."""
+    nodes = materialize(levels(vectors.where(F.size(embedding) > 0), m, id_col), "levels")
+    highest = [r["level"] for r in nodes.orderBy(F.desc("level")).limit(2).collect()]
+    layers = None
+    for layer in range(highest[-1] + 1 if highest else 0):  # a layer of one node would lead nowhere
+        members = vectors.join(nodes.where(F.col("level") >= layer).select(id_col), id_col, "left_semi") if layer else vectors.where(F.size(embedding) > 0)
+        near = approximate_graph(members, pool, metric, id_col, embedding) if approximate and not layer else graph_of(members, pool, metric, id_col, embedding)
+        kept = alpha_edges(with_reverse(near), members, m if layer else 2 * m, 1.0, metric, id_col, embedding)
+        edges = with_reverse(kept).select(F.lit(layer).alias("layer"), "src", "dst", "distance")
+        layers = edges if layers is None else layers.unionByName(edges)
+    empty = vectors.sparkSession.createDataFrame([], f"layer int, src {dict(vectors.dtypes)[id_col]}, dst {dict(vectors.dtypes)[id_col]}, distance double")
+    return nodes, materialize(empty if layers is None else layers, "layers")
+
+
+def entry_point(nodes: DataFrame, id_col: str = "vec_id") -> tuple[int, int] | None:
+    """(id, level) of the node of the highest level, of several the one with the smallest id."""
+    first = nodes.orderBy(F.desc("level"), id_col).first()
+    return (first[id_col], first["level"]) if first else None
+
+
+def layered_search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, ef: int | None = None, rounds: int = 1000, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, distance): from the entry point down to layer 1 with a beam of one, each layer starting where the one
+    above ended, then with a beam of ef on layer 0; ef is 2 k, and 50 at least, unless it is given."""
+    entry = entry_point(nodes, id_col)
+    if entry is None:
+        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias(id_col), F.lit(0.0).alias("distance")).limit(0)
+    starts = queries.select("query_id", F.lit(entry[0]).alias("node"))
+    how = {"rounds": rounds, "metric": metric, "id_col": id_col, "embedding": embedding}
+    top = edges.agg(F.coalesce(F.max("layer"), F.lit(0)).alias("top")).first()["top"]
+    for layer in range(min(entry[1], top), 0, -1):
+        starts = beam(edges.where(F.col("layer") == layer), vectors, queries, starts, 1, **how).select("query_id", "node")
+    return _best(beam(edges.where(F.col("layer") == 0), vectors, queries, starts, ef or max(2 * k, 50), **how), k, id_col)
+
+
+def without(edges: DataFrame, vectors: DataFrame, gone: DataFrame, degree: int, alpha: float = 1.0, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """The edges (src, dst, distance) without the nodes of (id) rows. A node that loses a neighbour gets that one's remaining
+    neighbours as candidates, and the alpha rule chooses among them and what it has; other nodes keep their edges. Chains of
+    deleted nodes are followed to their ends. Written once."""
+    dead = materialize(gone.select(F.col(id_col).alias("dead")).distinct(), "gone")
+    alive = lambda d, c: d.join(dead.withColumnRenamed("dead", c), c, "left_anti")
+    hit = materialize(alive(edges, "src").join(dead.withColumnRenamed("dead", "dst"), "dst", "left_semi").select("src", "dst"), "hit")
+    affected = hit.select("src").distinct()
+    out = edges.join(dead.withColumnRenamed("dead", "src"), "src", "left_semi").select(F.col("src").alias("via"), "dst")
+    reach = seen = hit.select("src", F.col("dst").alias("via"))
+    more = None
+    while True:
+        step = materialize(reach.join(out, "via").select("src", "dst").distinct(), "repair")
+        found = alive(step, "dst").where("src <> dst")
+        more = found if more is None else more.unionByName(found)
+        reach = materialize(step.join(dead.withColumnRenamed("dead", "dst"), "dst", "left_semi").select("src", F.col("dst").alias("via")).join(seen, ["src", "via"], "left_anti"), "repair")
+        if not reach.limit(1).count():
+            break
+        seen = seen.unionByName(reach)
+    v = vectors.select(F.col(id_col).alias("_i"), F.col(embedding).alias("_e"))
+    far = V.distance(metric, F.col("a._e"), F.col("b._e"))
+    fresh = more.distinct().join(v.alias("a"), F.col("src") == F.col("a._i")).join(v.alias("b"), F.col("dst") == F.col("b._i")).select("src", "dst", far.alias("distance"))
+    kept = alive(alive(edges.select("src", "dst", "distance"), "src"), "dst")
+    pool = kept.join(affected, "src", "left_semi").unionByName(fresh).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+    mended = alpha_edges(pool, vectors, degree, alpha, metric, id_col, embedding)
+    return materialize(kept.join(affected, "src", "left_anti").select("src", "dst", "distance").unionByName(mended), "repaired")
+
+
+def two_tier_search(coded: DataFrame, codebook: DataFrame, cuts: list[tuple[int, int]], edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry: int, k: int, width: int = 4, ef: int = 100, rounds: int = 1000, metric: str = "euclidean", id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, distance): a beam over the graph in which codes say how far nodes are, `width` nodes of each query being
+    expanded in a round, and an exact rerank of the best ef from the full embeddings, which are read for these alone."""
+    codes = coded.select(F.col(id_col).alias("node"), "codes")
+    ids, q = quantize.local_queries(queries, "query_id", embedding)
+    tables = (ids, quantize.book_of(codebook).tables(q, cuts))
+    start = codes.where(F.col("node") == entry).join(F.broadcast(queries.select(F.col("query_id").cast("bigint").alias("query_id"))), how="cross")  # one row of the codes
+    pool = materialize(quantize.pair_distances(start, *tables).withColumn("done", F.lit(False)), "tier")
+    order = Window.partitionBy("query_id").orderBy("distance", "node")
+    for _ in range(rounds):
+        open_ = pool.where(~F.col("done")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= width).select("query_id", "node")
+        reached = open_.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("query_id", F.col("dst").alias("node")).distinct()
+        new = quantize.pair_distances(reached.join(pool.select("query_id", "node"), ["query_id", "node"], "left_anti").join(codes, "node"), *tables).withColumn("done", F.lit(False))
+        marked = pool.join(open_.withColumn("_now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "distance", (F.col("done") | F.col("_now").isNotNull()).alias("done"))
+        pool = materialize(marked.unionByName(new).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= ef).drop("_r"), "tier")
+        if not pool.where(~F.col("done")).limit(1).count():
+            return ivf.rerank(pool.select("query_id", F.col("node").alias(id_col)), vectors, queries, k, metric, id_col, embedding)
+    raise RuntimeError(f"no convergence after {rounds} rounds")
+
+
 def reachable(edges: DataFrame, start: int, rounds: int = 1000) -> DataFrame:
     """(node): everything that can be reached from a node, by rounds of joins; fails if `rounds` are not enough."""
     spark = edges.sparkSession

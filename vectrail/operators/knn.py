@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
 from vectrail.operators import kernels
-from vectrail.session import spread, tasks_for
+from vectrail.session import materialize, spread, tasks_for
 
 BLOCK_BYTES = 64 << 20  # of query vectors held by a task
 
@@ -105,26 +105,38 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
 
 
 def graph(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", embedding: str = "embedding", block: int = 4096) -> DataFrame:
-    """(src, dst, rank, distance): the exact k-nearest-neighbour graph. Rows fall into blocks by a hash of the id; each pair of
-    blocks meets in a task, as one matrix product that serves both, and hands on k hits of each row. The work is quadratic, as
-    exactness demands; `approximate_graph` is for more rows. Rows without a usable embedding have no edges."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).alias("id"), embedding).where((F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x)))
-    number = max(1, -(-rows.count() // block), min(int((2 * spark.sparkContext.defaultParallelism) ** 0.5), 8))
-    own = F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")
-    ends = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
-    paired = ends.withColumn("pair", F.least("own", "other") * number + F.greatest("own", "other")).select("pair", "own", "id", embedding)
-    id_type = dict(vectors.dtypes)[id_col]
+    """(src, dst, rank, distance): the exact k-nearest-neighbour graph. The work is quadratic, as exactness demands; see
+    graph.approximate_graph for more rows. Rows without a usable embedding have no edges."""
+    rows = vectors.select(F.lit(0).cast("bigint").alias("group"), F.col(id_col).alias("id"), embedding)
+    found = within_groups(rows, k, metric, embedding, block)
+    order = Window.partitionBy("src").orderBy("distance", "dst")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "distance")
+
+
+def within_groups(rows: DataFrame, k: int, metric: str = "cosine", embedding: str = "embedding", block: int = 4096) -> DataFrame:
+    """(src, dst, distance): the k nearest in its group of each (group, id, embedding) row, and more: k for each block of a long
+    group. Groups fall into blocks by a hash of the id; each pair of blocks meets in a task, as matrix products that serve
+    both, so a group may hold any share of the rows. Few rows still make enough pairs for all cores."""
+    spark = rows.sparkSession
+    rows = rows.where((F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x)))
+    sizes = materialize(rows.groupBy("group").agg(F.count("*").alias("n")), "group-sizes")
+    fit = max(1, min(block, int((sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // max(1, int((2 * spark.sparkContext.defaultParallelism) ** 0.5))) + 1)))
+    cut = rows.join(F.broadcast(sizes.where(F.col("n") > fit)) if fit >= 1024 else sizes.where(F.col("n") > fit), "group", "left")  # at most one for each thousand rows
+    blocks = F.coalesce(F.ceil(F.col("n") / fit), F.lit(1)).cast("int")
+    ends = cut.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    paired = ends.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "own", "id", embedding)
+    id_type = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair in kernels.by_key(batches, "pair"):
-            key, block_of, ids = (pair.column(c).to_numpy() for c in ("pair", "own", "id"))
-            column = pair.column(embedding).combine_chunks()
+        for some in kernels.by_key(batches, "pair"):
+            key, own, ids = (some.column(c).to_numpy() for c in ("pair", "own", "id"))
+            column = some.column(embedding).combine_chunks()
             sizes = np.diff(column.offsets.to_numpy())
-            for number in np.unique(key):
-                for size in np.unique(sizes[key == number]):
-                    at = np.flatnonzero((key == number) & (sizes == size))
-                    x, who, home = kernels.matrix(column.take(pa.array(at))), ids[at], block_of[at]
+            cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                for size in np.unique(sizes[first:last]):
+                    at = first + np.flatnonzero(sizes[first:last] == size)
+                    x, who, home = kernels.matrix(column.take(pa.array(at))), ids[at], own[at]
                     sides = [np.flatnonzero(home == h) for h in np.unique(home)]
                     for left, right in [(sides[0], sides[-1])] if len(sides) == 1 else [(sides[0], sides[1]), (sides[1], sides[0])]:
                         for s in range(0, len(left), 1024):
@@ -135,9 +147,7 @@ def graph(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec
                             ok = np.isfinite(far)
                             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who[q], near.shape[1])[ok.ravel()]), pa.array(near[ok]), pa.array(far[ok])], names=["src", "dst", "distance"])
 
-    parts = paired.repartition(tasks_for(spark), "pair").sortWithinPartitions("pair").mapInArrow(run, f"src {id_type}, dst {id_type}, distance double")
-    order = Window.partitionBy("src").orderBy("distance", "dst")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "distance")
+    return paired.repartition(tasks_for(spark), "pair").sortWithinPartitions("pair").mapInArrow(run, f"src {id_type}, dst {id_type}, distance double")
 
 
 def label_vote(hits: DataFrame, labels: DataFrame, id_col: str = "vec_id", label: str = "label") -> DataFrame:

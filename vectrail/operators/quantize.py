@@ -230,6 +230,22 @@ def sdc_search(coded: DataFrame, queries: DataFrame, codebook: DataFrame, cuts:
     return scan(coded, ids, book.tables(book.decode(_codes(got.column(1).combine_chunks())), cuts) if len(ids) else np.empty((0, 0, 0)), k, id_col)
 
 
+def pair_distances(pairs: DataFrame, asked: np.ndarray, tables: np.ndarray) -> DataFrame:
+    """(query_id, node, distance) of (query_id, node, codes) rows: sums of the entries of their query's table. Narrow."""
+    shared = pairs.sparkSession.sparkContext.broadcast((asked, tables))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, tables = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                codes, t = _codes(batch.column(2)), np.searchsorted(asked, batch.column(0).to_numpy())
+                d = sum(tables[t, j, codes[:, j]] for j in range(codes.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(d, 9))], names=["query_id", "node", "distance"])
+
+    picked = pairs.select(F.col("query_id").cast("bigint").alias("query_id"), "node", "codes")
+    return picked.mapInArrow(run, f"query_id bigint, node {dict(pairs.dtypes)['node']}, distance double")
+
+
 def top_k(scored: DataFrame, k: int, by: str, id_col: str = "vec_id") -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(by, id_col)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import filters as flt
 from vectrail.functions import vectors as V
+from vectrail.functions.sql import register
 from vectrail.functions.text import hash_embedding, tokens
 from vectrail.operators import bm25, graph, hybrid, ivf, kmeans, knn, quantize, stats
 from vectrail.plans import sql as S
-from vectrail.session import table
+from vectrail.session import materialize, table
 from vectrail.sources import store
 from vectrail.streaming import ingest
 
@@ -681,7 +682,7 @@ def alpha_pruned_graph(spark, d):
 @query()
 def graph_beam_search(spark, d):
     e = embeddings(spark, d)
-    edges = graph.with_reverse(graph.nearest_edges(graph.graph_of(e, 32), 16))
+    edges = materialize(graph.with_reverse(graph.nearest_edges(graph.graph_of(e, 32), 16)), "edges")
     start = graph.navigating_node(e).first()["vec_id"]
     return graph.beam_search(edges, e, asked(spark, d), start, 10, 64).select("query_id", "rank", "vec_id", r6("distance", "distance"))
 
@@ -785,3 +786,105 @@ def streaming_ingest_equals_batch(spark, d):
     source = spark.readStream.schema(store.SCHEMA).parquet(f"{base}/in")
     ingest.ingest(source, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return ingest.ingested(spark, f"{base}/out").select("ns", "id", F.size("embedding").alias("dimensions"))
+
+
+# ---- layered graphs, filtered code searches, SQL functions
+
+
+@query(f"SELECT query_id, rank::INT AS rank, vec_id, round(d, 6) AS distance FROM ({S.knn('cosine', 10)})")
+def layered_search(spark, d):
+    """With a beam this wide nothing is missed on the test tables, so the exact neighbours are the answer."""
+    e = embeddings(spark, d)
+    nodes, edges = graph.layered_build(e, 16, 48)
+    return graph.layered_search(nodes, edges, e, asked(spark, d), 10, 100).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+
+@query(f"SELECT query_id, rank::INT AS rank, vec_id, round(d, 6) AS distance FROM ({S.knn('cosine', 10, where='vec_id % 7 <> 3')})")
+def graph_after_deletes(spark, d):
+    """Neighbours found on a layer-0 graph from which every seventh node was deleted."""
+    e = embeddings(spark, d)
+    edges = materialize(graph.with_reverse(graph.alpha_edges(graph.with_reverse(graph.graph_of(e, 48)), e, 32, 1.0)), "edges")
+    gone, rest = e.where("vec_id % 7 = 3").select("vec_id"), e.where("vec_id % 7 <> 3")
+    left = graph.without(edges, e, gone, 32)
+    start = graph.navigating_node(rest).first()["vec_id"]
+    return graph.beam_search(left, rest, asked(spark, d), start, 10, 100).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+
+@query()
+def approximate_graph_recall(spark, d):
+    """Share of the five nearest neighbours that the graph built list by list has."""
+    e = embeddings(spark, d)
+    near = graph.approximate_graph(e, 5, lists=4, share=2).withColumnRenamed("dst", "vec_id").withColumn("rank", F.lit(1))
+    truth = knn.graph(e, 5).withColumnRenamed("dst", "vec_id")
+    return knn.recall_at_k(truth.withColumnRenamed("src", "query_id"), near.withColumnRenamed("src", "query_id"), 5)
+
+
+@query()
+def two_tier_search(spark, d):
+    """A beam that codes lead, and an exact rerank."""
+    e = embeddings(spark, d)
+    cuts = quantize.parts(64, 16)
+    book = quantize.train(e, cuts, 32, 2)
+    edges = materialize(graph.with_reverse(graph.alpha_edges(graph.with_reverse(graph.graph_of(e, 32)), e, 16)), "edges")
+    start = graph.medoid(e).first()["vec_id"]
+    found = graph.two_tier_search(quantize.encode(e, book, cuts), book, cuts, edges, e, asked(spark, d), start, 10)
+    return found.select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+
+@query(f"{_ivfpq_sql(PQ8, 8, 10).replace('FROM coded JOIN e ON e.vec_id = coded.vec_id', 'FROM coded JOIN e ON e.vec_id = coded.vec_id AND e.label IN (2, 5)')} SELECT query_id, rank::INT AS rank, vec_id, round(d2, 6) AS d2 FROM found")
+def ivfpq_filtered(spark, d):
+    keep = flt.In("label", (2, 5)).column(flt.Fields(None))
+    return _ivfpq(spark, d, PQ8, 8, 10, keep).select("query_id", "rank", "vec_id", r6("d2", "d2"))
+
+
+_SPHERICAL = f"{_lloyd_sql(8, 3, True)}, c AS (SELECT * FROM c3)"
+_SPHERES = "e AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, any_value(embedding) AS embedding, arg_min(cid, (d, cid)) AS cid FROM (SELECT vec_id, label, embedding, cid, -list_dot_product(embedding::DOUBLE[], c) AS d FROM embeddings, c) GROUP BY 1)"
+_SPHERE_PROBE = f"probe AS (SELECT * FROM (SELECT query_id, q, cid, c, row_number() OVER (PARTITION BY query_id ORDER BY -list_dot_product(q::DOUBLE[], c), cid) AS r FROM {S.ASKED}, c) WHERE r <= 3)"
+
+
+def _spherical(name: str, where: str, keep=None) -> None:
+    sql = _ivfpq_sql(AQ5, 6, 50)
+    sql = sql.replace(_SEEDS, _SPHERICAL).replace(_LISTS, _SPHERES).replace(_probe_sql(6), _SPHERE_PROBE).replace("FROM coded JOIN e ON e.vec_id = coded.vec_id", f"FROM coded JOIN e ON e.vec_id = coded.vec_id AND {where}")
+
+    def run(spark, d):
+        e = embeddings(spark, d)
+        c = kmeans.lloyd(e, 8, 3, spherical=True)
+        entries = ivf.build(e, c, "dot")
+        book = quantize.first_codebook(ivf.residuals(entries, c), AQ5, 16)
+        found = ivf.search_codes(ivf.encode(entries, c, book, AQ5, keep=("label",)), c, book, asked(spark, d), AQ5, 50, 3, "dot", keep and keep.column(flt.Fields(None)))
+        return ivf.rerank(found, e, asked(spark, d), 10).select("query_id", "rank", "vec_id", r6("distance", "distance"))
+
+    query(f"{sql}, {_EXACT}, again AS (SELECT exact.query_id, exact.vec_id, exact.d2 FROM found JOIN exact USING (query_id, vec_id)) SELECT query_id, rank::INT AS rank, vec_id, round(sqrt(d2), 6) AS distance FROM {_ranked('again', 10)}", name)(run)
+
+
+_spherical("spherical_codes_rerank", "true")
+_spherical("spherical_codes_filtered", "e.label IN (2, 5)", flt.In("label", (2, 5)))
+
+
+@query()
+def residual_codes_trained_recall(spark, d):
+    """Recall of codes trained on residuals around trained centroids, before an exact rerank of 100."""
+    e, cuts = embeddings(spark, d), quantize.parts(64, 16)
+    c = kmeans.lloyd(e, 16, 5, start=kmeans.plus_plus(e, 16))
+    entries = ivf.build(e, c)
+    book = quantize.train(ivf.residuals(entries, c), cuts, 64, 3)
+    found = ivf.rerank(ivf.search_codes(ivf.encode(entries, c, book, cuts), c, book, asked(spark, d), cuts, 100, 16), e, asked(spark, d), 10)
+    return knn.recall_at_k(knn.search_many(e, asked(spark, d), 10, "euclidean"), found, 10)
+
+
+@query(f"""WITH c AS {_SQ_CODED} SELECT query_id, rank::INT AS rank, vec_id, p::BIGINT AS product FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(c.codes::DOUBLE[], q.codes::DOUBLE[]) AS p FROM c, c AS q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""")
+def sq_int8_dot(spark, d):
+    """The greatest inner products of the codes alone."""
+    e = embeddings(spark, d)
+    coded = quantize.scalar_quantize(e, quantize.scalar_params(e)).select("vec_id", F.col("codes").cast("array<float>").alias("embedding"))
+    near = knn.search_many(coded, coded.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10, "dot")
+    return near.select("query_id", "rank", "vec_id", (-F.round("distance", 0)).cast("bigint").alias("product"))
+
+
+@query(f"SELECT vec_id, round({S.dot('e.embedding', 'q.embedding')}, 6) AS dot, round({S.distance('euclidean', 'e.embedding', 'q.embedding')}, 6) AS l2, round({S.cosine('e.embedding', 'q.embedding')}, 6) AS cosine FROM embeddings e, {S.QUERY0} q")
+def sql_distance_functions(spark, d):
+    register(spark)
+    embeddings(spark, d).createOrReplaceTempView("vt_embeddings")
+    return spark.sql("""SELECT e.vec_id, round(vt_dot(e.embedding, q.embedding), 6) AS dot, round(vt_l2(e.embedding, q.embedding), 6) AS l2, round(vt_cosine_distance(e.embedding, q.embedding), 6) AS cosine
+      FROM vt_embeddings e CROSS JOIN (SELECT embedding FROM vt_embeddings WHERE vec_id = 0) q""")
