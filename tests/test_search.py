@@ -247,6 +247,52 @@ def test_graphs(cloud):
     assert sizes[0] == 200 and all(sizes[i] >= sizes[i + 1] for i in range(len(sizes) - 1))
 
 
+def test_layers_and_repair(cloud):
+    x, df = cloud
+    nodes, edges = graph.layered_build(df, 6, 24, "euclidean")
+    assert edges.agg(F.max("layer").alias("l")).first().l >= 1
+    q = df.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = graph.layered_search(nodes, edges, df, q, 5, metric="euclidean")
+    assert knn.recall_at_k(knn.search_many(df, q, 5, "euclidean"), found, 5).first().recall >= 0.95
+    gone = df.where("vec_id % 3 = 0").select("vec_id")
+    rest = df.join(gone, "vec_id", "left_anti")
+    flat = edges.where("layer = 0").drop("layer")
+    left = graph.without(flat, df, gone, 12, metric="euclidean")
+    assert left.where("src % 3 = 0 or dst % 3 = 0").count() == 0
+    again = graph.beam_search(left, rest, q, 1, 5, 40, metric="euclidean")
+    assert knn.recall_at_k(knn.search_many(rest, q, 5, "euclidean"), again, 5).first().recall >= 0.95
+    assert graph.layered_search(nodes.limit(0), edges.limit(0), df, q, 5).count() == 0
+
+
+def test_deleted_chains_are_followed(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "src long, dst long, distance double")
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(7)], "vec_id long, embedding array<float>")
+    gone = spark.createDataFrame([(2,), (3,), (4,)], "vec_id long")
+    assert {(e.src, e.dst, e.distance) for e in graph.without(edges, df, gone, 4, metric="euclidean").collect()} == {(0, 1, 1.0), (1, 5, 4.0), (5, 6, 1.0)}
+
+
+def test_the_medoid_is_the_least_mean_distance(cloud):
+    x, df = cloud
+    x = x.astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for metric, d in (("cosine", 1 - u @ u.T), ("dot", -x @ x.T), ("squared_euclidean", ((x[:, None] - x[None]) ** 2).sum(2))):
+        row = graph.medoid(df, metric).first()
+        assert row.vec_id == d.mean(0).argmin() and row.mean_distance == pytest.approx(d.mean(0).min())
+    with pytest.raises(ValueError):
+        graph.medoid(df, "euclidean")
+
+
+def test_a_list_with_most_rows_is_met_block_by_block(spark, cloud):
+    x, df = cloud
+    placed = df.select(F.when(F.col("vec_id") < 190, 0).otherwise(1).cast("bigint").alias("group"), F.col("vec_id").alias("id"), "embedding")
+    found = knn.within_groups(placed, 3, "euclidean", block=16).collect()
+    near = {}
+    for e in found:
+        near.setdefault(e.src, []).append((e.distance, e.dst))
+    assert all([j for _, j in sorted(near[i])[:3]] == [j for j in exact(x[:190], x[i], 4) if j != i] for i in range(190))
+    assert knn.recall_at_k(knn.graph(df, 5).selectExpr("src as query_id", "dst as vec_id", "rank"), graph.approximate_graph(df, 5, lists=4, share=3).selectExpr("src as query_id", "dst as vec_id", "1 as rank"), 5).first().recall > 0.9
+
+
 def test_alpha_rule_looks_past_copies_and_crowds(spark):
     """400 copies of a node, and a crowd of 400 neighbours of which one is kept, hide no farther neighbour."""
     r = np.random.default_rng(0)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectrail.session import tasks_for
+
 #: Upper bounds of histogram buckets, in seconds.
 LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -37,52 +42,78 @@ def once_delivered(log: DataFrame, key: str = "query_id", received: str = "recei
     return first.select("_row.*")
 
 
+def _folded(events: DataFrame, key: str, ts: str, event_id: str, fold: Callable[[], Callable[[int], bool]]) -> DataFrame:
+    """(key, event_id, allowed): the verdicts of a limiter on each key's events in order of time and id. Events are sorted by key
+    and time and pass through as a stream, of which a task holds the limiter's state alone, however many events a key has; a
+    key's events are judged one after the other, as each verdict rests on those before. Null keys and times are left out."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    timed = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, event_id, micros.alias("_t"))
+    kinds = dict(timed.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, judge = None, fold()
+        for batch in batches:
+            verdicts = []
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if name != here:
+                    here, judge = name, fold()
+                verdicts.append(judge(t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], names=[key, event_id, "allowed"])
+
+    ordered = timed.repartition(tasks_for(events.sparkSession), key).sortWithinPartitions(key, "_t", event_id)
+    return ordered.mapInArrow(run, f"`{key}` {kinds[key]}, `{event_id}` {kinds[event_id]}, allowed boolean")
+
+
 def anchored_windows(events: DataFrame, limit: int, seconds: float, key: str, ts: str, event_id: str) -> DataFrame:
     """(key, event_id, allowed): a limiter of `limit` events in a window that starts at the first event after the last window
-    is over; denied events don't count.
-
-    An event at least a window after the one before starts a window whatever came earlier, so a key's events fall into
-    stretches that are independent of each other: a key may hold any share of the rows, and what is folded at once is a
-    stretch. Null keys and times are left out."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    is over; denied events don't count."""
     width = int(seconds * 1_000_000)
-    timed = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, event_id, micros.alias("_t"))
-    order = Window.partitionBy(key).orderBy("_t", event_id)
-    gap = F.col("_t") - F.lag("_t").over(order)
-    stretch = F.sum(F.when(gap < width, 0).otherwise(1)).over(order)
-    grouped = timed.withColumn("_s", stretch).groupBy(key, "_s").agg(F.array_sort(F.collect_list(F.struct("_t", F.col(event_id).alias("id")))).alias("_e"))
-    state = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<id:bigint,ok:boolean>>").alias("out"))
 
-    def step(s: Column, e: Column) -> Column:
-        fresh = s["start"].isNull() | (e["_t"] - s["start"] >= width)
-        used = F.when(fresh, 0).otherwise(s["n"])
-        ok = used < limit
-        row = F.array(F.struct(e["id"].cast("bigint").alias("id"), ok.alias("ok")))
-        return F.struct(F.when(fresh, e["_t"]).otherwise(s["start"]).alias("start"), F.when(ok, used + 1).otherwise(used).alias("n"), F.concat(s["out"], row).alias("out"))
+    def fold() -> Callable[[int], bool]:
+        start, used = None, 0
+
+        def judge(t: int) -> bool:
+            nonlocal start, used
+            if start is None or t - start >= width:
+                start, used = t, 0
+            allowed = used < limit
+            used += allowed
+            return allowed
 
-    folded = grouped.select(key, F.explode(F.aggregate("_e", state, step, lambda s: s["out"])).alias("_o"))
-    return folded.select(key, F.col("_o.id").alias(event_id), F.col("_o.ok").alias("allowed"))
+        return judge
+
+    return _folded(events, key, ts, event_id, fold)
 
 
 def token_bucket(events: DataFrame, rate: float, burst: int, key: str, ts: str, event_id: str) -> DataFrame:
-    """(key, event_id, allowed): a bucket of `burst` tokens that fills at `rate` a second; an event takes one or is denied.
-    A gap that fills the bucket whatever was left makes stretches independent, as in anchored_windows."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    timed = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, event_id, micros.alias("_t"))
-    order = Window.partitionBy(key).orderBy("_t", event_id)
-    gap = F.col("_t") - F.lag("_t").over(order)
-    full = int(burst / rate * 1_000_000)
-    grouped = timed.withColumn("_s", F.sum(F.when(gap < full, 0).otherwise(1)).over(order)).groupBy(key, "_s").agg(F.array_sort(F.collect_list(F.struct("_t", F.col(event_id).alias("id")))).alias("_e"))
-    state = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(float(burst)).alias("left"), F.array().cast("array<struct<id:bigint,ok:boolean>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        left = F.least(F.lit(float(burst)), s["left"] + F.coalesce(e["_t"] - s["last"], F.lit(0)) * F.lit(rate / 1_000_000))
-        ok = left >= 1
-        row = F.array(F.struct(e["id"].cast("bigint").alias("id"), ok.alias("ok")))
-        return F.struct(e["_t"].alias("last"), F.when(ok, left - 1).otherwise(left).alias("left"), F.concat(s["out"], row).alias("out"))
-
-    folded = grouped.select(key, F.explode(F.aggregate("_e", state, step, lambda s: s["out"])).alias("_o"))
-    return folded.select(key, F.col("_o.id").alias(event_id), F.col("_o.ok").alias("allowed"))
+    """(key, event_id, allowed): a bucket of `burst` tokens that fills at `rate` a second; an event takes one or is denied."""
+
+    def fold() -> Callable[[int], bool]:
+        last, left = None, float(burst)
+
+        def judge(t: int) -> bool:
+            nonlocal last, left
+            left = min(float(burst), left + (0 if last is None else t - last) * (rate / 1_000_000))
+            last, allowed = t, left >= 1
+            left -= allowed
+            return allowed
+
+        return judge
+
+    return _folded(events, key, ts, event_id, fold)
+
+
+def requests(log: DataFrame) -> DataFrame:
+    """(op_name, status, requests, errors, seconds): counters of a request log, status codes in upper case; latencies below 0
+    and null ones add nothing."""
+    status = F.upper("status_code")
+    took = F.when(F.col("latency_ms") >= 0, F.col("latency_ms") / 1000.0)
+    return log.groupBy("op_name", status.alias("status")).agg(F.count("*").alias("requests"), F.count_if(status != "OK").alias("errors"), F.coalesce(F.sum(took), F.lit(0.0)).alias("seconds"))
+
+
+def index_gauges(nodes: DataFrame, ns: str = "ns", level: str = "max_level", embedding: str = "embedding") -> DataFrame:
+    """(ns, size, bytes, top_layer) of what is stored in each namespace: gauges of an index."""
+    return nodes.groupBy(ns).agg(F.count("*").alias("size"), F.sum(F.greatest(F.lit(0), F.size(embedding)) * 4).cast("bigint").alias("bytes"), F.max(level).alias("top_layer"))
 
 
 def usage(rows: DataFrame, quotas: DataFrame, ns: str = "ns", embedding: str = "embedding") -> DataFrame:

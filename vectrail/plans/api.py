@@ -1,11 +1,16 @@
 """One object for the requests a search service answers: insert, update, delete, search, hybrid search, statistics.
 
-Requests are checked (namespace, embedding, text, k) and build plans; rows are computed when they are read. A write replaces the
-collection's table and drops what the result cache holds of its namespaces.
+Requests are checked (namespace, embedding, text, k) and build plans; rows are computed when they are read. A write makes a new
+version of the collection's table in the shared folder, a folder for each namespace, and drops the cached results and the text
+indexes, which are built at a namespace's first text search and kept until then. Older versions stay for plans that still read
+them.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,7 @@ from vectrail.functions.filters import Fields, Filter, from_dict
 from vectrail.operators import bm25, hybrid, knn, stats
 from vectrail.plans.cache import ResultCache
 from vectrail.plans.config import Config
+from vectrail.session import materialize, shared_dir
 from vectrail.sources import store
 
 
@@ -25,18 +31,59 @@ class Collection:
         self.spark, self.config, self.dim = spark, config.checked(), dim
         self.rows = rows if rows is not None else spark.createDataFrame([], store.SCHEMA)
         self.cache = ResultCache(config.cache_capacity, config.cache_ttl) if config.cache_enabled else None
+        self._texts: dict[str, bm25.TextIndex] = {}
+        self._base = f"{shared_dir(spark).rstrip('/')}/collection-{uuid.uuid4().hex}"
+        self._version = 0
 
     def _write(self, rows: DataFrame) -> None:
-        self.rows = rows
+        self._version += 1
+        path = f"{self._base}/v{self._version}"
+        store.save(rows.select("ns", "id", "embedding", "text", "metadata"), path)
+        self.rows = store.load(self.spark, path)
+        self._texts.clear()
         if self.cache:
             self.cache.invalidate()
 
+    def _text_index(self, ns: str) -> bm25.TextIndex:
+        if ns not in self._texts:
+            texts = store.in_namespace(self.rows, ns).where("text is not null and text <> ''").select("id", "text")
+            self._texts[ns] = bm25.saved(bm25.index(texts, "id"), f"{self._base}/text-v{self._version}-{len(self._texts)}")
+        return self._texts[ns]
+
     def insert(self, new: DataFrame) -> DataFrame:
         """Insert the valid rows; one row of counts comes back."""
+        new = materialize(new, "inserted")
         batch = store.batch_insert(self.rows, new, self.dim)
         self._write(batch.rows)
         return batch.summary
 
+    def insert_in_chunks(self, new: DataFrame, chunks: int, progress: Callable[[int, int, int], None] | None = None) -> DataFrame:
+        """Insert chunk by chunk (by a hash of the id); `progress` hears the chunks done, the records inserted and those that failed.
+        The records that failed come back with their error."""
+        new = materialize(new, "inserted")
+        done = failed = 0
+        for i in range(chunks):
+            part = new.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == i)
+            counts = self.insert(part).first()
+            done, failed = done + counts["inserted"], failed + counts["failed"]
+            if progress:
+                progress(i + 1, done, failed)
+        return new.withColumn("error", store.problem(self.dim)).where("error is not null")
+
+    def get(self, ns: str, record: int) -> DataFrame:
+        return store.get(self.rows, ns, record)
+
+    def size(self, ns: str | None = None) -> int:
+        return (self.rows if ns is None else store.in_namespace(self.rows, ns)).count()
+
+    def dimension(self, ns: str) -> int:
+        """The length of the longest embedding of a namespace, 0 if there is none."""
+        return store.in_namespace(self.rows, ns).agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()["d"]
+
+    def health(self) -> dict[str, object]:
+        """Whether the collection can be read, and how many records it has."""
+        return {"status": "ok", "version": self._version, "records": self.size()}
+
     def update(self, changes: DataFrame) -> None:
         self._write(store.update(self.rows, changes))
 
@@ -74,7 +121,7 @@ class Collection:
         if condition:
             allowed = texts.where(condition.column()).select(F.col("id").alias("doc_id"))
             near = near.join(allowed.select(F.col("doc_id").alias("id")), "id", "left_semi")
-        hits = bm25.search(bm25.index(texts, "id"), bm25.single(text, self.spark), 2 * k, allowed, self.config.bm25_k1, self.config.bm25_b).withColumnRenamed("doc_id", "id")
+        hits = bm25.search(self._text_index(ns), bm25.single(text, self.spark), 2 * k, allowed, self.config.bm25_k1, self.config.bm25_b).withColumnRenamed("doc_id", "id")
         shares = {"alpha": self.config.fusion_alpha, "beta": self.config.fusion_beta} | weights
         if method == "rrf":
             shares.setdefault("constant", self.config.rrf_constant)

@@ -22,7 +22,7 @@ def key(kind: str, **params: Any) -> str:
 
 
 def plan_key(df: DataFrame) -> str:
-    """A key of a query as it was analysed."""
+    """A key of a query as it was analysed: queries with equal keys are compared before a result is used."""
     return str(df.semanticHash())
 
 
@@ -65,11 +65,11 @@ class ResultCache:
     def collect(self, df: DataFrame, namespace: str = "") -> list:
         """The rows of a bounded query, from the cache if the same query was asked before."""
         k = plan_key(df)
-        rows = self.get(k)
-        if rows is None:
-            rows = df.collect()
-            self.put(k, rows, namespace)
-        return list(rows)
+        found = self.get(k)
+        if found is None or not found[0].sameSemantics(df):  # hashes of plans may collide
+            found = (df, df.collect())
+            self.put(k, found, namespace)
+        return list(found[1])
 
     def stats(self) -> dict[str, float]:
         asked = self.hits + self.misses

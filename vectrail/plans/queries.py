@@ -14,7 +14,7 @@ from vectrail.functions.text import hash_embedding, tokens
 from vectrail.operators import bm25, graph, hybrid, ivf, kmeans, knn, quantize, stats
 from vectrail.plans import sql as S
 from vectrail.session import materialize, table
-from vectrail.sources import store
+from vectrail.sources import store, tenants
 from vectrail.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -740,7 +740,10 @@ def rate_limit_fixed_window(spark, d):
     return stats.anchored_windows(table(spark, d, "events"), 3, 86400, "user_id", "ts", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  w(user_id, event_id, i, t, avail) AS (SELECT user_id, event_id, i, t, 5::DOUBLE FROM e WHERE i = 1 UNION ALL
+    SELECT e.user_id, e.event_id, e.i, e.t, least(5::DOUBLE, w.avail - CASE WHEN w.avail >= 1 THEN 1 ELSE 0 END + (e.t - w.t) * (3::DOUBLE / 86400 / 1000000))
+    FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1) SELECT user_id, event_id, avail >= 1 AS allowed FROM w""")
 def rate_limit_token_bucket(spark, d):
     return stats.token_bucket(table(spark, d, "events"), 3 / 86400, 5, "user_id", "ts", "event_id")
 
@@ -888,3 +891,39 @@ def sql_distance_functions(spark, d):
     embeddings(spark, d).createOrReplaceTempView("vt_embeddings")
     return spark.sql("""SELECT e.vec_id, round(vt_dot(e.embedding, q.embedding), 6) AS dot, round(vt_l2(e.embedding, q.embedding), 6) AS l2, round(vt_cosine_distance(e.embedding, q.embedding), 6) AS cosine
       FROM vt_embeddings e CROSS JOIN (SELECT embedding FROM vt_embeddings WHERE vec_id = 0) q""")
+
+
+# ---- tenants, counters, single records
+
+
+@query("""WITH u AS (SELECT ns, count_if(coalesce(len(embedding), 0) > 0)::BIGINT AS n, sum(coalesce(len(embedding), 0) * 4)::BIGINT AS b, max(coalesce(len(embedding), 0))::INT AS d FROM nodes GROUP BY 1)
+  SELECT tenant_id, t.ns, coalesce(n, 0) AS embeddings, coalesce(b, 0) AS bytes, coalesce(d, 0) AS dimensions, round(CASE WHEN max_embeddings > 0 THEN 100.0::DOUBLE * coalesce(n, 0) / max_embeddings END, 6) AS embeddings_percent,
+  round(CASE WHEN max_storage_bytes > 0 THEN 100.0::DOUBLE * coalesce(b, 0) / max_storage_bytes END, 6) AS storage_percent,
+  coalesce(max_embeddings > 0 AND coalesce(n, 0) > max_embeddings, false) OR coalesce(max_storage_bytes > 0 AND coalesce(b, 0) > max_storage_bytes, false) AS over,
+  coalesce(max_dimensions > 0 AND coalesce(d, 0) > max_dimensions, false) AS too_wide FROM tenants t LEFT JOIN u ON u.ns = t.ns""")
+def tenant_quotas(spark, d):
+    found = tenants.quotas(table(spark, d, "tenants"), table(spark, d, "nodes"))
+    return found.withColumn("embeddings_percent", F.round("embeddings_percent", 6)).withColumn("storage_percent", F.round("storage_percent", 6))
+
+
+@query("""SELECT op_name, upper(status_code) AS status, count(*) AS requests, count_if(upper(status_code) <> 'OK')::BIGINT AS errors, round(coalesce(sum(CASE WHEN latency_ms >= 0 THEN latency_ms / 1000.0::DOUBLE END), 0), 3) AS seconds
+  FROM (SELECT query_id, arg_min({op_name: op_name, status_code: status_code, latency_ms: latency_ms}, received_at) AS r FROM query_log GROUP BY 1) t, LATERAL (SELECT r.op_name AS op_name, r.status_code AS status_code, r.latency_ms AS latency_ms) GROUP BY 1, 2""")
+def request_counters(spark, d):
+    return stats.requests(stats.once_delivered(table(spark, d, "query_log"))).withColumn("seconds", F.round("seconds", 3))
+
+
+@query("SELECT ns, count(*) AS size, sum(coalesce(len(embedding), 0) * 4)::BIGINT AS bytes, max(max_level) AS top_layer FROM nodes GROUP BY 1")
+def index_gauges(spark, d):
+    return stats.index_gauges(table(spark, d, "nodes"))
+
+
+@query(f"SELECT ns, id, metadata['category'] AS category FROM {_CURRENT} WHERE ns = 'default' AND id = (SELECT min(node_id) FROM nodes WHERE ns = 'default')")
+def record_by_id(spark, d):
+    first = table(spark, d, "nodes").where("ns = 'default'").agg(F.min("node_id").alias("id")).first()["id"]
+    return _shown_records(store.get(store.from_nodes(spark, d), "default", first))
+
+
+@query("SELECT node_id, updated_at, ns FROM nodes WHERE coalesce(map_contains(metadata, 'lang'), false)")
+def filter_exists_operator(spark, d):
+    f = flt.from_dict({"comparison": {"field": "lang", "operator": "exists"}})
+    return table(spark, d, "nodes").where(f.column(flt.Fields())).select("node_id", "updated_at", "ns")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -40,13 +42,17 @@ def findable(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or on a single machine one of our own, removed at exit."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
     own = spark.sparkContext.getCheckpointDir()
     if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vectrail-shared-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="vectrail-shared-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
         own = spark.sparkContext.getCheckpointDir()
     return own
 

@@ -90,7 +90,7 @@ def save(current: DataFrame, path: str) -> None:
 
 
 def load(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("ns", "id", "embedding", "text", "metadata")
+    return spark.read.schema(SCHEMA).parquet(path).select("ns", "id", "embedding", "text", "metadata")
 
 
 def from_nodes(spark, sf_dir: str) -> DataFrame:
