@@ -41,7 +41,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     count, fit = multi_index.sampled(nodes, "node_id", 8 * fine)
     near = multi_index.nearest_neighbours(records.usable_nodes(nodes), count, records.usable_nodes(fit), 5, True, fine, multi_index.visits_for(count, fine))
     many, sample = multi_index.sampled(entries, "entry_id", 16_000)
-    close = multi_index.nearest_neighbours(records.usable_entries(entries), many, records.usable_entries(sample), 5, False, 64, 2.5)
+    close = multi_index.nearest_neighbours(records.usable_entries(entries), many, records.usable_entries(sample), 5, False, 64, 4.0)
     kinds = [d.select(F.lit(k).alias("rec_kind"), "rec_id", "neighbor_id") for k, d in (("node", near), ("entry", close))]
     return kinds[0].unionByName(kinds[1])
 
