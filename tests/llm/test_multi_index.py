@@ -123,3 +123,50 @@ def test_usable_rows(spark):
     assert {r.rec_id: list(r.embedding) for r in usable_nodes(df, 2).collect()} == {1: other, 8: good, 9: other}
     entries = df.withColumnRenamed("rec_id", "ns").withColumnRenamed("node_id", "entry_id").where("entry_id in (1, 2, 4, 5, 6) or entry_id is null")
     assert {r.rec_id for r in usable_entries(entries, 2).collect()} == {1, 6}
+
+
+def test_a_query_reads_as_many_parts_however_long_the_lists():
+    x = np.random.default_rng(4).normal(size=(16_000, 32)).astype(np.float32)
+    for count in (200_000, 9_000_000):
+        index = M.Index(x, 64, 3, count, 4.0)
+        rows, parts = (np.concatenate(c) for c in list(zip(*index.reads(x[:2000]), strict=True))[:2])
+        assert np.bincount(rows, minlength=2000).mean() <= 6
+        assert len(np.unique(rows * 10**9 + parts)) == len(rows)
+
+
+def test_many_centroids_are_looked_up_by_coarse_cells(monkeypatch):
+    x = clustered(24_000, 16, 5) + np.repeat(np.random.default_rng(6).normal(size=(3000, 16)), 8, 0).astype(np.float32)
+    monkeypatch.setattr(M, "FLAT", 500)
+    monkeypatch.setattr(M, "PROBES", 16)
+    book = M.Book(x, 3000, 2)
+    at, far = book.nearest(x, 8)
+    assert len(book.c) == 3000 and at.shape == far.shape == (24_000, 8) and (np.diff(far, axis=1) >= 0).all()
+    cells = np.diff(book.starts)
+    assert cells.sum() == 3000 and len(cells) + 16 * cells.mean() < 3000 / 4
+    want, least = M.nearest(x, book.c, 1, True)
+    assert (at[:, 0] == want[:, 0]).mean() > 0.95
+    assert all(len(set(row)) == 8 for row in at[:200])
+    assert np.allclose(np.take_along_axis((book.norms - 2 * (x[:500] @ book.c.T)), at[:500], 1), far[:500], atol=1e-3)
+
+
+def test_recall_with_coarse_cells(spark, monkeypatch):
+    monkeypatch.setattr(M, "FLAT", 100)
+    x = clustered(2000, 32, 9)
+    df = frame(spark, x)
+    got = {}
+    for r in M.nearest_neighbours(df, len(x), df, 5, True, centroids=200, visits=8).collect():
+        got.setdefault(r.rec_id, []).append(r.neighbor_id)
+    want = truth(x, np.arange(len(x)), 5, True)
+    assert set(got) == set(want) and np.mean([len(set(want[i]) & set(got[i])) / 5 for i in want]) >= 0.85
+
+
+def test_selection_by_lanes_is_that_of_all_columns():
+    r = np.random.default_rng(8)
+    x, ids = np.round(r.normal(size=(1500, 8)), 1).astype(np.float32), r.permutation(5000)[:1500]
+    entry = np.arange(1500) < 1201
+    for cosine in (True, False):
+        want = truth(np.concatenate([x[:1201], x[1201:]]), ids, 1500, cosine)
+        for at, near, _ in M._search(ids, entry, np.ones(1500, bool), x, 5, cosine):
+            for row, found in zip(at, near, strict=True):
+                held = set(ids[:1201])
+                assert list(found) == [j for j in want[int(ids[row])] if j in held][:5]
